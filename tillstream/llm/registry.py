@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tillstream.llm.chat import op10_chat_format
+from tillstream.llm.nbsvm import op9_quality_nbsvm
+from tillstream.llm.quality_rules import op2_quality_rules
 
-QUERIES = {f.__name__: f for f in (op10_chat_format,)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op9_quality_nbsvm, op10_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {}
