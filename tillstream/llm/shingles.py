@@ -54,7 +54,11 @@ def signatures(rows: np.ndarray, g: np.ndarray, n: int, num: int, den: int) -> t
     For each of the two bands that a set is compared in, the domain is split by hash into
     n1 = ceil((k + 1) / 2) parts and each of these into two; k is the most elements two similar sets
     of the band differ in. Then some part has at most one difference and one of its two halves none:
-    the subsets enumerated are the single halves, and that half's elements are a common signature."""
+    the subsets enumerated are the single halves, and that half's elements are a common signature.
+
+    Halves without elements would be signatures of many unrelated sets. So there are `spare` more
+    halves, and a set with at most that many empty ones gives none for them: two similar sets, one
+    of them such, still agree in a half with elements. The few sets with more empty halves give all."""
     size = np.bincount(rows, minlength=n)
     first, differ = bands(num, den, int(size.max(initial=1)) * den // num + 1)
     band = np.searchsorted(first, size, "right") - 1
@@ -62,14 +66,17 @@ def signatures(rows: np.ndarray, g: np.ndarray, n: int, num: int, den: int) -> t
     out_rows, out = [], []
     for up in (0, 1):
         own = np.minimum(band + up, len(first) - 1)
-        parts = np.where(size > 0, 2 * (differ[own] // 2 + 1), 0)
-        parts = np.where((size > 0) & (differ[own] == 0), 1, parts)
+        spare = np.where(differ[own] > 0, 1 + (differ[own] + 1) // 12, 0)
+        parts = np.where(differ[own] > 0, 2 * ((differ[own] + spare + 2) // 2), 1) * (size > 0)
         start = np.concatenate([[0], np.cumsum(parts)])
         cell = start[rows] + ((spread >> U64(32)) * parts[rows].astype(np.uint64) >> U64(32)).astype(np.int64)
         sums = np.zeros(start[-1], np.uint64)
         np.add.at(sums, cell, mix(g))
         row = np.repeat(np.arange(n), parts)
         place = np.arange(start[-1]) - start[row]
+        empty = np.bincount(cell, minlength=start[-1]) == 0
+        keep = ~empty | (np.bincount(row[empty], minlength=n) > spare)[row]
+        row, place, sums = row[keep], place[keep], sums[keep]
         out_rows.append(row)
         out.append(mix(sums ^ mix((own[row].astype(np.uint64) << U64(32)) + place.astype(np.uint64))))
     row, sig = np.concatenate(out_rows), np.concatenate(out)
