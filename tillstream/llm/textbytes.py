@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once: the temporary arrays take about 50 times this.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U64 = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
