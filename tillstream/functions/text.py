@@ -46,12 +46,14 @@ def parse_receipt(raw: Column) -> Column:
             strip(group(2)).alias("description"), group(1).try_cast("double").alias("quantity"), group(3).try_cast("double").alias("unit_price"),
             group(4).try_cast("double").alias("subtotal"), (group(5) != "").alias("voided"),
         )
-        date = F.concat_ws("-", *(F.regexp_extract(line, DATE_LINE, k) for k in (3, 2, 1, 4, 5)))
+        is_date = line.rlike(DATE_LINE)
+        y, mo, d, h, mi = (F.regexp_extract(line, DATE_LINE, k).try_cast("int") for k in (3, 2, 1, 4, 5))
+        at = F.when(is_date, F.try_make_timestamp(y, mo, d, h, mi, F.lit(0)))  # no parsing, which is slow where it fails
         kind = (
-            F.when(line == "", "blank").when(line.rlike(DATE_LINE), "date").when(line.rlike(ITEM_LINE), "item")
+            F.when(line == "", "blank").when(is_date, "date").when(line.rlike(ITEM_LINE), "item")
             .when(line.startswith(TOTAL), "total").when(line.startswith(DISCOUNT), "discount").when(line.startswith(TIP), "tip").otherwise("other")
         )
-        return F.struct(kind.alias("kind"), item.alias("item"), money(_after_colon(line)).alias("amount"), F.try_to_timestamp(date, F.lit("yyyy-MM-dd-HH-mm")).alias("at"))
+        return F.struct(kind.alias("kind"), item.alias("item"), money(_after_colon(line)).alias("amount"), at.alias("at"))
 
     lines = F.transform(F.split(raw, "\r?\n", -1), lambda x: tagged(strip(x)))
     # the tagged lines stand once in the plan: the rest reads them through a one-element array
