@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.llm.tables import kept
+from tillstream.llm.tables import forget, kept
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = kept(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     before = _mark(edges)
     while before[0]:
-        edges = kept(_small(_large(edges)), "links")
+        old, edges = edges, kept(_small(_large(edges)), "links")
+        forget(old)
         after = _mark(edges)
         if after == before:
             break

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillstream.llm.tables import kept, table
+from tillstream.llm.tables import forget, kept, table
 
 MIN_WORDS = 20
 _KEY = ["d", "k"]
@@ -60,7 +60,8 @@ def doubled(docs: DataFrame, min_words: int) -> DataFrame:
     again = all_lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     own = kept(all_lines.join(again, "h").dropDuplicates([*_KEY, "p"]), "repeated-lines")
     first = _ranks(own, "h", "g", "rank")
-    own = kept(own.join(first, ["h", "g"]).select(*_KEY, "p", "i", "w", F.array("rank").alias("r")), "line-suffixes")
+    old, own = own, kept(own.join(first, ["h", "g"]).select(*_KEY, "p", "i", "w", F.array("rank").alias("r")), "line-suffixes")
+    forget(old, first)
     size, at = 1, Window.partitionBy(*_KEY).orderBy("p")
     while 2 * size <= min_words:
         level = size.bit_length() - 1
@@ -68,7 +69,8 @@ def doubled(docs: DataFrame, min_words: int) -> DataFrame:
         ranks = _ranks(half.where("a is not null and b is not null"), "a", "b", "rank")
         if ranks.isEmpty():
             break
-        own = kept(half.join(ranks, ["a", "b"], "left").select(*_KEY, "p", "i", "w", F.concat("r", F.array("rank")).alias("r")), "line-suffixes")
+        old, own = own, kept(half.join(ranks, ["a", "b"], "left").select(*_KEY, "p", "i", "w", F.concat("r", F.array("rank")).alias("r")), "line-suffixes")
+        forget(old, ranks)
         size *= 2
     return own
 
@@ -101,14 +103,18 @@ def runs(own: DataFrame, min_words: int) -> DataFrame:
 
 def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, k and `gone`: the ascending numbers of the lines to delete of each document that has some."""
-    all_runs = kept(runs(doubled(docs, min_words), min_words), "line-runs")
+    suffixes = doubled(docs, min_words)
+    all_runs = kept(runs(suffixes, min_words), "line-runs")
+    forget(suffixes)
     place = F.struct("d", "k", "s")
     first = all_runs.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     later = all_runs.join(first, ["n", "a", "b"]).where(place != F.col("first"))
     # lines of the first copy itself stay
     overlap = F.when((F.col("d") == F.col("first.d")) & (F.col("k") == F.col("first.k")), F.greatest(F.lit(0), F.col("first.s") + F.col("n") - F.col("s"))).otherwise(0)
     gone = later.select(*_KEY, F.explode(F.slice("at", overlap + 1, F.greatest(F.lit(0), F.col("n") - overlap))).alias("i")).distinct()
-    return gone.groupBy(*_KEY).agg(F.sort_array(F.collect_list("i")).alias("gone"))
+    out = kept(gone.groupBy(*_KEY).agg(F.sort_array(F.collect_list("i")).alias("gone")), "deleted-lines")
+    forget(all_runs)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tillstream.llm import shingles
 from tillstream.llm.components import components
-from tillstream.llm.tables import kept, table
+from tillstream.llm.tables import Scratch, kept, table
 from tillstream.llm.textbytes import Texts, chunks
 
 SMALL = 16
@@ -107,14 +107,19 @@ def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
 class Join:
     """The steps of one join; each keeps the tables that later ones read."""
 
-    def __init__(self, docs: DataFrame, size: int, num: int, den: int):
+    def __init__(self, docs: DataFrame, size: int, num: int, den: int, scratch: Scratch):
+        kept = self.kept = scratch.kept
         self.docs, self.size, self.num, self.den = docs.select("doc_id", "text"), size, num, den
         self.own = kept(sized(self.docs, size), "sets")
         found = self.own.where("n > 0 and doc_id is not null")
         self.nodes = kept(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells")), "nodes")
-        sigs = signed(self.docs, size, num, den)
-        shared = sigs.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-        members = signed(self.docs, size, num, den).join(shared, "sig").join(found.select("doc_id", "node"), "doc_id").select("sig", "node").distinct()
+        # equal sets are known already: of each, one document gives signatures
+        copies = found.select("node", "doc_id").distinct().join(self.nodes.select("node", F.col("doc_id").alias("own")), "node").where("doc_id != own").select("doc_id").distinct()
+        copies = copies.join(self.nodes.select("doc_id"), "doc_id", "left_anti")  # an id may have several texts
+        copies = kept(copies, "copies")
+        once = self.docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
+        shared = signed(once, size, num, den).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
+        members = signed(once, size, num, den).join(shared, "sig").join(found.select("doc_id", "node"), "doc_id").select("sig", "node").distinct()
         members = kept(members, "members")
         many = members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
         self.members = kept(members.join(many, "sig"), "members")
@@ -126,7 +131,7 @@ class Join:
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """node, set: the shingles of these nodes, from one text of each."""
-        wanted = kept(nodes.distinct().join(self.nodes, "node").select("node", "doc_id"), "wanted")
+        wanted = self.kept(nodes.distinct().join(self.nodes, "node").select("node", "doc_id"), "wanted")
         ids = wanted.select("doc_id").distinct()
         texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
@@ -134,7 +139,7 @@ class Join:
             return [pa.array(_node(rows, g, t.n)[1]), _lists(rows, g, t.n)]
 
         sets = _mapped(texts, self.size, make, "node bigint, set array<bigint>").join(wanted, ["node", "doc_id"], "left_semi")
-        return kept(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+        return self.kept(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) with their sizes that may be similar by size and cells."""
@@ -142,7 +147,7 @@ class Join:
         y = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
         both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b")
         fits = (self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb"))
-        return kept(_near(both.where(fits).select("a", "b", "na", "nb", "ca", "cb"), self.num, self.den), "pairs")
+        return self.kept(_near(both.where(fits).select("a", "b", "na", "nb", "ca", "cb"), self.num, self.den), "pairs")
 
     def with_sets(self, pairs: DataFrame) -> DataFrame:
         """pairs with x and y, the sets of a and b."""
@@ -152,13 +157,13 @@ class Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs whose whole sets are similar."""
         same = F.size(F.array_intersect("x", "y"))
-        return kept(self.with_sets(self.bounded(pairs)).where((self.num + self.den) * same >= self.num * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+        return self.kept(self.with_sets(self.bounded(pairs)).where((self.num + self.den) * same >= self.num * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
 
     def open_groups(self, comp: DataFrame, pivots: DataFrame) -> DataFrame:
         """Members, with component and pivot, of the signatures that more than one component has."""
         m = self.members.where("c > 2").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         rest = m.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-        return kept(m.join(rest, "sig").join(pivots, "sig"), "open")
+        return self.kept(m.join(rest, "sig").join(pivots, "sig"), "open")
 
     def small_pairs(self, rows: DataFrame) -> DataFrame:
         x = rows.where((F.col("c") <= SMALL) & (F.col("node") != F.col("pivot"))).select("sig", F.col("node").alias("a"), F.col("comp").alias("p"))
@@ -168,11 +173,11 @@ class Join:
     def large_pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs of different components that may be similar, by what they add to and lack of their pivot."""
         num, den = self.num, self.den
-        star = kept(rows.where((F.col("c") > SMALL) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "comp").distinct(), "stars")
+        star = self.kept(rows.where((F.col("c") > SMALL) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "comp").distinct(), "stars")
         pivot_comp = rows.where("node = pivot").select(F.col("node").alias("a"), F.col("comp").alias("pc")).distinct()
         d = self.with_sets(star.join(pivot_comp, "a"))
         d = d.select("a", "b", "comp", (F.col("comp") != F.col("pc")).alias("out"), F.size("x").alias("np"), F.size("y").alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less"))
-        d = kept(d.withColumn("na", F.size("more")).withColumn("nb", F.size("less")), "deltas")
+        d = self.kept(d.withColumn("na", F.size("more")).withColumn("nb", F.size("less")), "deltas")
         side = ["a", "b", "comp", "out", "n", "na", "nb"]
 
         def joined(keys: DataFrame, condition) -> DataFrame:
@@ -188,7 +193,7 @@ class Join:
         ranked = added.join(seen, "e").withColumn("k", F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "e")))
         total = F.count("*").over(Window.partitionBy("a", "b"))
         needed = F.greatest(F.lit(1), F.ceil(F.col("n") * num / den - 1e-9) - (F.col("np") - F.col("nb")))
-        keys = kept(ranked.withColumn("both", total).where(F.col("k") <= F.col("both") - needed + 1).select(*side, "e", "both", "np"), "rare")
+        keys = self.kept(ranked.withColumn("both", total).where(F.col("k") <= F.col("both") - needed + 1).select(*side, "e", "both", "np"), "rare")
         most = F.least("x.both", "y.both") + F.least(F.col("x.np") - F.col("x.nb"), F.col("y.np") - F.col("y.nb"))
         by_added = joined(keys, (num + den) * most >= num * (F.col("x.n") + F.col("y.n")))
         # nothing added in common: lacking elements must make up for it, which takes a smaller set
@@ -200,7 +205,7 @@ class Join:
 
     def components(self) -> DataFrame:
         """node, comp for nodes with links."""
-        pivots = kept(self.pivots(), "pivots")
+        pivots = self.kept(self.pivots(), "pivots")
         star = self.members.join(pivots, "sig").where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         first = self.links(star)
         rows = self.open_groups(components(first), pivots)
@@ -210,9 +215,11 @@ class Join:
 
 def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable by links) of each row."""
-    j = Join(docs, size, num, den)
+    scratch = Scratch()
+    j = Join(docs, size, num, den, scratch)
     own = j.own.join(j.components(), "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("doc_id", "n", "comp")
     own = kept(own, "components")
+    scratch.clear()
     least = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = own.where("n > 0 and doc_id is not null").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = own.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

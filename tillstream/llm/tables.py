@@ -32,9 +32,29 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """The table without columns of these names, so that an operator's own columns clash with none."""
-    return df.drop(*(c for c in df.columns if c in names))
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of kept tables, once all that was made from them is kept itself."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+class Scratch:
+    """Kept tables that are deleted together."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def kept(self, df: DataFrame, what: str) -> DataFrame:
+        self.tables.append(kept(df, what))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        forget(*self.tables)
+        self.tables.clear()
 
 
 def held_out(doc_id: Column, parts: int) -> Column:
