@@ -41,25 +41,32 @@ def parse_receipt(raw: Column) -> Column:
     blank, date, item, total, discount, tip; of several total, discount or tip lines the last counts."""
 
     def tagged(line: Column) -> Column:
-        group = lambda k: F.regexp_extract(line, ITEM_LINE, k)
-        item = F.struct(
-            strip(group(2)).alias("description"), group(1).try_cast("double").alias("quantity"), group(3).try_cast("double").alias("unit_price"),
-            group(4).try_cast("double").alias("subtotal"), (group(5) != "").alias("voided"),
-        )
-        is_date = line.rlike(DATE_LINE)
-        y, mo, d, h, mi = (F.regexp_extract(line, DATE_LINE, k).try_cast("int") for k in (3, 2, 1, 4, 5))
-        at = F.when(is_date, F.try_make_timestamp(y, mo, d, h, mi, F.lit(0)))  # no parsing, which is slow where it fails
-        kind = (
-            F.when(line == "", "blank").when(is_date, "date").when(line.rlike(ITEM_LINE), "item")
-            .when(line.startswith(TOTAL), "total").when(line.startswith(DISCOUNT), "discount").when(line.startswith(TIP), "tip").otherwise("other")
-        )
-        return F.struct(kind.alias("kind"), item.alias("item"), money(_after_colon(line)).alias("amount"), at.alias("at"))
+        # one pass of each pattern: an item line is rewritten with its groups parted by a control character
+        is_date = F.contains(line, F.lit("Fecha:")) & line.rlike(DATE_LINE)
+        parts = F.split(F.regexp_replace(line, ITEM_LINE, "$1\x01$2\x01$3\x01$4\x01$5"), "\x01", -1)
+        return F.transform(F.array(F.struct(is_date.alias("date"), parts.alias("parts"))), lambda x: _tag(line, x["date"], x["parts"]))[0]
 
     lines = F.transform(F.split(raw, "\r?\n", -1), lambda x: tagged(strip(x)))
     # the tagged lines stand once in the plan: the rest reads them through a one-element array
     return F.transform(F.array(lines), _assemble)[0]
 
 
+def _tag(line: Column, is_date: Column, parts: Column) -> Column:
+    is_item = ~is_date & (F.size(parts) == 5)
+    item = F.struct(
+        strip(parts[1]).alias("description"), parts[0].try_cast("double").alias("quantity"), parts[2].try_cast("double").alias("unit_price"),
+        parts[3].try_cast("double").alias("subtotal"), (parts[4] != "").alias("voided"),
+    )
+    kind = (
+        F.when(line == "", "blank").when(is_date, "date").when(is_item, "item")
+        .when(line.startswith(TOTAL), "total").when(line.startswith(DISCOUNT), "discount").when(line.startswith(TIP), "tip").otherwise("other")
+    )
+    y, mo, d, h, mi = (F.regexp_extract(line, DATE_LINE, k).try_cast("int") for k in (3, 2, 1, 4, 5))
+    at = F.when(is_date, F.try_make_timestamp(y, mo, d, h, mi, F.lit(0)))  # no parsing, which is slow where it fails
+    amount = F.when(line.startswith(TOTAL) | line.startswith(DISCOUNT) | line.startswith(TIP), money(_after_colon(line)))
+    return F.struct(kind.alias("kind"), F.when(is_item, item).alias("item"), amount.alias("amount"), at.alias("at"))
+
+
 def _assemble(lines: Column) -> Column:
     of = lambda *kinds: F.filter(lines, lambda x: x["kind"].isin(*kinds))
     last = lambda kind: F.try_element_at(of(kind), F.lit(-1))
