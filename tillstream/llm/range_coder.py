@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 2048
-REBUILD = 128
+REBUILD = 256
 SLOTS = 1 << 11
 GROUPS = 16
 FLAG_BITS, BYTE_BITS = 12, 14
@@ -46,9 +46,13 @@ class _Model:
 
         def cumulative(c: np.ndarray) -> np.ndarray:
             c = c.reshape(-1, 256)
-            run = np.zeros((len(c), 257), np.int64)
+            run = np.zeros((len(c), 257), np.int32)
             np.cumsum(c, axis=1, out=run[:, 1:])
-            return (run * room // run[:, 256:] + np.arange(257)).astype(np.int32).reshape(-1)
+            last = run[:, 256:].copy()
+            run *= room  # a block's counts stay below 2**31 / room
+            run //= last
+            run += np.arange(257, dtype=np.int32)
+            return run.reshape(-1)
 
         self.cum_high, self.cum_low = cumulative(self.high), cumulative(self.low)
 
@@ -56,26 +60,26 @@ class _Model:
         self.i2 = self.slot + (((self.a * 40503 + self.b * 30011) >> 4) & (SLOTS - 1))
         self.i1 = self.slot + ((self.b * 40503 >> 4) & (SLOTS - 1))
         e2, e1 = self.t2[self.i2], self.t1[self.i1]
+        self.e2, self.e1 = e2, e1
         self.id2, self.c2, self.id1, self.c1 = e2 >> 3, e2 & 7, e1 >> 3, e1 & 7
         use2 = self.c2 >= self.c1
         self.guess = np.where(use2, self.id2, self.id1)
         self.ia = self.lane * 64 + self.c2 * 8 + self.c1
         self.ib = self.lane * 512 + (self.b & 127) * 4 + use2 * 2 + (self.id1 == self.id2)
-        a, b = self.pa[self.ia], self.pb[self.ib]
+        self.va, self.vb = a, b = self.pa[self.ia], self.pb[self.ib]
         self.p = np.clip((self.w * a + (64 - self.w) * b) >> 6, 32, 4096 - 32)
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
         want = np.where(hit, 4096, 0).astype(np.int32)
-        a, b = self.pa[self.ia], self.pb[self.ib]
+        a, b = self.va, self.vb
         better = np.abs(want - a) < np.abs(want - b)
-        self.w = np.clip(self.w + np.where(better, 1, -1), 2, 62).astype(np.int32)
+        self.w = np.minimum(np.maximum(self.w + (better * 2 - 1), 2), 62)
         self.pa[self.ia] = a + ((want - a) >> 4)
         self.pb[self.ib] = b + ((want - b) >> 4)
-        for table, at, old, c in ((self.t2, self.i2, self.id2, self.c2), (self.t1, self.i1, self.id1, self.c1)):
-            same = old == ids
-            conf = np.where(same, np.minimum(c + 1, 7), np.maximum(c - 1, 0))
-            put = np.where(same | (c > 1), old, ids)
-            table[at] = (put << 3) | np.where(same | (c > 1), conf, 1)
+        fresh = ids << 3 | 1
+        for table, at, e, old, c in ((self.t2, self.i2, self.e2, self.id2, self.c2), (self.t1, self.i1, self.e1, self.id1, self.c1)):
+            # right: surer, up to 7; wrong: less sure, and replaced at the least confidence
+            table[at] = np.where(old == ids, e + (c < 7), np.where(c > 1, e - 1, fresh))
         hi, lo = ids >> 8, ids & 255
         self.high[self.lane, hi] += 24
         self.low[self.lane, (hi & (GROUPS - 1)) * 256 + lo] += 24
