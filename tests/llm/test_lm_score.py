@@ -123,3 +123,39 @@ def test_odd_rows(spark, monkeypatch):
     only = [d for d in range(200) if out(d)][:1]
     r = lm_score.score(spark.createDataFrame([(only[0], "a b", "", "")], SCHEMA)).first()
     assert r.held_out and r.n_known == 0 and r.base_score == 0 and r.train_tokens == 0
+
+
+def every_context(train, order=6):
+    """All byte contexts as nested dictionaries, symbol by symbol."""
+    trie = defaultdict(Counter)
+    for t in train:
+        b = bytes(order) + plain(t)
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                trie[b[i - k : i]][b[i]] += 1
+
+    def predict(ctx):
+        low = predict(ctx[1:]) if ctx else [1 / 256] * 256
+        c = trie.get(ctx)
+        if not c:
+            return low
+        n, once = sum(c.values()), sum(v == 1 for v in c.values()) + 0.5
+        escape, rest = once / (n + once), 1 - sum(low[s] for s in c)
+        return [c[s] / n * (1 - escape) if s in c else escape * low[s] / rest for s in range(256)]
+
+    def score(t):
+        b = bytes(order) + plain(t)
+        return sum(math.log10(predict(b[i - order : i])[b[i]]) for i in range(order, len(b)))
+
+    return score
+
+
+@pytest.mark.parametrize("grams", [1 << 20, 50])
+def test_scores_are_those_of_all_byte_contexts(spark, monkeypatch, grams):
+    monkeypatch.setattr(lm_score, "GRAMS", grams)
+    texts = [r.text[:300] for r in table(spark, "/root/testdata/sf0.001", "documents").orderBy("doc_id").limit(60).collect()]
+    texts += ["année 1984, été 1985; straße 12", "год 1984 и год 1985", "année 1985, été 1984; straße 21", "год 1985 и ещё 1984", "", None]
+    docs = list(enumerate(texts)) + [(d, t) for d, t in zip((d for d in range(100, 999) if out(d)), texts[-6:])]
+    want = every_context([t for d, t in docs if not out(d)])
+    got = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert sum(map(out, got)) >= 6 and all(math.isclose(got[d], want(t), rel_tol=1e-9) for d, t in docs)

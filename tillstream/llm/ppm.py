@@ -1,4 +1,6 @@
-"""Prediction by partial matching over a byte-context trie.
+"""Prediction by partial matching: keys of the byte contexts that `lm_score` counts in tables, and a small folded trie.
+
+op6 counts whole bytes: `byte_keys`. What follows is the trie of bounded size that is held in memory.
 
 A text is scored as its tokens: lower-cased words, a space between two, one end mark. Contexts are
 the last bytes, up to ORDER of them, each folded to one of 32 classes; the next byte is predicted as
@@ -78,6 +80,20 @@ def observed(t: Texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     return ctx << 5 | c, (ctx & 1023) << 8 | b
 
 
+def byte_keys(t: Texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte below the `order` bytes before it (the latest lowest; 0 before a text's start), 8 bits each; n + 1 offsets."""
+    b, offsets = normalised(t)
+    b = b.astype(np.int64)
+    place = np.arange(len(b)) - np.repeat(offsets[:-1], np.diff(offsets))
+    out = b.copy()
+    for k in range(1, order + 1):
+        prev = np.zeros(len(b), np.int64)
+        prev[k:] = b[:-k]
+        prev[place < k] = 0
+        out |= prev << np.int64(8 * k)
+    return out, offsets
+
+
 def _resolve(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Probabilities of nodes (rows) from their counts and those of the next shorter contexts."""
     seen = counts > 0
