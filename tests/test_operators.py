@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tillstream.functions.text import CANDIDATE, json_candidate, money, parse_receipt
 from tillstream.operators import ingest, reads, widgets
 from tillstream.operators.coherence import incoherence
+from tillstream.plans import catalogue
 
 BASE = {"items": [{"description": "Café", "quantity": 2.0, "unit_price": 900.0, "subtotal": 1800.0, "voided": False}], "discount": None, "tip": None, "total": 1800.0, "printed_at": None}
 NAN, INF = float("nan"), float("inf")
@@ -83,3 +84,9 @@ def test_ticket_measures_count_once(spark):
     assert widgets.widget_query(items, widgets.Spec("T1", "total")).first().value == 3600
     assert widgets.widget_query(items, widgets.Spec("T1", "discount")).first().value == 0
     assert widgets.widget_query(items, widgets.Spec("T2", "total", group_by="port")).count() == 0
+
+
+def test_every_readable_receipt_is_judged(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.reason: r["count"] for r in catalogue.coherence_all(spark, sf).groupBy("reason").count().collect()}
+    assert got["T2"] > 0 and sum(got.values()) == catalogue.parse_tickets(spark, sf).where("total is not null").count()

@@ -181,8 +181,21 @@ def parse_junk(spark, sf_dir):
 @query
 def coherence(spark, sf_dir):
     """Receipts whose numbers close, and ones with a single fault put in."""
+    return _judged(_candidates(spark, sf_dir).where((F.col("own.candidate.total") <= 500_000) & (F.col("own.candidate.total") >= 0) & (F.size("own.candidate.items") <= 50)))
+
+
+@query
+def coherence_all(spark, sf_dir):
+    """The same of all receipts, also those whose own total or number of items is out of bounds."""
+    return _judged(_candidates(spark, sf_dir))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(mapped.receipts(spark, sf_dir)).where(F.col("own.candidate").isNotNull())
+
+
+def _judged(rows: DataFrame) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("own.candidate")
-    rows = _parsed(mapped.receipts(spark, sf_dir)).where(c.isNotNull() & (F.col("own.candidate.total") <= 500_000) & (F.col("own.candidate.total") >= 0) & (F.size("own.candidate.items") <= 50))
     first = lambda field, value: F.transform(c["items"], lambda x, i: F.when(i == 0, x.withField(field, value(x))).otherwise(x))
     faulty = (
         F.when(k % 101 == 0, c.withField("total", F.lit(float("nan"))))

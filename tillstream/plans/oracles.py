@@ -154,6 +154,7 @@ SQL: dict[str, str] = {
     "parse_tickets": f"{_RECEIPTS} SELECT ticket_id, poison, CASE WHEN poison IS NULL AND kind <> 7 THEN n END AS n_items, CASE WHEN poison IS NULL AND kind <> 7 THEN CAST(disc AS DOUBLE) END AS discount, CASE WHEN poison IS NULL AND kind <> 7 THEN CAST(tips AS DOUBLE) END AS tip, CASE WHEN poison IS NULL AND kind <> 7 THEN CAST(shown_total AS DOUBLE) END AS total FROM checked",
     "parse_junk": "SELECT count(*) AS documents, 0 AS receipts FROM documents",
     "coherence": f"{_RECEIPTS} SELECT ticket_id, CASE WHEN o_orderkey % 101 = 0 THEN 'T1' WHEN o_orderkey % 97 = 0 THEN 'I3' WHEN o_orderkey % 89 = 0 THEN 'I1' WHEN o_orderkey % 83 = 0 THEN 'I7' WHEN o_orderkey % 79 = 0 THEN 'P1' ELSE own_reason END AS reason FROM checked WHERE poison IS NULL AND kind <> 7 AND shown_total <= 500000 AND shown_total >= 0 AND n <= 50",
+    "coherence_all": f"{_RECEIPTS} SELECT ticket_id, CASE WHEN o_orderkey % 101 = 0 THEN 'T1' WHEN shown_total < 0 THEN 'T2' WHEN shown_total > 500000 THEN 'T3' WHEN n > 50 THEN 'N2' WHEN o_orderkey % 97 = 0 THEN 'I3' WHEN o_orderkey % 89 = 0 THEN 'I1' WHEN o_orderkey % 83 = 0 THEN 'I7' WHEN disc > live THEN 'D2' WHEN o_orderkey % 79 = 0 THEN 'P1' ELSE own_reason END AS reason FROM checked WHERE poison IS NULL AND kind <> 7",
     "fallback_extract": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (1, 2, 3, 4) THEN NULL ELSE CAST(floor(o_totalprice) AS DOUBLE) END AS total, CASE WHEN o_orderkey % 7 NOT IN (1, 2, 3, 4) AND o_orderkey % 2 = 0 THEN 5.0 END AS discount, CASE WHEN o_orderkey % 7 IN (1, 2, 3, 4) THEN NULL ELSE o_orderkey % 7 = 5 END AS voided FROM orders",
     "decide": _RECEIPTS + DECIDED,
     "quarantine": f"{_RECEIPTS} SELECT tenant_id, ticket_id, poison AS reason FROM decided WHERE state = 'quarantined'",
