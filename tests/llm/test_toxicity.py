@@ -76,3 +76,18 @@ def test_odd_rows(spark):
     model = x.fit(few, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int"), hold_out=None, passes=60)
     got = x.score(docs.unionByName(few.selectExpr("doc_id + 100 as doc_id", "text", "'' as source", "0 as score")), model).collect()
     assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id and r.doc_id >= 100) and x.score(docs.limit(0), model).count() == 0
+
+
+def test_short_passages_of_long_texts_are_learned(spark):
+    r = np.random.default_rng(0)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for d in range(80):
+        text = r.choice(words, 6000).tolist()
+        if d % 2:
+            text[(at := int(r.integers(100, 5900))) : at + 4] = "you are an idiot".split()
+        rows.append((d, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    model = x.fit(docs, spark.createDataFrame([(d, d % 2) for d in range(80)], "doc_id bigint, toxic int"), hold_out=None)
+    got = {r.doc_id: r.predicted for r in x.score(docs, model).collect()}
+    assert np.mean([got[d] == d % 2 for d in range(80)]) > 0.95

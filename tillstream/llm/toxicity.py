@@ -7,8 +7,10 @@ logit per window, and the largest is the text's. Training is by the same rule: t
 through each text's strongest window, so that labels of texts suffice. A held-back part of the sample
 turns logits into probabilities.
 
-Only the fit is on a bounded sample: at most SAMPLE_ROWS labelled rows, of each at most SAMPLE_WORDS
-words (of a longer text evenly spaced runs). Scoring reads every whole text once, in Arrow batches,
+Only the fit is on a bounded sample: at most SAMPLE_ROWS labelled rows, whole. Of texts over SAMPLE_BYTES
+bytes tasks read all windows: every REFRESH steps they give each one's strongest under the network of then, and
+the driver, which holds the shorter texts, takes the strongest of those found so far. Calibration is
+on the logits of whole texts, as scoring gives them. Scoring reads every whole text once, in Arrow batches,
 without a shuffle; each distinct word of a run of texts is embedded once.
 
 Defined cases: a null or empty text has no window and gets the probability of an empty one; repeated
@@ -27,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm.features import labelled, platt, sigmoid
-from tillstream.llm.tables import held_out, table
+from tillstream.llm.tables import held_out, kept, table
 from tillstream.llm.textbytes import Texts, chunks, int_column
 
 SAMPLE_ROWS = 3000
-SAMPLE_WORDS = 1536
+SAMPLE_BYTES = 12_288
+REFRESH = 30
 WORDS, TRIGRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 13, 16, 8, 8
 WINDOW, STRIDE = 24, 12
 f32 = np.float32
@@ -84,11 +87,10 @@ class Network:
         for d in "fb":
             self.p |= {f"x{d}": g(DIM, 3 * h, k=0.25), f"b{d}": np.zeros(3 * h, f32), f"u{d}": g(h, 3 * h, k=0.3)}
 
-    def start(self, texts: list[str], y: np.ndarray) -> None:
+    def start(self, texts: list[str], y: np.ndarray, n: np.ndarray, words: np.ndarray, tri: np.ndarray) -> None:
         """First values of one dimension of the embeddings: the log ratio of the shares of each class's texts
-        that have the word or trigram, so that training starts from what single words tell."""
-        n = np.bincount(y, minlength=2)
-        words, tri = np.zeros((2, WORDS)), np.zeros((2, TRIGRAMS))
+        that have the word or trigram, so that training starts from what single words tell. n, words and tri: the
+        number of texts of each class, and how many further ones have each."""
         for text, label in zip(texts, y, strict=True):
             t = tokens(_texts([text]))
             words[label][np.unique(t.bucket)] += 1
@@ -177,15 +179,21 @@ def gather(t: Tokens, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray
     return t.which[at], live
 
 
-def text_logits(net: Network, t: Tokens) -> np.ndarray:
-    """Each text's largest window logit; that of an empty window for texts without words."""
-    out = np.full(len(t.offsets) - 1, float(net.p["bias"][0]))
+def text_windows(net: Network, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's largest window logit, and that window (first token, tokens in it); that of an empty window for texts without words."""
+    out, best = np.full(len(t.offsets) - 1, float(net.p["bias"][0])), np.zeros((len(t.offsets) - 1, 2), np.int64)
     row, start, length = windows(t.offsets)
     if len(row):
         z = net.forward(net.embed(t), *gather(t, start, length))
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[first]] = np.maximum.reduceat(z, first)
-    return out
+        order = np.lexsort((-z, row))
+        at = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
+        out[row[at]] = z[at]
+        best[row[at]] = np.stack([start[at], length[at]], 1)
+    return out, best
+
+
+def text_logits(net: Network, t: Tokens) -> np.ndarray:
+    return text_windows(net, t)[0]
 
 
 @dataclass
@@ -201,27 +209,6 @@ class Model:
         return sigmoid(self.slope * text_logits(self.net, tokens(t)) + self.intercept)
 
 
-def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sampled texts as words with single spaces, long ones as evenly spaced runs of words."""
-    for b in batches:
-        label, ids, rows = int_column(b, "label"), int_column(b, "doc_id"), []
-        for t in chunks(b):
-            w = t.words()
-            first = np.concatenate([[0], np.cumsum(w.counts())])
-            raw = t.data.tobytes()
-            for i in range(t.n):
-                n = int(first[i + 1] - first[i])
-                pick = np.arange(n)
-                if n > SAMPLE_WORDS:
-                    runs = SAMPLE_WORDS // WINDOW
-                    pick = (np.arange(runs) * (n - WINDOW) // (runs - 1))[:, None] + np.arange(WINDOW)
-                own = first[i] + pick.reshape(-1)
-                text = b" ".join(raw[s:e] for s, e in zip(w.starts[own].tolist(), w.ends[own].tolist(), strict=True)).decode()
-                rows.append((int(ids[t.first + i]), int(label[t.first + i]), text))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "label", "text"])
-
-
 def _texts(rows: list[str]) -> Texts:
     raw = [x.encode() for x in rows]
     return Texts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
@@ -230,13 +217,67 @@ def _texts(rows: list[str]) -> Texts:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, hold_out: int | None = 5, passes: int = 300) -> Model:
     """The network learned from a bounded sample of labelled rows."""
     picked = labelled(labels, label, sample_rows, hold_out)
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").mapInArrow(_sample_rows, "doc_id bigint, label int, text string").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return learn([r["text"] for r in got], np.array([r["label"] for r in got], np.int64), passes)
-
-
-def learn(texts: list[str], y: np.ndarray, passes: int, size: int = 32, rate: float = 0.01) -> Model:
-    """`passes` steps of Adam on as many texts of label 1 as of label 0 each; a quarter of the texts is kept for calibration."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = kept(rows.withColumns({"h": F.xxhash64("text"), "long": F.octet_length("text") > SAMPLE_BYTES}), "sample")
+    got = rows.select("doc_id", "h", "label", F.when(~F.col("long"), F.col("text")).alias("text")).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["h"]))
+    return learn([r["text"] for r in got], np.array([r["label"] for r in got], np.int64), passes, Long(rows, [(r["doc_id"], r["h"]) for r in got if r["text"] is None], [i for i, r in enumerate(got) if r["text"] is None]))
+
+
+class Long:
+    """The sampled texts that stay in a table: their places in the sample, and what tasks tell of them."""
+
+    def __init__(self, rows: DataFrame, keys: list[tuple[int, int]], places: list[int]):
+        self.rows, self.places = rows.where("long").select("doc_id", "h", "label", "text"), places
+        self.at: dict[tuple[int, int], list[int]] = {}
+        for key, i in zip(keys, places, strict=True):
+            self.at.setdefault(key, []).append(i)  # equal rows give equal answers
+
+    def strongest(self, net: Network) -> dict[int, tuple[float, str]]:
+        """Logit of each whole text, and its strongest window."""
+        if not self.places:
+            return {}
+        given = self.rows.sparkSession.sparkContext.broadcast(net)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for t in chunks(b):
+                    n, tk, w, raw = given.value, tokens(t), t.words(), t.data.tobytes()
+                    z, best = text_windows(n, tk)
+                    text = [b" ".join(raw[w.starts[k] : w.ends[k]] for k in range(s, s + c)).decode() for s, c in best.tolist()]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, t.n), b.column(1).slice(t.first, t.n), pa.array(z), pa.array(text, pa.string())], names=["doc_id", "h", "z", "window"])
+
+        got = self.rows.mapInArrow(run, "doc_id bigint, h bigint, z double, window string").toArrow().to_pylist()
+        given.destroy()
+        return {i: (r["z"], r["window"]) for r in got for i in self.at[r["doc_id"], r["h"]]}
+
+    def presence(self, train: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the texts of each class at these places have each word and trigram."""
+        words, tri = np.zeros((2, WORDS)), np.zeros((2, TRIGRAMS))
+        times = {key: sum(i in train for i in at) / len(at) for key, at in self.at.items()}
+        if not self.places:
+            return words, tri
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, hashes, label = (int_column(b, c) for c in ("doc_id", "h", "label"))
+                for t in chunks(b):
+                    for i in range(t.first, t.first + t.n):
+                        k = i - t.first
+                        tk = tokens(Texts(t.data[t.offsets[k] : t.offsets[k + 1]], t.offsets[k : k + 2] - t.offsets[k]))
+                        own = np.concatenate([np.unique(tk.bucket), np.unique(tk.trigram) + WORDS])
+                        share = times[int(ids[i]), int(hashes[i])]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), label[i], np.int32)), pa.array(own.astype(np.int32)), pa.array(np.full(len(own), share))], names=["label", "bucket", "n"])
+
+        got = self.rows.mapInArrow(run, "label int, bucket int, n double").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        both = np.zeros((2, WORDS + TRIGRAMS))
+        both[got.column("label").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+        return both[:, :WORDS], both[:, WORDS:]
+
+
+def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size: int = 32, rate: float = 0.01) -> Model:
+    """`passes` steps of Adam on as many texts of label 1 as of label 0 each; a quarter of the texts is kept for calibration.
+    Texts that are None are those of `long`."""
     if len(y) < 10 or not 0 < y.sum() < len(y):
         return Model(None, constant=float(y.mean()) if len(y) else 0.0)
     check = np.arange(len(y)) % 4 == 3
@@ -246,17 +287,24 @@ def learn(texts: list[str], y: np.ndarray, passes: int, size: int = 32, rate: fl
     else:
         train = np.flatnonzero(~check)
     net, rng = Network(), np.random.default_rng(3)
-    net.start([texts[i] for i in train], y[train])
+    here = [i for i in train if texts[i] is not None]
+    net.start([texts[i] for i in here], y[here], np.bincount(y[train], minlength=2), *long.presence(set(train.tolist())))
+    found: list[list[str]] = [[] if x is None else [x] for x in texts]
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     sides = [train[y[train] == k] for k in (0, 1)]
     for step in range(1, passes + 1):
         own = np.concatenate([rng.choice(s, min(size // 2, len(s)), replace=False) for s in sides])
-        t = tokens(_texts([texts[i] for i in own]))
+        if step % REFRESH == 1:
+            for i, (_, window) in long.strongest(net).items():
+                if window not in found[i]:
+                    found[i].append(window)
+        t = tokens(_texts([x for i in own for x in found[i]]))
         words = net.embed(t)
         row, start, length = windows(t.offsets)
         if not len(row):
             continue
+        row = np.repeat(np.arange(len(own)), [len(found[i]) for i in own])[row]
         z = net.forward(words, *gather(t, start, length))
         order = np.lexsort((-z, row))
         best = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
@@ -272,7 +320,9 @@ def learn(texts: list[str], y: np.ndarray, passes: int, size: int = 32, rate: fl
             v[k] += 0.01 * (d * d - v[k])
             net.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(f32)
     at = np.flatnonzero(check)
-    z = np.concatenate([text_logits(net, tokens(_texts([texts[i] for i in at[k : k + 64]]))) for k in range(0, len(at), 64)])
+    z = np.concatenate([text_logits(net, tokens(_texts([texts[i] or "" for i in at[k : k + 64]]))) for k in range(0, len(at), 64)])
+    whole = long.strongest(net)
+    z = np.array([whole[i][0] if i in whole else x for i, x in zip(at.tolist(), z, strict=True)])
     return Model(net, *platt(z, y[at]))
 
 
