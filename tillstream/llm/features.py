@@ -78,12 +78,19 @@ def labelled(labels: DataFrame, label: str, limit: int, hold_out: int | None) ->
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def sampled(docs: DataFrame, labels: DataFrame, label: str, limit: int, hold_out: int | None) -> DataFrame:
+    """(doc_id, label, text) of the picked ids, one row each: of several texts of one id that of the least hash,
+    so that repeated rows don't outgrow the limit."""
+    picked = labelled(labels, label, limit, hold_out)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 class Sample:
     """Sparse rows of the sampled documents on the driver: at most the sample's limit of them."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label: str, limit: int, hold_out: int | None):
-        picked = labelled(labels, label, limit, hold_out)
-        rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+        rows = sampled(docs, labels, label, limit, hold_out).select("doc_id", "text", "label")
         got = rows.mapInArrow(_sample_rows, "doc_id bigint, label int, buckets array<int>, counts array<int>").toArrow().combine_chunks()
         lists = got.column("buckets").combine_chunks() if got.num_rows else None
         ids = got.column("doc_id").to_numpy()

@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word is the sum of a hashed word embedding and the mean of hashed embeddings of its byte trigrams
-(with marks at both ends), so that new words are known by their parts. All windows of 24 words, each
+A word is the sum of a hashed word embedding, the mean of hashed embeddings of its byte trigrams
+(with marks at both ends) and that of its beginnings of LEAST to MOST bytes, so that new words are known
+by their parts and stems; training leaves out half of the words' own embeddings at random, and averages
+its later networks, so that it does not learn single words of few texts by heart. All windows of 24 words, each
 overlapping the next by half, are read in both directions; attention pools the states into one
 logit per window, and the largest is the text's. Training is by the same rule: the gradient goes
 through each text's strongest window, so that labels of texts suffice. A held-back part of the sample
@@ -28,25 +30,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm.features import labelled, platt, sigmoid
+from tillstream.llm.features import platt, sampled, sigmoid
 from tillstream.llm.tables import held_out, kept, table
-from tillstream.llm.textbytes import Texts, chunks, int_column
+from tillstream.llm.textbytes import Texts, Words, chunks, int_column
 
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 12_288
 REFRESH = 30
-WORDS, TRIGRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 13, 16, 8, 8
+WORDS, PARTS, DIM, HIDDEN, ATTEND = 1 << 15, 1 << 15, 16, 8, 8
+#: Share of words that a training step shows by their parts alone.
+DROP = 0.5
+LEAST, MOST = 3, 8
 WINDOW, STRIDE = 24, 12
 f32 = np.float32
 
 
 @dataclass
 class Tokens:
-    """Distinct words of a run of texts (bucket; trigrams with their first positions) and the texts as numbers of these."""
+    """Distinct words of a run of texts (bucket; parts of each kind with their first positions) and the texts as numbers of these."""
 
     bucket: np.ndarray
-    trigram: np.ndarray
-    first: np.ndarray
+    parts: dict[str, tuple[np.ndarray, np.ndarray]]  # trigrams ("tri") and beginnings ("pre"): buckets, first ones
     which: np.ndarray
     offsets: np.ndarray  # of each text in `which`
 
@@ -60,9 +64,16 @@ def tokens(t: Texts) -> Tokens:
     p = np.arange(n.sum()) + np.repeat(s - first, n)
     left = np.where(p > np.repeat(s, n), d[np.maximum(p - 1, 0)], 2).astype(np.int64)
     right = np.where(p < np.repeat(e, n) - 1, d[np.minimum(p + 1, len(d) - 1)], 3).astype(np.int64)
-    tri = (((left << 16 | d[p].astype(np.int64) << 8 | right) * 2654435761) >> 15) & (TRIGRAMS - 1)
-    bucket = (w.hashes()[at] >> np.uint64(50)).astype(np.int64)
-    return Tokens(bucket, tri.astype(np.int32), first, which, np.concatenate([[0], np.cumsum(w.counts())]))
+    tri = (((left << 16 | d[p].astype(np.int64) << 8 | right) * 2654435761) >> 15) & (PARTS - 1)
+    hashes = w.hashes()
+    bucket = (hashes[at] >> np.uint64(49)).astype(np.int64)
+    # beginnings of LEAST to MOST bytes, shorter words whole
+    k = np.clip(n - LEAST + 1, 1, MOST - LEAST + 1)
+    begin = np.cumsum(k) - k
+    size = np.arange(k.sum()) - np.repeat(begin, k) + LEAST
+    own = Words(w.texts, np.repeat(s, k), np.minimum(np.repeat(e, k), np.repeat(s, k) + size))
+    pre = (own.hashes() >> np.uint64(49)).astype(np.int32)
+    return Tokens(bucket, {"tri": (tri.astype(np.int32), first), "pre": (pre, begin)}, which, np.concatenate([[0], np.cumsum(w.counts())]))
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,28 +94,31 @@ class Network:
         r = np.random.default_rng(seed)
         g = lambda *s, k=0.1: (r.standard_normal(s) * k).astype(f32)
         h = HIDDEN
-        self.p = {"word": g(WORDS, DIM), "tri": g(TRIGRAMS, DIM), "att": g(2 * h, ATTEND, k=0.3), "query": g(ATTEND, k=0.3), "out": g(2 * h, k=0.3), "bias": np.zeros(1, f32)}
+        self.p = {"word": g(WORDS, DIM), "tri": g(PARTS, DIM), "pre": g(PARTS, DIM), "att": g(2 * h, ATTEND, k=0.3), "query": g(ATTEND, k=0.3), "out": g(2 * h, k=0.3), "bias": np.zeros(1, f32)}
         for d in "fb":
             self.p |= {f"x{d}": g(DIM, 3 * h, k=0.25), f"b{d}": np.zeros(3 * h, f32), f"u{d}": g(h, 3 * h, k=0.3)}
 
-    def start(self, texts: list[str], y: np.ndarray, n: np.ndarray, words: np.ndarray, tri: np.ndarray) -> None:
+    def start(self, texts: list[str], y: np.ndarray, n: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         """First values of one dimension of the embeddings: the log ratio of the shares of each class's texts
         that have the word or trigram, so that training starts from what single words tell. n, words and tri: the
         number of texts of each class, and how many further ones have each."""
         for text, label in zip(texts, y, strict=True):
             t = tokens(_texts([text]))
-            words[label][np.unique(t.bucket)] += 1
-            tri[label][np.unique(t.trigram)] += 1
-        for name, c in (("word", words), ("tri", tri)):
+            for name, ids in present(t).items():
+                seen[name][label][ids] += 1
+        for name, c in seen.items():
             share = (c + 1) / (n[:, None] + 2)
             sure = c.sum(0) > 1
             self.p[name][:, 0] = np.where(sure, np.clip(np.log(share[1] / share[0]), -3, 3), 0)
 
-    def embed(self, t: Tokens) -> np.ndarray:
+    def embed(self, t: Tokens, on: np.ndarray | None = None) -> np.ndarray:
+        """One row for each distinct word; `on` tells which of them bring in their own embedding besides those of their parts."""
         if not len(t.bucket):
             return np.zeros((0, DIM), f32)
-        n = np.diff(np.append(t.first, len(t.trigram)))[:, None]
-        return self.p["word"][t.bucket] + np.add.reduceat(self.p["tri"][t.trigram], t.first, axis=0) / n.astype(f32)
+        out = self.p["word"][t.bucket] * (1 if on is None else on[:, None])
+        for name, (ids, first) in t.parts.items():
+            out += np.add.reduceat(self.p[name][ids], first, axis=0) / np.diff(np.append(first, len(ids)))[:, None].astype(f32)
+        return out
 
     def forward(self, words: np.ndarray, place: np.ndarray, live: np.ndarray, keep: bool = False):
         """Logit of each window; place: its tokens as rows of `words` (embeddings), live: which of them there are."""
@@ -134,7 +148,7 @@ class Network:
         logit = pooled @ self.p["out"] + self.p["bias"][0]
         return (logit, (states, a, e, pooled, kept)) if keep else logit
 
-    def backward(self, t: Tokens, words: np.ndarray, place: np.ndarray, live: np.ndarray, kept: tuple, dz: np.ndarray) -> dict[str, np.ndarray]:
+    def backward(self, t: Tokens, words: np.ndarray, place: np.ndarray, live: np.ndarray, kept: tuple, dz: np.ndarray, whole: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Gradients for d loss / d logit = dz."""
         p, h = self.p, HIDDEN
         states, a, e, pooled, steps = kept
@@ -166,13 +180,19 @@ class Network:
                 carry = np.where(on, dn * z + dhu @ u.T, full)
             g |= {f"x{d}": gx, f"u{d}": gu, f"b{d}": gb}
         g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], t.bucket, dwords)
-        n = np.diff(np.append(t.first, len(t.trigram)))
-        g["tri"] = np.zeros_like(p["tri"])
-        np.add.at(g["tri"], t.trigram, np.repeat(dwords / n[:, None].astype(f32), n, axis=0))
+        np.add.at(g["word"], t.bucket, dwords if whole is None else dwords * whole[:, None])
+        for name, (ids, first) in t.parts.items():
+            n = np.diff(np.append(first, len(ids)))
+            g[name] = np.zeros_like(p[name])
+            np.add.at(g[name], ids, np.repeat(dwords / n[:, None].astype(f32), n, axis=0))
         return g
 
 
+def present(t: Tokens) -> dict[str, np.ndarray]:
+    """The distinct buckets of each table that a text has."""
+    return {"word": np.unique(t.bucket)} | {name: np.unique(ids) for name, (ids, _) in t.parts.items()}
+
+
 def gather(t: Tokens, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     live = np.arange(WINDOW) < length[:, None]
     at = np.minimum(start[:, None] + np.arange(WINDOW), max(len(t.which) - 1, 0))
@@ -216,8 +236,7 @@ def _texts(rows: list[str]) -> Texts:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, hold_out: int | None = 5, passes: int = 300) -> Model:
     """The network learned from a bounded sample of labelled rows."""
-    picked = labelled(labels, label, sample_rows, hold_out)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = sampled(docs, labels, label, sample_rows, hold_out).withColumn("text", F.coalesce("text", F.lit("")))
     rows = kept(rows.withColumns({"h": F.xxhash64("text"), "long": F.octet_length("text") > SAMPLE_BYTES}), "sample")
     got = rows.select("doc_id", "h", "label", F.when(~F.col("long"), F.col("text")).alias("text")).toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["h"]))
@@ -251,33 +270,34 @@ class Long:
         given.destroy()
         return {i: (r["z"], r["window"]) for r in got for i in self.at[r["doc_id"], r["h"]]}
 
-    def presence(self, train: set[int]) -> tuple[np.ndarray, np.ndarray]:
-        """How many of the texts of each class at these places have each word and trigram."""
-        words, tri = np.zeros((2, WORDS)), np.zeros((2, TRIGRAMS))
+    def presence(self, train: set[int]) -> dict[str, np.ndarray]:
+        """How many of the texts of each class at these places have each word and part."""
+        both = np.zeros((2, WORDS + 2 * PARTS))
+        out = {"word": both[:, :WORDS], "tri": both[:, WORDS : WORDS + PARTS], "pre": both[:, WORDS + PARTS :]}
         times = {key: sum(i in train for i in at) / len(at) for key, at in self.at.items()}
         if not self.places:
-            return words, tri
+            return out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, hashes, label = (int_column(b, c) for c in ("doc_id", "h", "label"))
+                doc, hashes, label = (int_column(b, c) for c in ("doc_id", "h", "label"))
                 for t in chunks(b):
                     for i in range(t.first, t.first + t.n):
                         k = i - t.first
                         tk = tokens(Texts(t.data[t.offsets[k] : t.offsets[k + 1]], t.offsets[k : k + 2] - t.offsets[k]))
-                        own = np.concatenate([np.unique(tk.bucket), np.unique(tk.trigram) + WORDS])
-                        share = times[int(ids[i]), int(hashes[i])]
+                        ids = present(tk)
+                        own = np.concatenate([ids["word"], ids["tri"] + WORDS, ids["pre"] + WORDS + PARTS])
+                        share = times[int(doc[i]), int(hashes[i])]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), label[i], np.int32)), pa.array(own.astype(np.int32)), pa.array(np.full(len(own), share))], names=["label", "bucket", "n"])
 
         got = self.rows.mapInArrow(run, "label int, bucket int, n double").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
-        both = np.zeros((2, WORDS + TRIGRAMS))
         both[got.column("label").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-        return both[:, :WORDS], both[:, WORDS:]
+        return out
 
 
-def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size: int = 32, rate: float = 0.01) -> Model:
+def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size: int = 32, rate: float = 0.01, seed: int = 11) -> Model:
     """`passes` steps of Adam on as many texts of label 1 as of label 0 each; a quarter of the texts is kept for calibration.
-    Texts that are None are those of `long`."""
+    Texts that are None are those of `long`. The network is the mean of those of the second half of the steps."""
     if len(y) < 10 or not 0 < y.sum() < len(y):
         return Model(None, constant=float(y.mean()) if len(y) else 0.0)
     check = np.arange(len(y)) % 4 == 3
@@ -286,12 +306,13 @@ def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size:
         train = np.arange(len(y))
     else:
         train = np.flatnonzero(~check)
-    net, rng = Network(), np.random.default_rng(3)
+    net, rng = Network(seed), np.random.default_rng(3)
     here = [i for i in train if texts[i] is not None]
-    net.start([texts[i] for i in here], y[here], np.bincount(y[train], minlength=2), *long.presence(set(train.tolist())))
+    net.start([texts[i] for i in here], y[here], np.bincount(y[train], minlength=2), long.presence(set(train.tolist())))
     found: list[list[str]] = [[] if x is None else [x] for x in texts]
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
+    mean = {k: np.zeros_like(x) for k, x in net.p.items()}
     sides = [train[y[train] == k] for k in (0, 1)]
     for step in range(1, passes + 1):
         own = np.concatenate([rng.choice(s, min(size // 2, len(s)), replace=False) for s in sides])
@@ -300,7 +321,8 @@ def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size:
                 if window not in found[i]:
                     found[i].append(window)
         t = tokens(_texts([x for i in own for x in found[i]]))
-        words = net.embed(t)
+        on = (rng.random(len(t.bucket)) >= DROP).astype(f32)
+        words = net.embed(t, on)
         row, start, length = windows(t.offsets)
         if not len(row):
             continue
@@ -313,12 +335,16 @@ def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size:
         z, kept = net.forward(words, place, live, keep=True)
         target = y[own[row[best]]]
         dz = ((_gate(z) - target) / len(best)).astype(f32)
-        g = net.backward(t, words, place, live, kept, dz)
+        g = net.backward(t, words, place, live, kept, dz, on)
         lr = rate * min(1.0, 2 * (1 - step / (passes + 1)))
         for k, d in g.items():
             m[k] += 0.1 * (d - m[k])
             v[k] += 0.01 * (d * d - v[k])
             net.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(f32)
+            if step > passes // 2:
+                mean[k] += (net.p[k] - mean[k]) / (step - passes // 2)
+    if passes:
+        net.p = mean
     at = np.flatnonzero(check)
     z = np.concatenate([text_logits(net, tokens(_texts([texts[i] or "" for i in at[k : k + 64]]))) for k in range(0, len(at), 64)])
     whole = long.strongest(net)
@@ -328,7 +354,7 @@ def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """All columns of docs but score and predicted, then these two."""
-    given = docs.sparkSession.sparkContext.broadcast(model)  # under 2 MB at any input size
+    given = docs.sparkSession.sparkContext.broadcast(model)  # about 6 MB at any input size
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
