@@ -1,14 +1,18 @@
 """Boundaries of single operators."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tillstream.functions.text import CANDIDATE, json_candidate, money, parse_receipt
-from tillstream.operators import ingest, reads, widgets
+from tillstream.operators import decision, ingest, reads, widgets
 from tillstream.operators.coherence import incoherence
 from tillstream.plans import catalogue
+from tillstream.sources import mapped
+from tillstream.streaming import jobs
 
-BASE = {"items": [{"description": "Café", "quantity": 2.0, "unit_price": 900.0, "subtotal": 1800.0, "voided": False}], "discount": None, "tip": None, "total": 1800.0, "printed_at": None}
+BASE = {"items": [{"description": "Té verde", "quantity": 3.0, "unit_price": 600.0, "subtotal": 1800.0, "voided": False}], "discount": None, "tip": None, "total": 1800.0, "printed_at": None}
 NAN, INF = float("nan"), float("inf")
 
 
@@ -60,12 +64,13 @@ def test_answers_are_read_by_type(spark):
 def test_requests_are_checked_in_order(spark):
     good = ("5f2b9c3a-1111-4444-8888-abcdefabcdef", "COM3", "2026-07-27T23:00:00.000Z", "x")
     cases = [(good, None), (("x", *good[1:]), "ticket_id"), ((good[0], "COM3\n", *good[2:]), "port"), ((good[0], "", *good[2:]), "port"), ((*good[:2], "2026-02-31T00:00:00.000Z", "x"), "captured_at"), ((*good[:2], "2026-07-27T23:00:00Z", "x"), "captured_at"), ((*good[:3], ""), "empty_text"), ((*good[:3], None), "empty_text"), ((*good[:3], "é" * 32768), None), ((*good[:3], "é" * 32769), "text_too_long")]
-    df = spark.createDataFrame([(i, "k", "T1", False, *c) for i, (c, _) in enumerate(cases)], "i int, api_key_id string, tenant_id string, corrupt boolean, ticket_id string, port string, captured_at string, raw_text string")
+    df = spark.createDataFrame([(i, "k", "T1", False, False, *c) for i, (c, _) in enumerate(cases)], "i int, api_key_id string, tenant_id string, corrupt boolean, shapeless boolean, ticket_id string, port string, captured_at string, raw_text string")
     assert {r.i: r.r for r in df.select("i", ingest.reject_reason().alias("r")).collect()} == {i: e for i, (_, e) in enumerate(cases)}
 
 
 def test_page_sizes_and_specs():
-    assert [reads.page_size(x) for x in (None, "x", 0, -1, 1.5, "7", 100, 101)] == [50, 50, 50, 50, 50, 7, 100, 100]
+    assert [reads.page_size(x) for x in (None, "x", 0, -1, 1.5, "7", 100, 101, "1e1", " 8 ")] == [50, 50, 50, 50, 50, 7, 100, 100, 10, 8]
+    assert [reads.page_size(x) for x in ("inf", "-inf", "Infinity", "nan", "1e400", "1_0", "", "٣", float("inf"))] == [50] * 9
     for bad in ({"field": "price"}, {"field": "total", "aggregation": "median"}, {"field": "total", "group_by": "tenant"}, {"field": "tip", "group_by": "description"}):
         with pytest.raises(ValueError):
             widgets.Spec("T1", **bad)
@@ -90,3 +95,83 @@ def test_every_readable_receipt_is_judged(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.reason: r["count"] for r in catalogue.coherence_all(spark, sf).groupBy("reason").count().collect()}
     assert got["T2"] > 0 and sum(got.values()) == catalogue.parse_tickets(spark, sf).where("total is not null").count()
+
+
+def test_item_lines_at_their_edges(spark):
+    void, far = "1  a   2  2  *ANULADO*", "1 x" + " " * 65_000 + "y"
+    lines = {
+        "1  a   2  2": ("a", 2, False), void: ("a", 2, True), "1  a   2  2\u0085": None, "1  a   2  2\u00a0": ("a", 2, False), "1  a\x01b   2  2": ("a\x01b", 2, False), "1\x01a\x012\x012\x01": None,
+        "1  a  2   3  4": ("a  2", 4, False), "1 a 2 2": None, "1    5  6": ("", 6, False), "1   5  6": None, "1  a   2  2 *ANULADO": None, "x 1  a   2  2": None, far: None, far + "  3  4": ("x" + " " * 65_000 + "y", 4, False),
+        "1 " + "7 " * 32_000 + "x": None, "1" * 65_000: None, "1  b\u0085c   2  2": ("b\u0085c", 2, False), "1a  b   2  2": None,
+    }
+    df = spark.createDataFrame([(i, f"{t}\nTOTAL: 2") for i, t in enumerate(lines)], "i int, t string").repartition(4)
+    began = time.time()
+    got = {r.i: r.own.candidate for r in df.select("i", parse_receipt(F.col("t")).alias("own")).collect()}
+    assert time.time() - began < 20
+    assert [None if got[i] is None else (lambda x: (x.description, x.subtotal, x.voided))(got[i]["items"][0]) for i in range(len(lines))] == list(lines.values())
+
+
+def test_blank_names_are_refused(spark):
+    df = spark.createDataFrame([(1, "ABCDE-FGHJK", "\t\u00a0", "agent-12", 1), (2, "ABCDE-FGHJK", "\u00a0till ", "agent-34", 2)], "claim_id long, code string, name string, agent_id string, seq long")
+    codes = spark.createDataFrame([("T1", "ABCDE-FGHJK", "unused")], "tenant_id string, code string, status string")
+    assert {r.claim_id: (r.outcome, r.agent_name) for r in reads.claims(df, codes).collect()} == {1: ("rejected", None), 2: ("won", "till")}
+
+
+def test_bodies_are_read_by_type(spark):
+    whole = '{"ticketId": "a", "port": "p", "capturedAt": "c", "rawText": "r"}'
+    cases = {
+        whole: (False, False, "r"), f"{whole} x": (True, False, None), f"{whole}, {whole}": (True, False, None), f"{whole}],[1": (True, False, None), whole + '}, {"a": 1': (True, False, None), "": (True, False, None), "null": (False, True, None),
+        "7": (False, True, None), '"{}"': (False, True, None), "[1]": (False, False, None), '{"rawText": 7}': (False, False, None), '{"rawText": {"a": 1}}': (False, False, None), '{"rawText": ""}': (False, False, ""), f" {whole}\n": (False, False, "r"),
+    }
+    df = spark.createDataFrame([(i, "k", b) for i, b in enumerate([*cases, None])], "arrival_seq long, api_key_id string, body string")
+    got = {r.arrival_seq: (r.corrupt, r.shapeless, r.raw_text) for r in ingest.decoded(df).collect()}
+    assert [got[i] for i in range(len(got))] == [*cases.values(), (True, False, None)]
+
+
+def test_unknown_states_and_widgets(spark):
+    with pytest.raises(ValueError):
+        reads.ticket_page(spark.createDataFrame([], "tenant_id string"), "T1", status="done")
+    shape = "tenant string, widget_id string, field string, aggregation string, group_by string, date_from string, date_to string, port string, status string"
+    specs = spark.createDataFrame([("T1", "w", "total", "sum", None, None, None, None, None), ("T1", "bad", "price", "sum", None, None, None, None, None)], shape)
+    assert widgets.stored_widget(specs, "T1", "w").field == "total"
+    with pytest.raises(KeyError):
+        widgets.stored_widget(specs, "T2", "w")
+    with pytest.raises(ValueError):
+        widgets.stored_widget(specs, "T1", "bad")
+
+
+def test_folders_of_other_months_are_not_read(spark):
+    row = ("T7", "1", "1995-03-15T00:00:00.000Z", "COM1", "parsed", "deterministic", "a", 1.0, 2.0, 2.0, False, None, None, 2.0, "T7", "1995", "03", "15")
+    rows = spark.createDataFrame([row, ("T8", *row[1:14], "T8", *row[15:])], decision.flatten(spark.createDataFrame([], jobs.OUTCOME)).schema)
+    items = catalogue.written_items(spark, rows)
+    assert items.count() == 1
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("PushedFilters")[0]
+    assert all(c in filters for c in ("tenant#", "year#", "month#", "day#")) and "concat_ws" in filters
+    assert widgets.matching(items, widgets.Spec("T7", "subtotal"), years=(2024, 2035)).count() == 0
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    sf, out = "/root/testdata/sf0.001", str(tmp_path)
+    events, tenants = mapped.change_events(spark, sf), mapped.tenants(spark, sf)
+    halves = [events.where(f"o_orderkey % 2 = {k}") for k in (0, 1)]
+
+    def state():
+        return [sorted(map(str, spark.read.parquet(f"{out}/{t}").collect())) for t in ("tickets", "items", "quarantine")]
+
+    for k in (0, 1):
+        jobs.ticket_batch(halves[k], k, tenants, None, out, ("tenant", "year"))
+    once = state()
+    jobs.ticket_batch(halves[1], 1, tenants, None, out, ("tenant", "year"))
+    assert state() == once and once[1]
+    # a later version of a ticket takes the place of the earlier one
+    again = halves[0].withColumn("raw_text", F.lit("1  other   2  2\nTOTAL: 2"))
+    jobs.ticket_batch(again, 2, tenants, None, out, ("tenant", "year"))
+    items = spark.read.parquet(f"{out}/items")
+    assert {r.description for r in items.where("ticket_id % 2 = 0").collect()} == {"other"}
+    assert items.where("ticket_id % 2 = 1").count() == sum(int(r.split("ticket_id='")[1].split("'")[0]) % 2 for r in once[1])
+    rows = spark.createDataFrame([("T1", "2026-01-01T00:00:00.000Z", "t", 5), ("T1", "2026-01-01T00:00:00.000Z", "t", 3)], "tenant_id string, captured_at string, ticket_id string, arrival_seq long")
+    for _ in range(2):
+        jobs.dedup_batch(rows, 0, f"{out}/seen")
+        jobs.dedup_batch(rows.withColumn("arrival_seq", F.lit(9).cast("long")), 1, f"{out}/seen")
+    assert [r.arrival_seq for r in spark.read.parquet(f"{out}/seen").collect()] == [3]

@@ -6,13 +6,19 @@ mark and others), not Spark's blank alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
-# fixed values: the receipt layout that a parser reads
-ITEM_LINE = rf"^{BLANKS}*(\d+){BLANKS}+(.+?){BLANKS}{{2,}}(\d+){BLANKS}+(\d+)({BLANKS}+\*ANULADO\*)?{BLANKS}*$"
-DATE_LINE = rf"Fecha:{BLANKS}*(\d{{2}})/(\d{{2}})/(\d{{4}}).*Hora:{BLANKS}*(\d{{2}}):(\d{{2}})"
+ANY = r"[^\n\r\u2028\u2029]"
+# fixed values: the receipt layout that a parser reads. An item line is quantity, description, two blanks or more, unit
+# price, subtotal, and a mark if it is void; its two ends are matched apart, each without backtracking
+ITEM_HEAD, VOID = r"\A\d++", r"\*ANULADO\*"
+NUMBERS = rf"(\d++){BLANKS}++(\d++)({BLANKS}++{VOID})?\z"
+ITEM_TAIL = rf"(?<={BLANKS}){NUMBERS}"
+DATE_LINE = rf"Fecha:{BLANKS}*+(\d{{2}})/(\d{{2}})/(\d{{4}}){ANY}*Hora:{BLANKS}*+(\d{{2}}):(\d{{2}})"
 TOTAL, DISCOUNT, TIP = "TOTAL:", "Descuento", "Propina"
 
 ITEM = "struct<description:string,quantity:double,unit_price:double,subtotal:double,voided:boolean>"
@@ -20,7 +26,13 @@ CANDIDATE = f"struct<items:array<{ITEM}>,discount:double,tip:double,total:double
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{BLANKS}+|{BLANKS}+\z", "")
+    """Without white space at both ends; linear in the text, as a run of blanks is entered at its start only."""
+    return F.regexp_replace(text, rf"\A{BLANKS}++|(?<!{BLANKS}){BLANKS}++\z", "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value planned and computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def money(text: Column) -> Column:
@@ -41,24 +53,37 @@ def parse_receipt(raw: Column) -> Column:
     blank, date, item, total, discount, tip; of several total, discount or tip lines the last counts."""
 
     def tagged(line: Column) -> Column:
-        # one pass of each pattern: an item line is rewritten with its groups parted by a control character
-        is_date = F.contains(line, F.lit("Fecha:")) & line.rlike(DATE_LINE)
-        parts = F.split(F.regexp_replace(line, ITEM_LINE, "$1\x01$2\x01$3\x01$4\x01$5"), "\x01", -1)
-        return F.transform(F.array(F.struct(is_date.alias("date"), parts.alias("parts"))), lambda x: _tag(line, x["date"], x["parts"]))[0]
+        is_date = F.contains(line, F.lit("Hora:")) & line.rlike(DATE_LINE)
+        return let(is_date, lambda date: let(F.when(~date & line.rlike(ITEM_HEAD), _item_parts(line)), lambda parts: _tag(line, date, parts)))
 
     lines = F.transform(F.split(raw, "\r?\n", -1), lambda x: tagged(strip(x)))
-    # the tagged lines stand once in the plan: the rest reads them through a one-element array
-    return F.transform(F.array(lines), _assemble)[0]
+    return let(lines, _assemble)
+
+
+def _item_parts(line: Column) -> Column:
+    """array<quantity, description, unit price, subtotal, void mark> of a trimmed line, or NULL if it is no item."""
+
+    def with_middle(tail: Column, middle: Column) -> Column:
+        name = strip(middle)
+        ends = middle.rlike(rf"\A{BLANKS}") & F.when(name == "", F.length(middle) >= 4).otherwise(middle.rlike(rf"{BLANKS}{{2}}\z"))
+        numbers = [F.regexp_extract(tail, rf"\A{NUMBERS}", k) for k in (1, 2, 3)]
+        return F.when(ends & ~name.rlike(r"[\n\r\u2028\u2029]"), F.array(F.regexp_extract(line, ITEM_HEAD, 0), name, *numbers))
+
+    def with_tail(tail: Column) -> Column:
+        head = F.length(F.regexp_extract(line, ITEM_HEAD, 0))
+        return F.when(tail != "", let(F.substring(line, head + 1, F.length(line) - head - F.length(tail)), lambda middle: with_middle(tail, middle)))
+
+    return let(F.regexp_extract(line, ITEM_TAIL, 0), with_tail)
 
 
 def _tag(line: Column, is_date: Column, parts: Column) -> Column:
-    is_item = ~is_date & (F.size(parts) == 5)
+    is_item = parts.isNotNull()
     item = F.struct(
-        strip(parts[1]).alias("description"), parts[0].try_cast("double").alias("quantity"), parts[2].try_cast("double").alias("unit_price"),
+        parts[1].alias("description"), parts[0].try_cast("double").alias("quantity"), parts[2].try_cast("double").alias("unit_price"),
         parts[3].try_cast("double").alias("subtotal"), (parts[4] != "").alias("voided"),
     )
     kind = (
-        F.when(line == "", "blank").when(is_date, "date").when(is_item, "item")
+        F.when(is_item, "item").when(line == "", "blank").when(is_date, "date")
         .when(line.startswith(TOTAL), "total").when(line.startswith(DISCOUNT), "discount").when(line.startswith(TIP), "tip").otherwise("other")
     )
     y, mo, d, h, mi = (F.regexp_extract(line, DATE_LINE, k).try_cast("int") for k in (3, 2, 1, 4, 5))

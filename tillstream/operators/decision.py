@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.functions.text import json_candidate, parse_receipt
+from tillstream.functions.text import CANDIDATE, json_candidate, parse_receipt
 from tillstream.operators.coherence import incoherence
 
 #: Parsers by id: raw text to struct<candidate, poison>. Add one to plug in another layout.
@@ -70,14 +70,18 @@ def decide(tickets: DataFrame, tenants: DataFrame, answers: DataFrame | None = N
     return out.select("tenant_id", "captured_at", "ticket_id", "port", "d.status", "d.parsed_by", "d.reason", candidate.alias("candidate"))
 
 
+def foldered(outcomes: DataFrame) -> DataFrame:
+    """With the columns that item tables are partitioned by: tenant and the parts of the instant's day, as text."""
+    at = F.col("captured_at")
+    return outcomes.withColumns({"tenant": F.col("tenant_id"), "year": F.substring(at, 1, 4), "month": F.substring(at, 6, 2), "day": F.substring(at, 9, 2)})
+
+
 def flatten(outcomes: DataFrame) -> DataFrame:
     """One row per item of accepted receipts, the receipt's own columns repeated, with the partition columns."""
-    day = F.col("captured_at")
-    rows = outcomes.where(F.col("status").isin("parsed", "needs_review")).select("*", F.explode("candidate.items").alias("i"))
+    rows = foldered(outcomes).where(F.col("status").isin("parsed", "needs_review")).select("*", F.explode("candidate.items").alias("i"))
     return rows.select(
         "tenant_id", "ticket_id", "captured_at", "port", "status", "parsed_by", "i.description", "i.quantity", "i.unit_price", "i.subtotal", F.coalesce("i.voided", F.lit(False)).alias("voided"),
-        "candidate.discount", "candidate.tip", "candidate.total",
-        F.col("tenant_id").alias("tenant"), F.substring(day, 1, 4).alias("year"), F.substring(day, 6, 2).alias("month"), F.substring(day, 9, 2).alias("day"),
+        "candidate.discount", "candidate.tip", "candidate.total", "tenant", "year", "month", "day",
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: shapes and the largest text that is taken
@@ -14,11 +14,30 @@ KEY = ["tenant_id", "captured_at", "ticket_id"]
 BODY = "ticket_id string, port string, captured_at string, raw_text string"
 
 
+def json_value(text: Column) -> Column:
+    """The JSON value that a text is, as a VARIANT; NULL if it is none. The parser stops behind the first value, so
+    the text is read as the only member of an array and of an object: text behind the value fits one of them at most."""
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(inside, "$[1]", "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+    return F.when(alone, F.try_variant_get(inside, "$[0]", "variant"))
+
+
+def is_object(v: Column) -> Column:
+    """An object or an array, which has no fields."""
+    return F.coalesce(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)<"), F.lit(False))
+
+
+def string_field(v: Column, path: str) -> Column:
+    """A field's text; NULL where it is missing or of another type."""
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+
+
 def decoded(requests: DataFrame) -> DataFrame:
-    """requests (api_key_id, arrival_seq, body JSON) with the body's fields; `_corrupt` is set where it is no JSON."""
-    at = F.from_json("body", "ticketId string, port string, capturedAt string, rawText string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-    rows = requests.withColumn("b", at)
-    return rows.select("api_key_id", "arrival_seq", F.col("b.ticketId").alias("ticket_id"), "b.port", F.col("b.capturedAt").alias("captured_at"), F.col("b.rawText").alias("raw_text"), (F.col("b").isNull() | F.col("b._corrupt").isNotNull()).alias("corrupt"))
+    """requests (api_key_id, arrival_seq, body JSON) with the body's fields, read by type; `corrupt`: the body is no
+    JSON value, `shapeless`: it is one without fields."""
+    rows = requests.withColumn("b", json_value(F.col("body")))
+    fields = [string_field(F.col("b"), f"$.{a}").alias(c) for a, c in (("ticketId", "ticket_id"), ("port", "port"), ("capturedAt", "captured_at"), ("rawText", "raw_text"))]
+    return rows.select("api_key_id", "arrival_seq", *fields, F.col("b").isNull().alias("corrupt"), (F.col("b").isNotNull() & ~is_object(F.col("b"))).alias("shapeless"))
 
 
 def resolve_tenant(requests: DataFrame, agents: DataFrame, tenants: DataFrame) -> DataFrame:
@@ -33,7 +52,7 @@ def reject_reason() -> Column:
     """The first rule that a request fails, or NULL."""
     text = F.coalesce("raw_text", F.lit(""))
     return (
-        F.when(F.col("api_key_id").isNull(), "no_key").when(F.col("tenant_id").isNull(), "unknown_key").when(F.col("corrupt"), "no_json")
+        F.when(F.col("api_key_id").isNull(), "no_key").when(F.col("tenant_id").isNull(), "unknown_key").when(F.col("corrupt"), "no_json").when(F.col("shapeless"), "not_object")
         .when(~F.coalesce(F.col("ticket_id").rlike(UUID_SHAPE), F.lit(False)), "ticket_id")
         .when(~F.coalesce(F.col("port").rlike(PORT_SHAPE) & (F.length("port") <= MAX_PORT), F.lit(False)), "port")
         .when(~F.coalesce(F.col("captured_at").rlike(INSTANT_SHAPE) & F.try_to_timestamp("captured_at").isNotNull(), F.lit(False)), "captured_at")
@@ -42,19 +61,30 @@ def reject_reason() -> Column:
 
 
 def first_of_each(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """The earliest arrival of each (tenant, instant, ticket) that is not in `seen`. Aggregated
-    before the shuffle, so that a ticket sent over and over costs one row per task."""
-    rest = [c for c in rows.columns if c not in (*KEY, "arrival_seq")]
-    out = rows.groupBy(*KEY).agg(F.min(F.struct("arrival_seq", *rest)).alias("x")).select(*KEY, "x.*")
+    """Key and arrival_seq of the earliest arrival of each (tenant, instant, ticket) that is not in `seen`. Aggregated
+    before the shuffle, so that a ticket sent over and over costs one row per task; payloads are not moved."""
+    out = rows.groupBy(*KEY).agg(F.min("arrival_seq").alias("arrival_seq"))
     return out if seen is None else out.join(seen.select(*KEY), KEY, "left_anti")
 
 
+def with_payload(tickets: DataFrame, payloads: DataFrame) -> DataFrame:
+    """tickets with raw_text, looked up by (tenant, ticket); a missing payload is an empty text."""
+    own = payloads.select("tenant_id", "ticket_id", "raw_text")
+    return tickets.join(own, ["tenant_id", "ticket_id"], "left").withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
+
+
+def write_payloads(rows: DataFrame, path: str) -> None:
+    """The raw table: the latest payload of each (tenant, ticket), in a folder per tenant; a retry replaces what was there."""
+    out = latest_payload(rows).withColumn("tenant", F.col("tenant_id"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant").parquet(path)
+
+
 def latest_payload(rows: DataFrame) -> DataFrame:
     """The text that was written last for each (tenant, ticket)."""
     return rows.groupBy("tenant_id", "ticket_id").agg(F.max_by("raw_text", "arrival_seq").alias("raw_text"))
 
 
 def current_state(outcomes: DataFrame) -> DataFrame:
-    """The latest outcome (by `version`) of each ticket."""
-    at = Window.partitionBy(*KEY).orderBy(F.desc("version"))
-    return outcomes.withColumn("n", F.row_number().over(at)).where("n = 1").drop("n")
+    """The latest outcome (by `version`) of each ticket; one that was never decided has its first state."""
+    last = outcomes.groupBy(*KEY).agg(F.max("version").alias("version"))
+    return outcomes.join(last, [*KEY, "version"]).dropDuplicates([*KEY])

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillstream.functions.text import strip
+
+# fixed values: page sizes, the shape of an activation code, states of a ticket, and what lists show
 DEFAULT_PAGE, MAX_PAGE = 50, 100
+STATUSES = ("pending", "parsed", "needs_review", "failed")
+PUBLIC_TICKET = ("ticket_id", "port", "captured_at", "status", "parsed_at", "items", "total", "discount", "tip", "fail_reason", "parsed_by")
+PUBLIC_WIDGET = ("widget_id", "name", "visualization", "metric", "group_by", "filters", "created_at")
+PUBLIC_AGENT = ("agent_id", "name", "created_at", "last_seen_at")
+PUBLIC_CODE = ("code", "status", "created_at", "used_at", "agent_id")
 CODE_SHAPE = r"\A[A-Z2-9]{5}-[A-Z2-9]{5}\z"
 
 
 def page_size(limit: object) -> int:
     """A whole number of 1 or more, 100 at most; anything else is 50."""
-    try:
-        n = float(str(limit).strip() or "x")
-    except ValueError:
-        return DEFAULT_PAGE
-    return min(int(n), MAX_PAGE) if n >= 1 and n == int(n) else DEFAULT_PAGE
+    text = str(limit).strip()
+    n = float(text) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text, re.A) else float("nan")
+    return int(min(n, MAX_PAGE)) if n >= 1 and n.is_integer() else DEFAULT_PAGE
 
 
 def cursor(captured_at: Column, ticket_id: Column) -> Column:
@@ -31,7 +39,10 @@ def cursor_place(text: Column) -> Column:
 
 
 def ticket_page(tickets: DataFrame, tenant: str, limit: object = None, status: str | None = None, after: tuple[str, str] | None = None) -> DataFrame:
-    """A tenant's tickets, newest first by (captured_at, ticket_id), behind the place `after`; `more` tells of a next page."""
+    """A tenant's tickets, newest first by (captured_at, ticket_id), behind the place `after`; `more` tells of a next
+    page, `next` in the last row is the cursor that asks for it. An unknown status is an error."""
+    if status is not None and status not in STATUSES:
+        raise ValueError(f"unknown status {status!r}")
     n, rows = page_size(limit), tickets.where(F.col("tenant_id") == tenant)
     if status is not None:
         rows = rows.where(F.col("status") == status)
@@ -39,7 +50,19 @@ def ticket_page(tickets: DataFrame, tenant: str, limit: object = None, status: s
         rows = rows.where((F.col("captured_at") < after[0]) | ((F.col("captured_at") == after[0]) & (F.col("ticket_id") < after[1])))
     top = rows.orderBy(F.desc("captured_at"), F.desc("ticket_id")).limit(n + 1)  # n + 1 tells if there is more
     numbered = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("captured_at"), F.desc("ticket_id"))))  # at most 101 rows
-    return numbered.withColumn("more", F.max("place").over(Window.partitionBy(F.lit(1))) > n).where(F.col("place") <= n)
+    paged = numbered.withColumn("more", F.max("place").over(Window.partitionBy(F.lit(1))) > n).where(F.col("place") <= n)
+    return paged.withColumn("next", F.when(F.col("more") & (F.col("place") == n), cursor(F.col("captured_at"), F.col("ticket_id"))))
+
+
+def public_tickets(outcomes: DataFrame, tenant: str) -> DataFrame:
+    """The 11 columns that a tenant sees of its decided tickets."""
+    c, done = F.col("candidate"), F.col("status").isin("parsed", "needs_review")
+    parsed_at = F.col("parsed_at") if "parsed_at" in outcomes.columns else F.lit(None).cast("timestamp")
+    rows = outcomes.where(F.col("tenant_id") == tenant).withColumns({
+        "parsed_at": F.when(done, parsed_at), "items": c["items"], "total": c["total"], "discount": c["discount"], "tip": c["tip"],
+        "fail_reason": F.when(~done & (F.col("status") != "pending"), F.col("reason")),
+    })
+    return rows.select(*PUBLIC_TICKET)
 
 
 def registry(rows: DataFrame, tenant: str, *columns: str) -> DataFrame:
@@ -49,14 +72,14 @@ def registry(rows: DataFrame, tenant: str, *columns: str) -> DataFrame:
 def claims(requests: DataFrame, codes: DataFrame) -> DataFrame:
     """Each claim with its outcome: `won`, or `rejected` (malformed name or code, unknown or used code,
     or a code that an earlier claim won). requests: claim_id, code, name, agent_id, seq."""
-    named = (F.trim(F.coalesce("name", F.lit("x"))) != "") & (F.length(F.coalesce("name", F.lit("x"))) <= 100)
+    named = (strip(F.coalesce("name", F.lit("x"))) != "") & (F.length(F.coalesce("name", F.lit("x"))) <= 100)
     valid = F.coalesce(F.col("code").rlike(CODE_SHAPE), F.lit(False)) & named
     free = codes.where("status = 'unused'").select("tenant_id", "code").dropDuplicates(["code"])
     ok = requests.where(valid).join(free, "code")
     first = ok.groupBy("code").agg(F.min(F.struct("seq", "claim_id")).alias("f")).select(F.col("f.claim_id").alias("claim_id"), F.lit(True).alias("won"))
     out = requests.join(first, "claim_id", "left").join(free, "code", "left")
     won = F.coalesce("won", F.lit(False))
-    shown = F.coalesce(F.trim("name"), F.concat(F.lit("Robot "), F.substring("agent_id", 1, 8)))
+    shown = F.coalesce(strip(F.col("name")), F.concat(F.lit("Robot "), F.substring("agent_id", 1, 8)))
     return out.select("claim_id", "code", F.when(won, F.col("tenant_id")).alias("tenant_id"), F.when(won, shown).alias("agent_name"), F.when(won, "won").otherwise("rejected").alias("outcome"))
 
 

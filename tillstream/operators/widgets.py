@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillstream.functions.text import strip
+from tillstream.operators.ingest import is_object, json_value, string_field
+
 # fixed values: business name to column; which measures are per item and which per ticket
 ITEM_FIELDS = {"quantity": "quantity", "unitPrice": "unit_price", "subtotal": "subtotal"}
 TICKET_FIELDS = {"discount": "discount", "tip": "tip", "total": "total"}
@@ -44,15 +47,18 @@ class Spec:
             raise ValueError("a ticket's measure can't be grouped by its items")
 
 
-def matching(items: DataFrame, spec: Spec) -> DataFrame:
+def matching(items: DataFrame, spec: Spec, folders: tuple[str, ...] = (), years: tuple[int, int] | None = None) -> DataFrame:
     """The tenant's rows within the filters. Bounds compare as text, inclusive, on purpose: a date-only
-    upper bound leaves out that day. With partition columns an implied day range prunes the scan."""
+    upper bound leaves out that day. `folders`: which of year, month and day the table is partitioned by, in this
+    order; bounds on them are implied, so that the scan leaves other folders out. years: those that are visible, all by default."""
     rules = [F.col("tenant") == spec.tenant]
-    day = F.concat_ws("-", "year", "month", "day") if {"year", "month", "day"} <= set(items.columns) else None
+    begin, digits = F.concat_ws("-", *folders), (0, 4, 7, 10)[len(folders)]
     if spec.date_from is not None:
-        rules += [F.col("captured_at") >= spec.date_from] + ([day >= spec.date_from[:10]] if day is not None else [])
+        rules += [F.col("captured_at") >= spec.date_from] + [begin >= spec.date_from[:digits]] * bool(folders)
     if spec.date_to is not None:
-        rules += [F.col("captured_at") <= spec.date_to] + ([day <= spec.date_to[:10]] if day is not None else [])
+        rules += [F.col("captured_at") <= spec.date_to] + [begin <= spec.date_to[:digits]] * bool(folders)
+    if years is not None:
+        rules.append((F.col("year") if "year" in items.columns else F.substring("captured_at", 1, 4)).between(*(f"{y:04d}" for y in years)))
     rules += [F.col(c) == v for c, v in (("port", spec.port), ("status", spec.status)) if v is not None]
     return items.where(reduce(Column.__and__, rules))
 
@@ -66,7 +72,7 @@ def shaped(rows: DataFrame, digits: int | None) -> DataFrame:
 
 def _ticket_grain(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per ticket and keys: a ticket's measures are repeated on its items, the larger of unequal copies counts."""
-    return rows.groupBy("ticket_id", *keys).agg(*(F.max(c).alias(c) for c in TICKET_FIELDS.values()))
+    return rows.groupBy("tenant", "ticket_id", *keys).agg(*(F.max(c).alias(c) for c in TICKET_FIELDS.values()))
 
 
 def widget_query(items: DataFrame, spec: Spec, digits: int | None = None) -> DataFrame:
@@ -86,17 +92,28 @@ def widget_query(items: DataFrame, spec: Spec, digits: int | None = None) -> Dat
 
 
 def every_measure(items: DataFrame, fields: dict[str, str], group: str | None = None, digits: tuple[int, int] = (2, 4)) -> DataFrame:
-    """(field, aggregation[, label], value) of all measures of a grain in one pass over the items; of groups the 50 largest each."""
+    """(tenant, field, aggregation[, label], value) of all tenants and measures of a grain in one pass over the items; of groups the 50 largest each."""
     keys = [] if group is None else [GROUPS[group]]
     rows = _ticket_grain(items, keys) if fields is TICKET_FIELDS else items
     pairs = [(f, a) for f in fields for a in AGGREGATIONS]
     named = [F.struct(F.lit(f).alias("field"), F.lit(a).alias("aggregation"), F.round(AGGREGATIONS[a](fields[f]).cast("double"), digits[a == "avg"]).alias("value")) for f, a in pairs]
-    out = rows.groupBy(*(F.col(k).alias("label") for k in keys)).agg(F.array(*named).alias("m"))
-    out = shaped(out.select(*(["label"] if keys else []), F.explode("m").alias("m")).select(*(["label"] if keys else []), "m.*"), None)
-    if not keys:
-        return out
-    place = F.row_number().over(Window.partitionBy("field", "aggregation").orderBy(F.desc("value"), F.asc("label")))
-    return out.withColumn("place", place).where(F.col("place") <= TOP).drop("place")
+    by = ["tenant", *(["label"] if keys else [])]
+    out = rows.groupBy("tenant", *(F.col(k).alias("label") for k in keys)).agg(F.array(*named).alias("m"))
+    out = shaped(out.select(*by, F.explode("m").alias("m")).select(*by, "m.*"), None)
+    return _largest(out, "tenant", "field", "aggregation") if keys else out
+
+
+def _largest(rows: DataFrame, *per: str) -> DataFrame:
+    """The TOP groups of each; groups are few beside the rows they come from, so a window by tenant holds little."""
+    place = F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("value"), F.asc("label")))
+    return rows.withColumn("place", place).where(F.col("place") <= TOP).drop("place")
+
+
+def every_event_count(items: DataFrame, group: str | None = None) -> DataFrame:
+    """(tenant[, label], value): distinct tickets of all tenants; of groups the 50 largest of each tenant."""
+    keys = [] if group is None else [F.col(GROUPS[group]).alias("label")]
+    out = shaped(items.groupBy("tenant", *keys).agg(F.count_distinct("ticket_id").alias("value")), None)
+    return _largest(out, "tenant") if keys else out
 
 
 def widgets_batch(items: DataFrame, specs: DataFrame, digits: int = 4) -> DataFrame:
@@ -122,8 +139,7 @@ def widgets_batch(items: DataFrame, specs: DataFrame, digits: int = 4) -> DataFr
         .when(F.col("aggregation") == "max", F.col("max")).when(F.col("aggregation") == "min", F.col("min")).otherwise(F.col("count").cast("double"))
     )
     out = by_item.unionByName(by_ticket).select(*keys, F.round(F.coalesce(value, F.lit(0.0)), digits).alias("value"))
-    place = F.row_number().over(Window.partitionBy("tenant", "widget_id").orderBy(F.desc("value"), F.asc("label")))
-    out = out.withColumn("place", place).where(F.col("place") <= TOP).drop("place")
+    out = _largest(out, "tenant", "widget_id")
     none = specs.where("group_by is null").select("tenant", "widget_id").join(out, ["tenant", "widget_id"], "left_anti")
     return out.unionByName(none.select("tenant", "widget_id", F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("value")))
 
@@ -133,7 +149,7 @@ def spec_reject(name: Column, visualization: Column, field: Column, aggregation:
     fields, empty = (*ITEM_FIELDS, *TICKET_FIELDS, EVENTS), F.lit("")
     bad_date = lambda c: c.isNotNull() & ~c.rlike(DATE_SHAPE)
     return (
-        F.when((F.trim(F.coalesce(name, empty)) == "") | (F.length(name) > 100), "name")
+        F.when((strip(F.coalesce(name, empty)) == "") | (F.length(name) > 100), "name")
         .when(~F.coalesce(visualization, empty).isin(*VISUALS), "visualization")
         .when(~F.coalesce(field, empty).isin(*fields), "field")
         .when(~F.coalesce(aggregation, empty).isin(*AGGREGATIONS), "aggregation")
@@ -146,6 +162,42 @@ def spec_reject(name: Column, visualization: Column, field: Column, aggregation:
     )
 
 
+SPEC_PATHS = {
+    "name": "$.name", "visualization": "$.visualization", "field": "$.metric.field", "aggregation": "$.metric.aggregation", "group_by": "$.groupBy",
+    "date_from": "$.filters.dateFrom", "date_to": "$.filters.dateTo", "port": "$.filters.port", "status": "$.filters.status",
+}
+
+
+def checked_bodies(rows: DataFrame, body: str = "body") -> DataFrame:
+    """rows (without their body) with the reason why the widget it asks for can't be stored, or NULL and the widget's
+    fields, the name trimmed. A field of another type than text is an invalid one; a null counts as one."""
+    rows = rows.withColumn("v", json_value(F.col(body)))
+    there = lambda path: F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    # what is there but no text stands as one that no rule takes
+    fields = {c: F.when(there(path).isNotNull(), F.coalesce(string_field(F.col("v"), path), F.lit("\0"))) for c, path in SPEC_PATHS.items()}
+    rows = rows.withColumns(fields).withColumns({"metric": is_object(F.try_variant_get("v", "$.metric", "variant")), "filters": there("$.filters").isNull() | is_object(F.try_variant_get("v", "$.filters", "variant"))})
+    rows = rows.withColumn("name", F.when(F.col("name") != "\0", F.col("name")))
+    first = spec_reject(*(F.col(c) for c in SPEC_PATHS))
+    early = F.coalesce(first.isin("name", "visualization"), F.lit(False))
+    reason = (
+        F.when(F.col("v").isNull(), "no_json").when(~is_object(F.col("v")), "not_object").when(early, first).when(~F.col("metric"), "metric")
+        .when(~F.col("filters") & (first.isNull() | first.isin("date_from", "date_to", "port", "status")), "filters").otherwise(first)
+    )
+    rows = rows.withColumn("reason", reason)
+    kept = [c for c in rows.columns if c not in (body, "v", "metric", "filters", "reason", *SPEC_PATHS)]
+    shown = {c: F.when(F.col("reason").isNull(), strip(F.col(c)) if c == "name" else F.col(c)).alias(c) for c in SPEC_PATHS}
+    return rows.select(*kept, "reason", *shown.values())
+
+
+def stored_widget(specs: DataFrame, tenant: str, widget_id: str) -> Spec:
+    """The widget of a tenant with an id, checked anew: ValueError if its fields are invalid, KeyError if there is none."""
+    names = ("field", "aggregation", "group_by", "date_from", "date_to", "port", "status")
+    row = specs.where((F.col("tenant") == tenant) & (F.col("widget_id") == widget_id)).select(*names).first()  # one row
+    if row is None:
+        raise KeyError(f"no widget {widget_id!r}")
+    return Spec(tenant, **row.asDict())
+
+
 def field_catalogue(items: DataFrame) -> DataFrame:
     """kind, name and, for groupings, how many values the items have."""
     counted = items.agg(*(F.count_distinct(c).alias(g) for g, c in GROUPS.items()))

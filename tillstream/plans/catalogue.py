@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -27,8 +26,11 @@ def query(f: Query) -> Query:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or of this machine where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tillstream-')}/job-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which driver and executors share; without that setting nothing is written."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared}/job-{uuid.uuid4().hex}"
 
 
 @query
@@ -43,8 +45,7 @@ def kpi_ticket_all(spark, sf_dir):
 
 @query
 def kpi_event_count(spark, sf_dir):
-    out = widgets.widget_query(mapped.ticket_items(spark, sf_dir), widgets.Spec(TENANT, widgets.EVENTS))
-    return out.select(F.lit(TENANT).alias("tenant"), "value")
+    return widgets.every_event_count(mapped.ticket_items(spark, sf_dir))
 
 
 def _grouped(name: str, fields: dict[str, str], group: str) -> None:
@@ -59,7 +60,15 @@ for _g, _c in widgets.GROUPS.items():
 
 @query
 def group_events_by_description(spark, sf_dir):
-    return widgets.widget_query(mapped.ticket_items(spark, sf_dir), widgets.Spec(TENANT, widgets.EVENTS, group_by="description"))
+    return widgets.every_event_count(mapped.ticket_items(spark, sf_dir), "description")
+
+
+@query
+def group_unlabelled(spark, sf_dir):
+    """Sales by port where the port of some tickets is unknown."""
+    items = mapped.ticket_items(spark, sf_dir)
+    items = items.withColumn("port", F.when(F.col("ticket_id").cast("long") % 7 != 0, F.col("port")))
+    return widgets.widget_query(items, widgets.Spec(TENANT, "subtotal", group_by="port"), 2).select(F.lit(TENANT).alias("tenant"), "label", "value")
 
 
 @query
@@ -85,6 +94,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+@query
+def widget_empty(spark, sf_dir):
+    """Widgets that no row meets: one value is 0, a table has no points."""
+    items = mapped.ticket_items(spark, sf_dir)
+    specs = {"kpi": {"field": "quantity", "status": "failed"}, "ticket_kpi": {"field": "total", "port": "none"}, "grouped": {"field": "quantity", "group_by": "port", "status": "failed"}}
+    shown = [widgets.widget_query(items, widgets.Spec(TENANT, **s)).agg(F.count("*").alias("points"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")).select(F.lit(n).alias("widget"), "points", "value") for n, s in specs.items()]
+    return _union(shown)
+
+
+@query
+def widget_by_id(spark, sf_dir):
+    return widgets.widget_query(mapped.ticket_items(spark, sf_dir), widgets.stored_widget(widget_specs(spark, sf_dir), TENANT, "w2"), 4)
+
+
 def widget_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine widgets for each tenant."""
     none = "cast(null as string)"
@@ -110,6 +133,11 @@ def widget_spec_validation(spark, sf_dir):
     return rows.select("widget", widgets.spec_reject(*(F.col(c) for c in names)).alias("reason"))
 
 
+@query
+def widget_body_validation(spark, sf_dir):
+    return widgets.checked_bodies(mapped.widget_bodies(spark, sf_dir)).select("widget", "reason", "name")
+
+
 @query
 def field_catalogue(spark, sf_dir):
     return widgets.field_catalogue(mapped.ticket_items(spark, sf_dir))
@@ -136,12 +164,23 @@ def ingest_tenant_resolve(spark, sf_dir):
 
 @query
 def ingest_dedup(spark, sf_dir):
-    return ingest.first_of_each(_accepted(spark, sf_dir)).select(*ingest.KEY, "arrival_seq")
+    return ingest.first_of_each(_accepted(spark, sf_dir))
 
 
 @query
 def raw_latest_payload(spark, sf_dir):
-    return ingest.latest_payload(_accepted(spark, sf_dir))
+    """Written as the raw table, by tenant, and read from there."""
+    path, rows = work_dir(spark), _accepted(spark, sf_dir)
+    ingest.write_payloads(rows, path)
+    return spark.read.schema("tenant_id string, ticket_id string, raw_text string").parquet(path).select("tenant_id", "ticket_id", "raw_text")
+
+
+@query
+def payload_lookup(spark, sf_dir):
+    """The texts of the tickets that were taken, and of others that have none."""
+    rows = _accepted(spark, sf_dir)
+    asked = rows.select("tenant_id", "ticket_id").distinct().unionByName(_tickets(spark, sf_dir).select("tenant_id", "ticket_id"))
+    return ingest.with_payload(asked, ingest.latest_payload(rows))
 
 
 @query
@@ -181,13 +220,26 @@ def parse_junk(spark, sf_dir):
 @query
 def coherence(spark, sf_dir):
     """Receipts whose numbers close, and ones with a single fault put in."""
-    return _judged(_candidates(spark, sf_dir).where((F.col("own.candidate.total") <= 500_000) & (F.col("own.candidate.total") >= 0) & (F.size("own.candidate.items") <= 50)))
+    return _judged(_candidates(spark, sf_dir))
 
 
 @query
 def coherence_all(spark, sf_dir):
-    """The same of all receipts, also those whose own total or number of items is out of bounds."""
-    return _judged(_candidates(spark, sf_dir))
+    """Receipts with a fault for each of the rules, by their number."""
+    rows, c = _candidates(spark, sf_dir), F.col("own.candidate")
+    f = F.floor(F.col("o_orderkey") / 8) % 40
+    first = lambda field, value: c.withField("items", F.transform(c["items"], lambda x, i: F.when(i == 0, x.withField(field, value(x))).otherwise(x)))
+    number = lambda v: lambda x: F.lit(v)
+    faults = [
+        c.withField("total", F.lit(float("nan"))), c.withField("total", F.lit(-1.0)), c.withField("total", F.lit(500001.0)), c.withField("items", F.filter(c["items"], lambda x: F.lit(False))),
+        c.withField("items", F.array_repeat(c["items"][0], 51)), first("description", number(" \u00a0")), first("quantity", number(float("nan"))), first("quantity", number(0.0)), first("unit_price", number(-1.0)),
+        first("unit_price", number(500001.0)), first("subtotal", number(500001.0)), first("subtotal", lambda x: x["subtotal"] + 2), c.withField("discount", F.lit(-1.0)), c.withField("discount", F.lit(500001.0)),
+        c.withField("tip", F.lit(-1.0)), c.withField("tip", F.lit(500001.0)), c.withField("total", c["total"] + 2),
+    ]
+    case = F.when(f == 0, faults[0])
+    for k, fault in enumerate(faults[1:], 1):
+        case = case.when(f == k, fault)
+    return rows.select("ticket_id", incoherence(case.otherwise(c)).alias("reason"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,6 +290,12 @@ def decide(spark, sf_dir):
     return _decided(spark, sf_dir, True).select("tenant_id", "ticket_id", "status", "parsed_by", "reason")
 
 
+@query
+def decide_deterministic(spark, sf_dir):
+    """Without a model's answers."""
+    return _decided(spark, sf_dir, False).select("tenant_id", "ticket_id", "status", "parsed_by", "reason")
+
+
 @query
 def quarantine(spark, sf_dir):
     return decision.quarantine(_decided(spark, sf_dir, True)).select("tenant_id", "ticket_id", "reason")
@@ -250,19 +308,23 @@ def flatten_items(spark, sf_dir):
 
 @query
 def sink_roundtrip(spark, sf_dir):
-    """The item table written by tenant and day and read again with a tenant and a range of days, which prune folders."""
-    path, rows = work_dir(spark), decision.flatten(_decided(spark, sf_dir, False))
-    rows.repartition("tenant", "year").write.partitionBy("tenant", "year", "month").parquet(path)
+    """The item table written by tenant and year (its days hold a few rows each) and read again with a tenant and a range of days, which prune folders."""
+    return written_items(spark, decision.flatten(_decided(spark, sf_dir, False)), ("year",)).groupBy("tenant", "year", "month").agg(F.count("*").alias("n_items"), F.round(F.sum("subtotal"), 2).alias("subtotal"))
+
+
+def written_items(spark: SparkSession, rows: DataFrame, folders: tuple[str, ...] = ("year", "month", "day")) -> DataFrame:
+    path = work_dir(spark)
+    rows.repartition("tenant", *folders).write.partitionBy("tenant", *folders).parquet(path)
     schema = spark.createDataFrame([], rows.schema).schema
     spec = widgets.Spec(TENANT, "subtotal", date_from="1994-01-01", date_to="1995-12-31T23:59:59.999Z")
-    return widgets.matching(spark.read.schema(schema).parquet(path), spec).groupBy("tenant", "year", "month").agg(F.count("*").alias("n_items"), F.round(F.sum("subtotal"), 2).alias("subtotal"))
+    return widgets.matching(spark.read.schema(schema).parquet(path), spec, folders)
 
 
 def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.tickets(spark, sf_dir).withColumnRenamed("tenant", "tenant_id")
 
 
-_PAGE = ("ticket_id", "captured_at", "status", "place", "more")
+_PAGE = ("ticket_id", "captured_at", "status", "place", "more", "next")
 
 
 @query
@@ -278,10 +340,29 @@ def ticket_page_status(spark, sf_dir):
 @query
 def ticket_page_next(spark, sf_dir):
     first = reads.ticket_page(_tickets(spark, sf_dir), TENANT, 20)
-    at = first.orderBy(F.desc("place")).select(reads.cursor_place(reads.cursor(F.col("captured_at"), F.col("ticket_id"))).alias("p")).first()  # one row
+    at = first.where("next is not null").select(reads.cursor_place(F.col("next")).alias("p")).first()  # one row
     return reads.ticket_page(_tickets(spark, sf_dir), TENANT, 20, after=(at.p.c, at.p.t) if at else None).select(*_PAGE)
 
 
+@query
+def public_tickets(spark, sf_dir):
+    out = reads.public_tickets(_decided(spark, sf_dir, True), TENANT)
+    return out.withColumn("n_items", F.when(F.col("items").isNotNull(), F.size("items")).cast("long")).drop("items", "parsed_at")
+
+
+@query
+def registry_columns(spark, sf_dir):
+    """Widgets, agents and codes of a tenant with all that is shown of them, as text."""
+    specs = widget_specs(spark, sf_dir).withColumns({"name": F.upper("widget_id"), "visualization": F.when(F.col("group_by").isNull(), "kpi").otherwise("bar"), "created_at": F.lit("2026-01-01"), "tenant_id": F.col("tenant")})
+    specs = specs.withColumns({"metric": F.struct("field", "aggregation"), "filters": F.struct("date_from", "date_to", "port", "status")})
+    w = reads.registry(specs, TENANT, *reads.PUBLIC_WIDGET)
+    a = reads.registry(mapped.agents(spark, sf_dir), TENANT, *reads.PUBLIC_AGENT)
+    c = reads.registry(mapped.registry_codes(spark, sf_dir), TENANT, *reads.PUBLIC_CODE)
+    row = lambda kind, key, *shown: [F.lit(kind).alias("kind"), F.col(key).alias("id"), F.concat_ws("|", *shown).alias("shown")]
+    widget = w.select(*row("widget", "widget_id", "name", "visualization", "metric.field", "metric.aggregation", "group_by", "filters.date_from", "filters.date_to", "filters.port", "filters.status", "created_at"))
+    return _union([widget, a.select(*row("agent", "agent_id", "name", "created_at", "last_seen_at")), c.select(*row("code", "code", "status", "created_at", "used_at", "agent_id"))])
+
+
 @query
 def registry_lists(spark, sf_dir):
     agents = reads.registry(mapped.agents(spark, sf_dir), TENANT, "agent_id").select(F.lit("agent").alias("kind"), F.col("agent_id").alias("id"))
@@ -307,12 +388,53 @@ def stream_parse(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
+def _arriving(spark: SparkSession, rows: DataFrame, by: str, path: str, run: Callable[[DataFrame], None]) -> None:
+    """Hands rows to a job in three portions, in the order of a column; each is written when the job is through with those before."""
+    lo, hi = rows.agg(F.min(by), F.max(by)).first()  # one row
+    step = (hi - lo) // 3 + 1 if lo is not None else 1
+    for k in range(3):
+        rows.where(F.floor((F.col(by) - F.lit(lo)) / step) == k).write.mode("append").parquet(f"{path}/in")
+        run(jobs.source(spark, f"{path}/in", rows.schema, 1000))
+
+
 @query
 def stream_dedup(spark, sf_dir):
-    """Requests in order of arrival, as three files that come one by one."""
+    """Requests in order of arrival, in three portions."""
     path = work_dir(spark)
     rows = _accepted(spark, sf_dir)
-    rows.repartitionByRange(3, "arrival_seq").write.parquet(f"{path}/in")
-    jobs.dedup_stream(jobs.source(spark, f"{path}/in", rows.schema), f"{path}/out", f"{path}/log")
-    # of equal keys in several files the least arrival counts, whichever file came first
-    return ingest.first_of_each(jobs.read_batches(spark, f"{path}/out", rows.schema)).select(*ingest.KEY, "arrival_seq")
+    _arriving(spark, rows, "arrival_seq", path, lambda stream: jobs.dedup_stream(stream, f"{path}/out", f"{path}/log"))
+    keys = rows.select(*ingest.KEY, "arrival_seq")
+    return jobs.read_batches(spark, f"{path}/out", keys.schema).select(*keys.columns)
+
+
+@query
+def stream_claims(spark, sf_dir):
+    path, codes = work_dir(spark), mapped.codes(spark, sf_dir)
+    _arriving(spark, mapped.claim_requests(spark, sf_dir), "seq", path, lambda stream: jobs.claims_stream(stream, codes, f"{path}/out", f"{path}/log"))
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+def _ticket_tables(spark: SparkSession, sf_dir: str) -> str:
+    """The tables that the change log of all tickets makes, in three portions."""
+    path, tenants = work_dir(spark), mapped.tenants(spark, sf_dir)
+    _arriving(spark, mapped.change_events(spark, sf_dir), "o_orderkey", path, lambda stream: jobs.ticket_stream(stream, tenants, None, f"{path}/out", f"{path}/log", ("tenant", "year")))
+    return f"{path}/out"
+
+
+@query
+def stream_tickets(spark, sf_dir):
+    """The current state of all tickets."""
+    out = jobs.read_batches(spark, f"{_ticket_tables(spark, sf_dir)}/tickets", jobs.OUTCOME)
+    return ingest.current_state(out).select("tenant_id", "ticket_id", "status", "parsed_by", "reason")
+
+
+@query
+def stream_gold(spark, sf_dir):
+    """The item table."""
+    schema = spark.createDataFrame([], decision.flatten(_decided(spark, sf_dir, False)).schema).schema
+    return spark.read.schema(schema).parquet(f"{_ticket_tables(spark, sf_dir)}/items").select("tenant_id", "ticket_id", "description", "quantity", "subtotal", "voided", "discount", "tip", "total", "year", "month", "day")
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    return spark.read.parquet(f"{_ticket_tables(spark, sf_dir)}/quarantine").select("tenant_id", "ticket_id", "reason")

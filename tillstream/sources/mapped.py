@@ -79,7 +79,8 @@ def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     key = F.concat(F.lit("K"), (F.col("s_suppkey") % 60 + 20).cast("string"))
-    return s.select(F.concat(F.lit("T"), F.col("s_nationkey").cast("string")).alias("tenant_id"), F.col("s_suppkey").cast("string").alias("agent_id"), key.alias("api_key_id"))
+    own = [F.col("s_name").alias("name"), F.lit("2026-01-02").alias("created_at"), F.lit(None).cast("string").alias("last_seen_at")]
+    return s.select(F.concat(F.lit("T"), F.col("s_nationkey").cast("string")).alias("tenant_id"), F.col("s_suppkey").cast("string").alias("agent_id"), key.alias("api_key_id"), *own)
 
 
 #: Fields of an ingest request by event, as SQL that Spark and other engines read alike; every rule is broken by some.
@@ -90,14 +91,21 @@ REQUEST_FIELDS = """
   CASE WHEN event_id % 31 = 0 THEN 'not-a-uuid' ELSE concat('0000', lpad(CAST(event_id % 3000 AS STRING), 4, '0'), '-0000-4000-8000-00000000000A') END AS ticket_id,
   CASE event_id % 29 WHEN 0 THEN '' WHEN 1 THEN 'COM 3' WHEN 2 THEN repeat('p', 65) ELSE concat('COM', CAST(user_id % 9 AS STRING)) END AS port,
   CASE event_id % 37 WHEN 0 THEN '2026-02-31T00:00:00.000Z' WHEN 1 THEN '2026-01-01' ELSE concat('2026-01-', lpad(CAST(1 + event_id % 28 AS STRING), 2, '0'), 'T10:00:00.000Z') END AS captured_at,
-  CASE event_id % 41 WHEN 0 THEN '' WHEN 1 THEN repeat('ñ', 32769) WHEN 2 THEN repeat('ñ', 32768) ELSE concat('receipt ', CAST(event_id AS STRING)) END AS raw_text
+  CASE event_id % 41 WHEN 0 THEN '' WHEN 1 THEN repeat('ñ', 32769) WHEN 2 THEN repeat('ñ', 32768) ELSE concat('receipt ', CAST(event_id AS STRING)) END AS raw_text,
+  CASE event_id % 53 WHEN 0 THEN 'trailing' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' WHEN 3 THEN 'object' WHEN 4 THEN 'array' WHEN 5 THEN 'null' WHEN 6 THEN 'list' WHEN 7 THEN 'missing' ELSE 'whole' END AS form
 """
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """api_key_id, arrival_seq and the JSON body of each ingest request."""
     rows = table(spark, sf_dir, "events").selectExpr(*[x.strip() for x in _columns(REQUEST_FIELDS)])
-    body = F.to_json(F.struct(F.col("ticket_id").alias("ticketId"), "port", F.col("captured_at").alias("capturedAt"), F.col("raw_text").alias("rawText")))
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    other = lambda form, value, c: F.when(F.col("form") == form, F.lit(value)).otherwise(quoted(c))
+    text = F.when(F.col("form") == "boolean", "true").when(F.col("form") == "object", '{"a": 7}').otherwise(quoted("raw_text"))
+    members = F.concat(F.lit('"ticketId": '), other("array", "[1, 2]", "ticket_id"), F.lit(', "port": '), other("number", "5", "port"), F.lit(', "capturedAt": '), quoted("captured_at"))
+    members = F.when(F.col("form") == "missing", members).otherwise(F.concat(members, F.lit(', "rawText": '), text))
+    body = F.concat(F.lit("{"), members, F.lit("}"), F.when(F.col("form") == "trailing", " and more").otherwise(""))
+    body = F.when(F.col("form") == "null", "null").when(F.col("form") == "list", "[1]").otherwise(body)
     return rows.select("api_key_id", "arrival_seq", F.when(F.col("corrupt"), F.lit('{"ticketId": ')).otherwise(body).alias("body"))
 
 
@@ -121,3 +129,36 @@ def claim_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("event_id") % 11 == 0, "aaaaa-00000").otherwise(_code(F.col("user_id")))
     name = F.when(F.col("event_id") % 7 == 0, " ").when(F.col("event_id") % 3 == 0, F.concat(F.lit(" till "), F.col("event_id").cast("string")))
     return e.select(F.col("event_id").alias("claim_id"), F.col("event_id").alias("seq"), code.alias("code"), name.alias("name"), F.concat(F.lit("agent-"), F.col("event_id").cast("string")).alias("agent_id"))
+
+
+#: Bodies of widgets by event: JSON that breaks each rule on shapes and types.
+WIDGET_BODIES = """
+  event_id AS widget,
+  CASE event_id % 12 WHEN 0 THEN '7' WHEN 1 THEN '{"name": 5, "visualization": "kpi"}' WHEN 2 THEN '{"name": "w", "visualization": "kpi", "metric": "total"}' WHEN 3 THEN '{"name": "w", "visualization": "kpi", "metric": {"field": 1, "aggregation": "sum"}}'
+    WHEN 4 THEN '{"name": "w", "visualization": "kpi", "metric": {"field": "total", "aggregation": "sum"}, "groupBy": null}' WHEN 5 THEN '{"name": "w", "visualization": "kpi", "metric": {"field": "total", "aggregation": "sum"}, "filters": null}'
+    WHEN 6 THEN '{"name": "w", "visualization": "bar", "metric": {"field": "total", "aggregation": "sum"}, "groupBy": "port", "filters": {"dateFrom": 20260101}}' WHEN 7 THEN '{"name": "w", "visualization": "bar", "metric": {"field": "total", "aggregation": "sum"}, "groupBy": "port", "filters": {"port": "COM3", "status": 1}}'
+    WHEN 8 THEN '{"name": "w"} trailing' WHEN 9 THEN '{"name": " \\\\t\\\\u00a0", "visualization": "kpi"}' WHEN 10 THEN '{"name": " w ", "visualization": "bar", "metric": {"field": "quantity", "aggregation": "avg"}, "groupBy": "description", "filters": {"dateTo": "2026-07-31"}}'
+    ELSE concat('{"name": "', event_type, '", "visualization": "kpi", "metric": {"field": "total", "aggregation": "sum"}}') END AS body
+"""
+
+
+def widget_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON body of a request to store a widget for each event."""
+    widget, body = WIDGET_BODIES.strip().split(",\n", 1)
+    return table(spark, sf_dir, "events").selectExpr(widget, body)
+
+
+def registry_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The activation codes with the columns of the registry."""
+    used = F.col("status") == "used"
+    c = table(spark, sf_dir, "customer").select(_code(F.col("c_custkey")).alias("code"), F.concat(F.lit("agent-"), F.col("c_custkey").cast("string")).alias("by"))
+    rows = codes(spark, sf_dir).join(c, "code").withColumns({"created_at": F.lit("2026-01-03"), "used_at": F.when(used, "2026-01-04"), "agent_id": F.when(used, F.col("by"))})
+    return rows.drop("by")
+
+
+def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log of the ticket table: an INSERT of each receipt as pending, and changes that must not be parsed again."""
+    r = receipts(spark, sf_dir).select("tenant_id", "ticket_id", "o_orderkey", "captured_at", "port", "raw_text")
+    new = r.select("*", F.lit("INSERT").alias("event"), F.lit("pending").alias("status"))
+    changed = r.where("o_orderkey % 4 = 1").withColumn("raw_text", F.lit("1  other   2  2\nTOTAL: 2"))
+    return new.unionByName(changed.select("*", F.lit("MODIFY").alias("event"), F.lit("pending").alias("status"))).unionByName(changed.select("*", F.lit("INSERT").alias("event"), F.lit("parsed").alias("status")))

@@ -6,9 +6,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillstream.operators.ingest import first_of_each
+from tillstream.operators import decision, reads
+from tillstream.operators.ingest import KEY, current_state, first_of_each
+
+OUTCOME = "tenant_id string, captured_at string, ticket_id string, port string, status string, parsed_by string, reason string, " + f"candidate {decision.CANDIDATE}, version bigint"
 
 
 def run_available(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -20,14 +24,15 @@ def source(spark: SparkSession, path: str, schema: StructType, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def read_batches(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
+def read_batches(spark: SparkSession, path: str, schema: StructType | str, before: int | None = None) -> DataFrame:
     """What all batches wrote (those before one, if it is given); no folder yet is an empty table."""
+    empty = spark.createDataFrame([], schema)
     try:
-        rows = spark.read.schema(StructType([*schema.fields]).add("batch", "long")).parquet(path)
+        rows = spark.read.schema(StructType([*empty.schema.fields]).add("batch", "long")).parquet(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
+        return empty
     return (rows if before is None else rows.where(f"batch < {before}")).drop("batch")
 
 
@@ -37,10 +42,50 @@ def transform_stream(stream: DataFrame, step: Callable[[DataFrame], DataFrame],
 
 
 def dedup_stream(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """First writer wins over all time: exact, against all that earlier batches accepted."""
+    """First writer wins over all time: exact, against the keys that earlier batches accepted on the days of this one.
+    What is written are keys and arrival, in folders by batch and day."""
+    run_available(stream, lambda rows, n: dedup_batch(rows, n, out), checkpoint)
+
+
+def dedup_batch(rows: DataFrame, n: int, out: str) -> None:
+    schema = rows.select(*KEY, "arrival_seq", F.lit("").alias("day")).schema
+    day = F.substring("captured_at", 1, 10).alias("day")
+    days = rows.select(day).distinct()  # few: they prune the folders that are read
+    seen = read_batches(rows.sparkSession, out, schema, n).join(F.broadcast(days), "day", "left_semi")
+    new = first_of_each(rows, seen).select(*KEY, "arrival_seq", day)
+    new.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={n}")
+
+
+def claims_stream(stream: DataFrame, codes: DataFrame, out: str, checkpoint: str) -> None:
+    """Activation claims, first wins: a code that an earlier batch gave away is no longer free."""
+    run_available(stream, lambda rows, n: claims_batch(rows, n, codes, out), checkpoint)
+
+
+def claims_batch(rows: DataFrame, n: int, codes: DataFrame, out: str) -> None:
+    shape = "claim_id bigint, code string, tenant_id string, agent_name string, outcome string"
+    gone = read_batches(rows.sparkSession, out, shape, n).where("outcome = 'won'").select("code")
+    reads.claims(rows, codes.join(gone, "code", "left_anti")).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+
+def pending(events: DataFrame) -> DataFrame:
+    """New tickets of the change log that wait to be parsed; other changes, also those that parsing itself makes, are none."""
+    return events.where("event = 'INSERT' and status = 'pending'")
+
+
+def ticket_stream(stream: DataFrame, tenants: DataFrame, answers: DataFrame | None, out: str, checkpoint: str, folders: tuple[str, ...] = ("tenant", "year", "month", "day")) -> None:
+    """New tickets become outcomes (`tickets`, one version a batch), items (`items`) and unreadable receipts (`quarantine`)."""
+    run_available(stream, lambda rows, n: ticket_batch(rows, n, tenants, answers, out, folders), checkpoint)
 
-    def work(rows: DataFrame, n: int) -> None:
-        seen = read_batches(rows.sparkSession, out, rows.schema, n)
-        first_of_each(rows, seen).select(*rows.columns).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    run_available(stream, work, checkpoint)
+def ticket_batch(events: DataFrame, n: int, tenants: DataFrame, answers: DataFrame | None, out: str, folders: tuple[str, ...]) -> None:
+    """One batch. Outcomes are written first. The item table follows from them: folders that the batch touches are
+    written anew from the current state of their tickets, so that running a batch again changes nothing, and an
+    item table that is lost can be made from the outcomes."""
+    spark = events.sparkSession
+    decision.decide(pending(events), tenants, answers).withColumn("version", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{out}/tickets/batch={n}")
+    own = spark.read.schema(OUTCOME).parquet(f"{out}/tickets/batch={n}")
+    decision.quarantine(own).write.mode("overwrite").parquet(f"{out}/quarantine/batch={n}")
+    touched = F.broadcast(decision.foldered(own).select(*folders).distinct())  # the folders of one batch
+    state = decision.foldered(read_batches(spark, f"{out}/tickets", OUTCOME, n + 1)).join(touched, list(folders), "left_semi")
+    rows = decision.flatten(current_state(state))
+    rows.repartition(*folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(f"{out}/items")
