@@ -56,22 +56,21 @@ def parse_receipt(raw: Column) -> Column:
         is_date = F.contains(line, F.lit("Hora:")) & line.rlike(DATE_LINE)
         return let(is_date, lambda date: let(F.when(~date & line.rlike(ITEM_HEAD), _item_parts(line)), lambda parts: _tag(line, date, parts)))
 
-    lines = F.transform(F.split(raw, "\r?\n", -1), lambda x: tagged(strip(x)))
+    lines = F.transform(F.split(raw, "\r?\n", -1), lambda x: let(strip(x), tagged))
     return let(lines, _assemble)
 
 
 def _item_parts(line: Column) -> Column:
     """array<quantity, description, unit price, subtotal, void mark> of a trimmed line, or NULL if it is no item."""
 
-    def with_middle(tail: Column, middle: Column) -> Column:
-        name = strip(middle)
+    def with_name(tail: Column, middle: Column, name: Column) -> Column:
         ends = middle.rlike(rf"\A{BLANKS}") & F.when(name == "", F.length(middle) >= 4).otherwise(middle.rlike(rf"{BLANKS}{{2}}\z"))
         numbers = [F.regexp_extract(tail, rf"\A{NUMBERS}", k) for k in (1, 2, 3)]
         return F.when(ends & ~name.rlike(r"[\n\r\u2028\u2029]"), F.array(F.regexp_extract(line, ITEM_HEAD, 0), name, *numbers))
 
     def with_tail(tail: Column) -> Column:
         head = F.length(F.regexp_extract(line, ITEM_HEAD, 0))
-        return F.when(tail != "", let(F.substring(line, head + 1, F.length(line) - head - F.length(tail)), lambda middle: with_middle(tail, middle)))
+        return F.when(tail != "", let(F.substring(line, head + 1, F.length(line) - head - F.length(tail)), lambda middle: let(strip(middle), lambda name: with_name(tail, middle, name))))
 
     return let(F.regexp_extract(line, ITEM_TAIL, 0), with_tail)
 

@@ -30,7 +30,8 @@ def parsed(tickets: DataFrame) -> DataFrame:
     raw, chain = F.coalesce("raw_text", F.lit("")), None
     for name, parse in PARSERS.items():
         chain = (F if chain is None else chain).when(F.col("parser") == name, parse(raw))
-    return tickets.withColumn("own", chain)
+    # out of an explode, so that later filters are not pushed below the parser, which they would repeat for each use of its result
+    return tickets.select("*", F.explode(F.array(chain)).alias("own"))
 
 
 def _outcome(status: str, parsed_by: str | None = None, reason: Column | None = None) -> Column:

@@ -14,12 +14,15 @@ KEY = ["tenant_id", "captured_at", "ticket_id"]
 BODY = "ticket_id string, port string, captured_at string, raw_text string"
 
 
-def json_value(text: Column) -> Column:
-    """The JSON value that a text is, as a VARIANT; NULL if it is none. The parser stops behind the first value, so
-    the text is read as the only member of an array and of an object: text behind the value fits one of them at most."""
-    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(inside, "$[1]", "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
-    return F.when(alone, F.try_variant_get(inside, "$[0]", "variant"))
+def with_json(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the JSON value that a text is, as a VARIANT; NULL if it is none. The parser stops behind the first value, so
+    the text is read as the only member of an array, and where it could close that early, of an object too: text
+    behind the value fits one of them at most."""
+    t, inside = F.col(text), F.col(f"{name}_inside")
+    rows = rows.withColumn(f"{name}_inside", F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))))
+    closed = ~F.contains(t, F.lit("]")) | F.try_parse_json(F.concat(F.lit('{"a":'), t, F.lit("}"))).isNotNull()
+    alone = closed & F.try_variant_get(inside, "$[1]", "variant").isNull()
+    return rows.withColumn(name, F.when(alone, F.try_variant_get(inside, "$[0]", "variant"))).drop(f"{name}_inside")
 
 
 def is_object(v: Column) -> Column:
@@ -35,7 +38,7 @@ def string_field(v: Column, path: str) -> Column:
 def decoded(requests: DataFrame) -> DataFrame:
     """requests (api_key_id, arrival_seq, body JSON) with the body's fields, read by type; `corrupt`: the body is no
     JSON value, `shapeless`: it is one without fields."""
-    rows = requests.withColumn("b", json_value(F.col("body")))
+    rows = with_json(requests, "body", "b")
     fields = [string_field(F.col("b"), f"$.{a}").alias(c) for a, c in (("ticketId", "ticket_id"), ("port", "port"), ("capturedAt", "captured_at"), ("rawText", "raw_text"))]
     return rows.select("api_key_id", "arrival_seq", *fields, F.col("b").isNull().alias("corrupt"), (F.col("b").isNotNull() & ~is_object(F.col("b"))).alias("shapeless"))
 

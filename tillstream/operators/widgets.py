@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillstream.functions.text import strip
-from tillstream.operators.ingest import is_object, json_value, string_field
+from tillstream.operators.ingest import is_object, string_field, with_json
 
 # fixed values: business name to column; which measures are per item and which per ticket
 ITEM_FIELDS = {"quantity": "quantity", "unitPrice": "unit_price", "subtotal": "subtotal"}
@@ -171,7 +171,7 @@ SPEC_PATHS = {
 def checked_bodies(rows: DataFrame, body: str = "body") -> DataFrame:
     """rows (without their body) with the reason why the widget it asks for can't be stored, or NULL and the widget's
     fields, the name trimmed. A field of another type than text is an invalid one; a null counts as one."""
-    rows = rows.withColumn("v", json_value(F.col(body)))
+    rows = with_json(rows, body, "v")
     there = lambda path: F.schema_of_variant(F.try_variant_get("v", path, "variant"))
     # what is there but no text stands as one that no rule takes
     fields = {c: F.when(there(path).isNotNull(), F.coalesce(string_field(F.col("v"), path), F.lit("\0"))) for c, path in SPEC_PATHS.items()}

@@ -192,7 +192,7 @@ def parse_money(spark, sf_dir):
 
 
 def _parsed(receipts: DataFrame) -> DataFrame:
-    return receipts.withColumn("own", parse_receipt(F.col("raw_text")))
+    return receipts.select("*", F.explode(F.array(parse_receipt(F.col("raw_text")))).alias("own"))  # see decision.parsed
 
 
 def _parsed_tickets(receipts: DataFrame) -> DataFrame:
