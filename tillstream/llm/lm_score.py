@@ -122,7 +122,9 @@ def resolved(needed: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> Da
         low = F.lit(1 / 256)
         if out is not None:
             at, low = at.withColumn("tail", _shorter(k - 1)).join(out.select(F.col("key").alias("tail"), F.col("p").alias("low")), "tail"), F.col("low")
-        out = kept(at.select("key", F.coalesce("p", F.coalesce("fall", F.lit(1.0)) * low).alias("p")), "resolved")
+        old, out = out, kept(at.select("key", F.coalesce("p", F.coalesce("fall", F.lit(1.0)) * low).alias("p")), "resolved")
+        if old is not None:
+            forget(old)
     return out
 
 
@@ -244,7 +246,9 @@ def score(docs: DataFrame, hold_out: int = 10) -> DataFrame:
     pairs = own.select("row", "doc_id", F.explode(F.arrays_zip("keys", "seen")).alias("x")).select("row", "doc_id", F.col("x.keys").alias("key"), F.col("x.seen").alias("n"))
     # only held-out documents have pairs that were not observed
     needed = kept(pairs.where(held_out(F.col("doc_id"), hold_out)).select("key").distinct().join(top, "key", "left_anti"), "needed")
-    all_pairs = top.where(size < least).select("key", "p").unionByName(resolved(needed, levels))
+    last = resolved(needed, levels)
+    forget(needed, *(t for level in levels for t in level if t is not top))
+    all_pairs = top.where(size < least).select("key", "p").unionByName(last)
     rest = pairs.join(all_pairs, "key").groupBy("row").agg(F.sum(F.col("n") * F.log10("p")).alias("rest"))
     out = own.drop("rare", "times", "keys", "seen").join(sums, "row", "left").join(rest, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * norm
