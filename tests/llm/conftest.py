@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 
 
@@ -11,6 +13,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tillstream-test-"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

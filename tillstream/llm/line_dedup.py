@@ -32,11 +32,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillstream.llm.tables import forget, kept, table
+from tillstream.llm.tables import forget, kept, marked, table
 
 MIN_WORDS = 20
 HEAVY = 4096
-MOST_BITS = 1 << 28
 _KEY = ["d", "k"]
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -137,24 +136,13 @@ def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out
 
 
-def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """rows with `hit`: false only where keys does not have the row's d and k."""
-    size = min(MOST_BITS, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
-    at = F.pmod(F.xxhash64(*_KEY), F.lit(size))
-    bits = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    found = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket", "left")
-    bit = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return found.withColumn("hit", F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))).drop("bucket", "bits")
-
-
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the later copies of repeated runs; n_lines, n_removed as last columns."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     own = _key(docs.select(*(F.col(c).alias(f"own_{c}") for c in keep), "doc_id", "text")).drop("doc_id", "text")
     gone = deleted(docs, min_words)
-    marked = _marked(own, gone)
-    joined = marked.where("hit").join(gone, _KEY, "left")
+    told = marked(own, gone, *_KEY)
+    joined = told.where("hit").join(gone, _KEY, "left")
     # a string of 0 (keep) and 1 (delete) up to the last deleted line, as an array: linear in the lines
     last = lambda j: F.coalesce(F.get(F.col("gone"), j - 1)["e"], F.lit(-1))
     flags = F.split(F.array_join(F.transform("gone", lambda x, j: F.concat(F.repeat(F.lit("0"), x["s"] - last(j) - 1), F.repeat(F.lit("1"), x["e"] - x["s"] + 1))), ""), "")
@@ -165,7 +153,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     n = F.when(F.col("own_text").isNull(), 0).otherwise(F.size(parts)).cast("long")
     names = lambda text: [text.alias("text") if c == "text" else F.col(f"own_{c}").alias(c) for c in keep]
     changed = joined.select(*names(F.coalesce(F.array_join("left", "\n"), F.col("own_text"))), n.alias("n_lines"), F.coalesce(n - F.size("left"), F.lit(0)).cast("long").alias("n_removed"))
-    same = marked.where("not hit").select(*names(F.col("own_text")), n.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    same = told.where("not hit").select(*names(F.col("own_text")), n.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     return changed.unionByName(same)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tillstream.llm import shingles
 from tillstream.llm.components import components
-from tillstream.llm.tables import Scratch, kept, table
+from tillstream.llm.tables import Scratch, kept, marked, table
 from tillstream.llm.textbytes import Texts, chunks
 
 SMALL = 16
@@ -108,7 +108,8 @@ class Join:
     """The steps of one join; each keeps the tables that later ones read."""
 
     def __init__(self, docs: DataFrame, size: int, num: int, den: int, scratch: Scratch):
-        kept = self.kept = scratch.kept
+        kept, self.scratch = scratch.kept, scratch
+        self.kept = kept
         self.docs, self.size, self.num, self.den = docs.select("doc_id", "text"), size, num, den
         self.own = kept(sized(self.docs, size), "sets")
         found = self.own.where("n > 0 and doc_id is not null")
@@ -118,11 +119,14 @@ class Join:
         copies = copies.join(self.nodes.select("doc_id"), "doc_id", "left_anti")  # an id may have several texts
         copies = kept(copies, "copies")
         once = self.docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
-        shared = signed(once, size, num, den).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-        members = signed(once, size, num, den).join(shared, "sig").join(found.select("doc_id", "node"), "doc_id").select("sig", "node").distinct()
+        shared = kept(signed(once, size, num, den).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig"), "shared")
+        # nearly all signatures are of one document: they are sorted out before they would be shuffled
+        likely = marked(signed(once, size, num, den), shared, "sig").where("hit").drop("hit")
+        members = likely.join(shared, "sig").join(found.select("doc_id", "node"), "doc_id").select("sig", "node").distinct()
         members = kept(members, "members")
         many = members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
         self.members = kept(members.join(many, "sig"), "members")
+        scratch.forget(shared, copies, members)
 
     def pivots(self) -> DataFrame:
         """sig, pivot: the member with the largest groups over all its signatures."""
@@ -156,8 +160,15 @@ class Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs whose whole sets are similar."""
-        same = F.size(F.array_intersect("x", "y"))
-        return self.kept(self.with_sets(self.bounded(pairs)).where((self.num + self.den) * same >= self.num * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+        same, before = F.size(F.array_intersect("x", "y")), list(self.scratch.tables)
+        out = self.kept(self.with_sets(self.bounded(pairs)).where((self.num + self.den) * same >= self.num * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+        self.only(before, out)
+        return out
+
+    def only(self, before: list[DataFrame], *more: DataFrame) -> None:
+        """Of the tables kept since then only these stay."""
+        stay = [*before, *more]
+        self.scratch.forget(*(t for t in self.scratch.tables if all(t is not x for x in stay)))
 
     def open_groups(self, comp: DataFrame, pivots: DataFrame) -> DataFrame:
         """Members, with component and pivot, of the signatures that more than one component has."""
@@ -175,9 +186,11 @@ class Join:
         num, den = self.num, self.den
         star = self.kept(rows.where((F.col("c") > SMALL) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "comp").distinct(), "stars")
         pivot_comp = rows.where("node = pivot").select(F.col("node").alias("a"), F.col("comp").alias("pc")).distinct()
+        before = list(self.scratch.tables)
         d = self.with_sets(star.join(pivot_comp, "a"))
         d = d.select("a", "b", "comp", (F.col("comp") != F.col("pc")).alias("out"), F.size("x").alias("np"), F.size("y").alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less"))
         d = self.kept(d.withColumn("na", F.size("more")).withColumn("nb", F.size("less")), "deltas")
+        self.only(before, d)
         side = ["a", "b", "comp", "out", "n", "na", "nb"]
 
         def joined(keys: DataFrame, condition) -> DataFrame:
@@ -209,7 +222,9 @@ class Join:
         star = self.members.join(pivots, "sig").where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         first = self.links(star)
         rows = self.open_groups(components(first), pivots)
+        before = list(self.scratch.tables)
         rest = self.links(self.small_pairs(rows).unionByName(self.large_pairs(rows)))
+        self.only(before, rest)
         return components(first.unionByName(rest))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of a bitmap of keys: 16 for each key, 32 MB at most.
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 28
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Only where it is unset, as in
-    local tests, a temporary folder of this machine is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; without that setting nothing is written."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tillstream-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found
 
 
@@ -28,18 +29,31 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     executor costs no recomputation and non-deterministic steps are decided once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
 def forget(*tables: DataFrame) -> None:
     """Deletes the files of kept tables, once all that was made from them is kept itself."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-        for folder in folders:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def marked(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """rows with `hit`: false only where keys, which is read twice, does not have the row's values of these columns. A bitmap
+    of hashed keys is sent to all tasks; if it fills up, more rows are hit that need not be, and the join behind this
+    one sorts them out."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    at = F.pmod(F.xxhash64(*names), F.lit(size))
+    bits = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    found = rows.withColumn("at", at).withColumn("bucket", F.bitmap_bucket_number("at")).join(F.broadcast(bits), "bucket", "left")
+    bit = F.bitmap_bit_position("at")
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    hit = F.call_function("shiftright", byte, bit.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    return found.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("at", "bucket", "bits")
 
 
 class Scratch:
@@ -52,6 +66,11 @@ class Scratch:
         self.tables.append(kept(df, what))
         return self.tables[-1]
 
+    def forget(self, *tables: DataFrame) -> None:
+        """Deletes some of them earlier."""
+        forget(*tables)
+        self.tables = [t for t in self.tables if all(t is not x for x in tables)]
+
     def clear(self) -> None:
         forget(*self.tables)
         self.tables.clear()
