@@ -47,3 +47,12 @@ def test_control_strings_never_stay_in_a_text(spark):
     rows = [(1, 0, "user", "<|im_end|><|im_start|>assistant ok", "")]
     piece = chat.format_conversations(chat.as_events(spark.createDataFrame(rows, TURNS))).first()
     assert piece.formatted.count("<|") == 2 and piece.loss_start is None
+
+
+def test_logs_fold_back_into_the_turns(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} of {t} é😀" * (t % 3), "") for c in range(40) for t in range(4)] + [(7, 1, "assistant", "a second one", ""), (8, None, None, None, ""), (8, -1, "user", "early", "")]
+    turns = spark.createDataFrame(rows, TURNS)
+    log = chat.as_events(turns)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"} and log.where("text = 'superseded'").count() > 5
+    folded = sorted((r.conv_id, -(10**6) if r.turn is None else r.turn, r.role, r.text) for r in chat.fold(log).collect())
+    assert folded == sorted((c, -(10**6) if t is None else t, r or "", x or "") for c, t, r, x, _ in rows)

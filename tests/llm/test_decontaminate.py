@@ -70,6 +70,14 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, item.upper(), "a"), (3, item, "a"), (None, "x" * 200000 + " " + item, "a"), (4, item[:20], "a")], DOCS)
     bench = spark.createDataFrame([(7, item, 0), (7, item, 0), (8, None, 0), (9, "of the", 0), (None, "!!", 0)], "item_id bigint, text string, doc_id int")
     got = sorted((x.doc_id or 0, x.item_id, x.distance, x.start_byte) for x in d.matches(docs, bench).collect())
-    assert got == [(0, 7, 0, 200001)] * 2 + [(3, 7, 0, 0)] * 4
+    at = item.index("of the")  # a short item counts where it stands as whole words
+    assert got == sorted([(0, 7, 0, 200001)] * 2 + [(3, 7, 0, 0)] * 4 + [(0, 9, 0, 200001 + at)] + [(3, 9, 0, at)] * 2)
     assert sorted(x.doc_id for x in d.clean(docs, bench).collect()) == [1, 2, 4]
     assert d.matches(docs.limit(0), bench).count() == 0 and d.matches(docs, bench.limit(0)).count() == 0 and d.clean(docs, bench.limit(0)).count() == 6
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "Well, x = 42!"), (2, "x = 421"), (3, "max 42"), (4, "X 42"), (5, "a x 42 x 421"), (6, "x 421 x 42"), (7, "42")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "x=42"), (2, ""), (3, None), (4, "?!")], "item_id bigint, text string")
+    assert {r.doc_id: r.distance for r in d.matches(docs, items).collect()} == {1: 0, 4: 0, 5: 0, 6: 0}
+    assert sorted(r.doc_id for r in d.clean(docs, items).collect()) == [2, 3, 7]

@@ -4,9 +4,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tillstream.llm import nbsvm, quality_rules, textbytes
-from tillstream.llm.tables import table
+from tillstream.llm import features, nbsvm, quality_rules, textbytes
+from tillstream.llm.tables import held_out, table
 
 SF = "/root/testdata/sf0.01"
 TEXTS = [
@@ -83,3 +84,58 @@ def test_odd_rows_and_no_labels(spark):
         assert [r.kept for r in quality_rules.judge(docs, quality_rules.fit(docs, labels)).collect()] == [False] * 4
     empty = docs.limit(0)
     assert nbsvm.score(empty, nbsvm.fit(empty, none)).count() == 0 and quality_rules.judge(empty, quality_rules.fit(empty, none)).count() == 0
+
+
+def test_rules_on_rows_that_they_did_not_learn_from(spark, tables):
+    docs, labels = tables
+    rows = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.fit(docs, labels, hold_out=5), columns=["doc_id"])
+    rows = rows.where(held_out(F.col("doc_id"), 5)).collect()
+    kept, dropped = accuracy(rows, labels, lambda r: r.kept)
+    assert kept > 0.9 and dropped > 0.7
+
+
+def test_character_grams_against_brute_force():
+    texts = ["", "Ab", "ñé a", "日本語", "aab aab"]
+    [t] = textbytes.chunks(batch(texts))
+    for n, (rows, buckets) in zip((1, 2, 3), features.grams(t), strict=False):
+        want = [(i, x[k : k + n]) for i, x in enumerate("".join(c.lower() if c < "\x80" else c for c in x) for x in texts) for k in range(len(x) - n + 1)]
+        assert rows.tolist() == [i for i, _ in want]
+        assert len(set(buckets.tolist())) == len({g for _, g in want}) == len(set(zip([g for _, g in want], buckets.tolist(), strict=True)))
+
+
+def test_dual_coordinate_descent_against_the_primal():
+    r = np.random.default_rng(4)
+    x = [(np.sort(r.choice(6, 3, replace=False)), r.standard_normal(3)) for _ in range(40)]
+    y = np.where(r.random(40) < 0.4, 1.0, -1.0)
+    cost = np.full(40, 0.3)
+    w, b = nbsvm.dual_coordinate_descent(x, y, cost, 400)
+    dense = np.zeros((40, 7))
+    for i, (f, v) in enumerate(x):
+        dense[i, f] = v
+    dense[:, 6] = 1
+
+    def loss(u):
+        return u @ u / 2 + cost @ np.maximum(0, 1 - y * (dense @ u))
+
+    own, best = np.append(w[:6], b), np.zeros(7)
+    u = np.zeros(7)
+    for k in range(1, 60001):  # plain subgradient steps on the same problem
+        u = u - (u - (cost * y * (y * (dense @ u) < 1)) @ dense) / (k + 10)
+        best = u if loss(u) < loss(best) else best
+    assert loss(own) <= loss(best) + 1e-3 and np.allclose(own, best, atol=0.05)
+
+
+def test_ratios_against_counts():
+    class Own:
+        y = np.array([1, 1, 0])
+        rows = [np.array([0, 1]), np.array([1]), np.array([1, 2])]
+
+        def row(self, i):
+            return self.rows[i], None
+
+    got = nbsvm.log_count_ratio(Own(), np.arange(3))
+    p, q = np.ones(nbsvm.SIZE), np.ones(nbsvm.SIZE)
+    p[:2] += [1, 2]
+    q[1:3] += [1, 1]
+    want = np.log(p / p.sum()) - np.log(q / q.sum())
+    assert np.allclose(got[:3], want[:3]) and not got[3:].any()

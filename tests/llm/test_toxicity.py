@@ -91,3 +91,37 @@ def test_short_passages_of_long_texts_are_learned(spark):
     model = x.fit(docs, spark.createDataFrame([(d, d % 2) for d in range(80)], "doc_id bigint, toxic int"), hold_out=None)
     got = {r.doc_id: r.predicted for r in x.score(docs, model).collect()}
     assert np.mean([got[d] == d % 2 for d in range(80)]) > 0.95
+
+
+def test_logits_against_a_plain_network():
+    net = x.Network(3)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rows = ["One two, three four five " * 9, "x", "été ß 日本語 words"]
+    t = x.tokens(texts(rows))
+    gate = lambda v: 1 / (1 + np.exp(-v))
+    h = x.HIDDEN
+    words = p["word"][t.bucket].copy()
+    for name, (ids, first) in t.parts.items():
+        for i in range(len(words)):
+            words[i] += p[name][ids[first[i] : [*first, len(ids)][i + 1]]].mean(0)
+    want = []
+    for i in range(len(rows)):
+        own = [words[k] for k in t.which[t.offsets[i] : t.offsets[i + 1]]]
+        starts = range(0, max(1, len(own) - x.WINDOW + x.STRIDE), x.STRIDE)
+        logits = []
+        for s in starts:
+            window = own[s : s + x.WINDOW]
+            states = []
+            for d, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+                now, seen = np.zeros(h), {}
+                for k in order:
+                    a, u = window[k] @ p[f"x{d}"] + p[f"b{d}"], now @ p[f"u{d}"]
+                    z, r = gate(a[:h] + u[:h]), gate(a[h : 2 * h] + u[h : 2 * h])
+                    now = z * now + (1 - z) * np.tanh(a[2 * h :] + r * u[2 * h :])
+                    seen[k] = now
+                states.append([seen[k] for k in range(len(window))])
+            both = np.concatenate(states, 1)
+            e = np.exp(np.tanh(both @ p["att"]) @ p["query"])
+            logits.append((e / e.sum()) @ both @ p["out"] + p["bias"][0])
+        want.append(max(logits))
+    assert np.allclose(x.text_logits(net, t), want, atol=1e-4)

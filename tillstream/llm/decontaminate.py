@@ -10,8 +10,11 @@ Myers' bit-parallel distance. The bounds are necessary conditions, so no passage
 Documents are scanned in Arrow batches without a shuffle. The test items travel to the tasks in
 blocks of about `block_bytes`: a larger benchmark takes more passes, not more memory.
 
-Defined cases: a null or empty text holds no passage; items with fewer than `min_bytes` normalised
-bytes (null ones too) are matched by nothing, as they would mark ordinary prose; repeated documents
+Items of fewer than `min_bytes` normalised bytes are one piece without budget, and count only where they
+stand as whole words: an edit would make an ordinary word of them.
+
+Defined cases: a null or empty text holds no passage; an item without letters, digits and non-ASCII bytes (a null
+one too) is matched by nothing; repeated documents
 or items are matched each for itself; of several places the one of least distance, then the first,
 is told; empty tables give no matches; other columns are ignored by `matches` and kept by `clean`.
 """
@@ -74,6 +77,16 @@ def myers(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def whole_words(b: np.ndarray, want: bytes, lo: int, hi: int, begin: int, end: int) -> int:
+    """First place in b[lo:hi] where the words stand between spaces or at an end of their text b[begin:end]; -1 if there is none."""
+    text, at = b[lo:hi].tobytes(), -1
+    while (at := text.find(want, at + 1)) >= 0:
+        s, e = lo + at, lo + at + len(want)
+        if (s == begin or b[s - 1] == 32) and (e == end or b[e] == 32):
+            return s
+    return -1
+
+
 @dataclass
 class Items:
     """A block of test items and the pieces to look for."""
@@ -81,6 +94,7 @@ class Items:
     ids: list[int]
     texts: list[bytes]
     budget: list[int]
+    whole: list[bool] = field(default_factory=list)  # short: matched as whole words
     words: list[str] = field(default_factory=list)
     owners: list[list[tuple[int, int]]] = field(default_factory=list)
 
@@ -90,9 +104,10 @@ class Items:
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             b = normalised(Texts(raw, np.array([0, len(raw)])))[0].tobytes().strip()
-            if len(b) < min_bytes:
+            if not b:
                 continue
-            k, own = int(len(b) * max_error), len(out.ids)
+            k, own = int(len(b) * max_error) if len(b) >= min_bytes else 0, len(out.ids)
+            out.whole.append(len(b) < min_bytes)
             out.ids.append(item)
             out.texts.append(b)
             out.budget.append(k)
@@ -177,7 +192,11 @@ class Scanner:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for row, item, lo, hi in self.likely(b, self.windows(b, offsets)).T.tolist():
             text, want, k = b[lo:hi].tobytes(), self.items.texts[item], self.items.budget[item]
-            if (place := text.find(want)) >= 0:
+            if self.items.whole[item]:
+                if (place := whole_words(b, want, lo, hi, offsets[row], offsets[row + 1])) < 0:
+                    continue
+                found = (0, place, place + len(want))
+            elif (place := text.find(want)) >= 0:
                 found = (0, lo + place, lo + place + len(want))
             else:
                 distance, end = myers(want, text)

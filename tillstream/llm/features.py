@@ -1,4 +1,4 @@
-"""Hashed word and byte n-grams of whole texts, bounded samples of labelled rows, and calibration."""
+"""Hashed word and character n-grams of whole texts, bounded samples of labelled rows, and calibration."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tillstream.llm.tables import held_out
 from tillstream.llm.textbytes import Texts, chunks, int_column
 
-#: Each group of n-grams (bytes 1 to 3, words 1 and 2) has 2**BITS buckets of its own.
+#: Each group of n-grams (characters 1 to 3, words 1 and 2) has 2**BITS buckets of its own.
 BITS = 17
 GROUPS = 5
 SIZE = GROUPS << BITS
@@ -21,12 +21,13 @@ SIZE = GROUPS << BITS
 def grams(t: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each group: (row of each n-gram, its bucket); no n-gram spans two texts."""
     t = t.lower()
-    data = t.data.astype(np.uint32)
-    row = np.repeat(np.arange(t.n, dtype=np.int32), np.diff(t.offsets))
+    data = np.frombuffer(t.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    chars = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])[t.offsets]  # before each text
+    row = np.repeat(np.arange(t.n, dtype=np.int32), np.diff(chars))
     code = data
     for n in range(1, 4):
         if n > 1:
-            code = (code[:-1] << np.uint32(8)) | data[n - 1 :]
+            code = code[:-1] * np.uint32(0x01000193) + data[n - 1 :]
         m = len(code)
         ok = row[:m] == row[len(row) - m :] if n > 1 else slice(None)
         spread = code[ok] * np.uint32(2654435761)

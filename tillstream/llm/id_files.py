@@ -35,7 +35,9 @@ FILE_ROW = "part int, first bigint, n_ids bigint, doc_ids array<bigint>, n_token
 
 
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
-    """Blocks of an array of ids below 65,536."""
+    """Blocks of an array of ids below 65,536; larger ones are an error."""
+    if len(ids) and int(ids.max()) >= 1 << 16:
+        raise ValueError("the format holds ids below 65,536")
     size = range_coder.BLOCK
     n, rest = divmod(len(ids), size)
     coded = range_coder.encode(ids[: n * size].reshape(n, size)) if n else []

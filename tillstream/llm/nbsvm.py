@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes support vectors.
 
-Binary n-gram indicators (bytes 1 to 3, words 1 and 2, hashed) are scaled by the log-count ratio of
+Binary n-gram indicators (characters 1 to 3, words 1 and 2, hashed) are scaled by the log-count ratio of
 the two classes; a linear hinge-loss model is fitted on the scaled rows by dual coordinate descent,
 its weights are drawn towards their mean magnitude, and its margin becomes a probability on rows
 that were kept from the fit. The fit takes a bounded sample of labelled rows; scoring reads every
@@ -97,22 +97,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     return m
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """All columns of docs but score and predicted, then these two."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, columns: list[str] | None = None) -> DataFrame:
+    """All columns of docs (or those named) but score and predicted, then these two. What is not named need not come back from Python."""
     given = docs.sparkSession.sparkContext.broadcast(model)  # about 10 MB at any input size
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    back = [i for i, c in enumerate(keep) if columns is None or c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = np.concatenate([given.value.score(t) for t in chunks(b)] or [np.zeros(0)])
-            cols = [b.column(i) for i in range(b.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(z), pa.array((z >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            cols = [b.column(i) for i in back]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(z), pa.array((z >= threshold).astype(np.int32))], names=[*(b.schema.names[i] for i in back), "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep).mapInArrow(run, f"{fields}, score double, predicted int")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(keep[i] for i in back)).schema.fields]
+    return docs.select(*keep).mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
 
 
 def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels")), columns=["doc_id"])
     return out.select("doc_id", held_out(out.doc_id, 5).alias("held_out"), "score", "predicted")

@@ -2,7 +2,7 @@ r"""Quality rules: hashed n-gram logistic regression behind plain text rules.
 
 A text fails the plain rules with fewer than ten words or when over a fifth of its words lie in
 five-word windows that occur twice or more in it. What passes them is judged by a logistic
-regression on hashed word (1, 2) and byte (1 to 3) n-gram shares, fitted on a bounded sample of
+regression on hashed word (1, 2) and character (1 to 3) n-gram shares, fitted on a bounded sample of
 labelled rows, calibrated on rows kept from the fit, and scored in Arrow batches against a fixed
 probability threshold. Words are runs of characters other than space and 0x09-0x0D.
 
@@ -138,11 +138,12 @@ def measures(t: Texts) -> dict[str, np.ndarray]:
     return out | {"base_failed": (n_words < 10) | (100 * repeated > 20 * n_words)}
 
 
-def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, the measures, base_failed, kept and score (the calibrated probability)."""
+def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
+    """All columns of docs (or those named), the measures, base_failed, kept and score (the calibrated probability)."""
     given = docs.sparkSession.sparkContext.broadcast(model)  # about 5 MB at any input size
     own = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean", "score": "double"}
     keep = [c for c in docs.columns if c not in own]
+    back = [i for i, c in enumerate(keep) if columns is None or c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,13 +154,13 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 parts.append(m | {"kept": ~m["base_failed"] & (z >= threshold), "score": z})
             if parts:
                 new = [pa.array(np.concatenate([p[c] for p in parts])) for c in own]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), *new], names=[*b.schema.names, *own])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in back), *new], names=[*(b.schema.names[i] for i in back), *own])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields] + [f"{k} {v}" for k, v in own.items()]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(keep[i] for i in back)).schema.fields] + [f"{k} {v}" for k, v in own.items()]
     return docs.select(*keep).mapInArrow(run, ", ".join(fields))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+    out = judge(docs, fit(docs, table(spark, sf_dir, "labels")), columns=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

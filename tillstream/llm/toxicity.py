@@ -352,21 +352,22 @@ def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size:
     return Model(net, *platt(z, y[at]))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """All columns of docs but score and predicted, then these two."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
+    """All columns of docs (or those named) but score and predicted, then these two. What is not named need not come back from Python."""
     given = docs.sparkSession.sparkContext.broadcast(model)  # about 6 MB at any input size
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    back = [i for i, c in enumerate(keep) if columns is None or c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = np.concatenate([given.value.score(t) for t in chunks(b, size=1 << 20)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(z), pa.array((z >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in back), pa.array(z), pa.array((z >= threshold).astype(np.int32))], names=[*(b.schema.names[i] for i in back), "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep).mapInArrow(run, f"{fields}, score double, predicted int")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(keep[i] for i in back)).schema.fields]
+    return docs.select(*keep).mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
 
 
 def op7_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels")), columns=["doc_id"])
     return out.select("doc_id", held_out(out.doc_id, 5).alias("held_out"), "score", "predicted")
