@@ -1,5 +1,10 @@
 """A corpus cleaned and packed in five stages. Each takes (spark, docs, sf_dir) and works on all rows
-that its predecessor kept; what it returns is written as Parquet and read again for the next."""
+that its predecessor kept; what it returns is written as Parquet and read again for the next.
+
+Defined cases, for each stage: an empty table gives an empty one; repeated rows are judged alike, and the join
+keeps all rows of the id that stays; a null text is an empty one to the classifier, the decontamination and the packing, and
+has no lines and no shingles; a null id is a document of its own to the line dedup, and links with nothing; of equal
+texts the least id stays; columns of other names, also those of an operator's own, come through all stages but the last."""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm import decontaminate, line_dedup, nbsvm, ngram_join, packing
-from tillstream.llm.tables import kept, table
+from tillstream.llm.tables import forget, kept, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if old is not None:
+            forget(old)
+        old = docs
     return STAGES[-1][1](spark, docs, sf_dir)
