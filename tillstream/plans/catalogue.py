@@ -13,6 +13,7 @@ from tillstream.operators import decision, ingest, reads, widgets
 from tillstream.operators.coherence import incoherence
 from tillstream.plans.oracles import SPEC_FIELDS
 from tillstream.sources import mapped
+from tillstream.sources.shared import shared_dir
 from tillstream.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +27,8 @@ def query(f: Query) -> Query:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; without that setting nothing is written."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared}/job-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/job-{uuid.uuid4().hex}"
 
 
 @query
