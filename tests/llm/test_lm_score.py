@@ -4,12 +4,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
-from tillstream.llm import lm_score, ppm
+from tillstream.llm import lm_score
 from tillstream.llm.tables import table
-from tillstream.llm.textbytes import chunks
 
 SCHEMA = "doc_id bigint, text string, score string, row string"
 
@@ -34,70 +32,6 @@ def plain(text):
     return (" ".join(tokens(text)) + "\n").encode()
 
 
-def recursive(train, order, nodes):
-    """The model as nested dictionaries, symbol by symbol."""
-    cls = [int(x) for x in ppm.CLASS]
-    trie, inner, total = defaultdict(Counter), defaultdict(Counter), 0
-    for t in train:
-        b = plain(t)
-        c = [0] * order + [cls[x] for x in b]
-        for i, x in enumerate(b):
-            total += 1
-            for k in range(order + 1):
-                trie[tuple(c[i + order - k : i + order])][cls[x]] += 1
-            for k in range(3):
-                inner[(k, tuple(([0, 0, *c[order:]])[i + 2 - k : i + 2]), cls[x])][x] += 1
-    kept = {k for k, v in trie.items() if 32 ** len(k) <= nodes or sum(v.values()) * nodes >= total}
-
-    def predict(node_of, ctxs, symbols):
-        p = {s: 1 / len(symbols) for s in symbols}
-        for ctx in ctxs:
-            c = node_of(ctx)
-            if not c:
-                continue
-            n, once = sum(c.values()), sum(v == 1 for v in c.values()) + 0.5
-            escape = 0 if len(c) == len(symbols) else once / (n + once)
-            rest = 1 - sum(p[s] for s in c)
-            p = {s: c[s] / n * (1 - escape) if s in c else escape * p[s] / max(rest, 1e-12) for s in symbols}
-        return p
-
-    def score(t):
-        b, z = plain(t), 0.0
-        c = [0] * max(order, 2) + [cls[x] for x in b]
-        m = max(order, 2)
-        for i, x in enumerate(b):
-            ctxs = []
-            for k in range(order + 1):
-                ctx = tuple(c[i + m - k : i + m])
-                if ctx not in kept:
-                    break
-                ctxs.append(ctx)
-            z += math.log10(predict(trie.get, ctxs, list(range(32)))[cls[x]])
-            own = ppm.MEMBERS[cls[x]].tolist()
-            if len(own) > 1:
-                z += math.log10(predict(lambda q, cl=cls[x]: inner.get((len(q), q, cl)), [tuple(c[i + m - k : i + m]) for k in range(3)], own)[x])
-        return z
-
-    return score
-
-
-@pytest.mark.parametrize(("order", "nodes"), [(3, 1 << 20), (4, 40)])
-def test_trie_against_nested_dictionaries(spark, order, nodes):
-    texts = [r.text for r in table(spark, "/root/testdata/sf0.001", "documents").orderBy("doc_id").limit(40).collect()]
-    train, test = texts[:30], [*[x[:400] for x in texts[25:]], "", None, "É ñ zz9 #", "new\tWORDS  here "]
-    model = lm_score.train(spark.createDataFrame([(x,) for x in train], "text string"), order, nodes)
-    want = recursive(train, order, nodes)
-    got = np.concatenate([model.score(t) for t in chunks(pa.RecordBatch.from_arrays([pa.array(test, pa.string())], names=["text"]), size=900)])
-    assert np.allclose(got, [want(t) for t in test], atol=0.002 * 400, rtol=2e-4)
-
-
-def test_predictions_of_a_node_add_up_to_one(spark):
-    model = lm_score.train(table(spark, "/root/testdata/sf0.001", "documents").select("text"))
-    assert np.allclose((10.0 ** (model.table / ppm.SCALE)).sum(1), 1, atol=0.01)
-    p = 10.0**model.bytes
-    assert all(np.allclose(p[:, own].sum(1), 1) for own in ppm.MEMBERS if len(own) > 1)
-
-
 def test_base_scores_and_better_predictions(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
     got = {r.doc_id: r for r in lm_score.op6_lm_ppm(spark, "/root/testdata/sf0.01").collect()}

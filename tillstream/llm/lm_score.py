@@ -145,55 +145,6 @@ def _grams(t: Texts, common: ppm.Level, logs: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate(z), np.searchsorted(np.concatenate(rows), np.arange(t.n + 1)).astype(np.int32), np.concatenate(own), np.concatenate(times)
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the task's texts, merged now and then so that few rows are shuffled."""
-    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-
-    def rows() -> pa.RecordBatch:
-        (a, n), (b, m) = (_merged(p) for p in held)
-        kind = np.repeat([0, 1], [len(a), len(b)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a, b])), pa.array(np.concatenate([n, m]))], names=["kind", "key", "n"])
-
-    for batch in batches:
-        for t in chunks(batch):
-            for parts, keys in zip(held, ppm.observed(t, depth), strict=True):
-                if len(keys):
-                    parts.append(np.unique(keys, return_counts=True))
-            if len(held[0]) >= 5:
-                for parts in held:
-                    parts[:] = [_merged(parts)]
-            if held[0] and len(held[0][0][0]) > 2_000_000:
-                yield rows()
-                held = [[], []]
-    if held[0]:
-        yield rows()
-
-
-def train(docs: DataFrame, order: int = ppm.ORDER, nodes: int = ppm.NODES) -> ppm.Model:
-    """The folded trie of all texts of docs, held in memory. op6 doesn't use it: see `predictions`."""
-    depth = max(order, 2)
-    grams = kept(docs.select("text").mapInArrow(lambda batches: _gram_counts(batches, depth), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "grams")
-    total = grams.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = []
-    at = grams.where("kind = 0").select("key", "n")
-    for k in range(depth, -1, -1):
-        if k < depth:  # what a shorter context saw is what the longer ones did
-            at = kept(at.groupBy(F.col("key").bitwiseAND(32 ** (k + 1) - 1).alias("key")).agg(F.sum("n").alias("n")), "grams")
-        if k > order:
-            continue
-        own = at.withColumn("ctx", F.shiftright("key", 5))
-        if 32**k > nodes:  # else there are no more contexts than that
-            big = own.groupBy("ctx").agg(F.sum("n").alias("all")).where(F.col("all") * nodes >= total).select("ctx")
-            own = own.join(big, "ctx")
-        got = own.select("ctx", "key", "n").toArrow()
-        keys, row = np.unique(got.column("ctx").to_numpy(), return_inverse=True)
-        counts = np.zeros((len(keys), 32), np.int64)
-        counts[row, got.column("key").to_numpy() & 31] = got.column("n").to_numpy()
-        levels.insert(0, (keys, counts))
-    byt = grams.where("kind = 1").select("key", "n").toArrow()  # at most 2**18 rows
-    return ppm.Model(levels, byt.column("key").to_numpy(), byt.column("n").to_numpy())
-
-
 def score(docs: DataFrame, hold_out: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession

@@ -1,16 +1,10 @@
-"""Prediction by partial matching: keys of the byte contexts that `lm_score` counts in tables, and a small folded trie.
+"""Prediction by partial matching: the keys of byte contexts that `lm_score` counts, and a table that finds them.
 
-op6 counts whole bytes: `byte_keys`. What follows is the trie of bounded size that is held in memory.
-
-A text is scored as its tokens: lower-cased words, a space between two, one end mark. Contexts are
-the last bytes, up to ORDER of them, each folded to one of 32 classes; the next byte is predicted as
-its class and then as the byte among those of its class. A node of the trie is kept when it has at
-least 1/NODES of all training bytes, so that a level has at most NODES nodes at any corpus size;
-below it the longest kept suffix of a context speaks. A node that saw n symbols, t of them only
-once, escapes with probability (t + 1/2) / (n + t + 1/2); the rest is shared as it was seen. The
-escape mass goes to the next shorter context, whose prediction excludes the symbols already seen (it is renormalised over the rest), down to the uniform
-one. As the trie is trained beforehand, escapes and exclusions are resolved once per node into a
-table of log-probabilities.
+A text is scored as its tokens: lower-cased words, a space between two, one end mark. Each byte is predicted
+from up to ORDER bytes before it; a key holds both, the byte lowest. A context that saw n bytes, t of them only
+once, escapes with probability (t + 1/2) / (n + t + 1/2); the rest is shared as it was seen. The escape mass
+goes to the context without its first byte, whose prediction excludes the bytes already seen (it is renormalised over
+the rest), down to the uniform one. As the trie is trained beforehand, `lm_score` resolves escapes and exclusions once.
 """
 
 from __future__ import annotations
@@ -20,17 +14,7 @@ import numpy as np
 from tillstream.llm.textbytes import Texts
 
 ORDER = 6
-NODES = 1 << 20
 END = 10
-SCALE = 4096  # log10 probabilities of classes are kept as 16-bit multiples of 1/SCALE
-#: Class of each byte: white space and end 0, a-z 1-26, digits 27, other ASCII 28, first bytes of
-#: two-byte characters 29, of longer ones 30, following bytes 31.
-CLASS = np.full(256, 28, np.uint8)
-CLASS[[32, END]] = 0
-CLASS[97:123] = np.arange(1, 27)
-CLASS[48:58] = 27
-CLASS[192:224], CLASS[224:], CLASS[128:192] = 29, 30, 31
-MEMBERS = [np.flatnonzero(CLASS == k) for k in range(32)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -59,27 +43,6 @@ def normalised(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def contexts(c: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
-    """The folded last `order` classes before each byte, the latest lowest; 0 before a text's start."""
-    begin = np.repeat(offsets[:-1], np.diff(offsets))
-    at = np.arange(len(c))
-    out = np.zeros(len(c), np.int64)
-    for k in range(1, order + 1):
-        prev = np.zeros(len(c), np.int64)
-        prev[k:] = c[:-k] if len(c) > k else 0
-        prev[at - begin < k] = 0
-        out |= prev << np.int64(5 * (k - 1))
-    return out
-
-
-def observed(t: Texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of what is counted: context and class; two-class context and byte, above those."""
-    b, offsets = normalised(t)
-    c = CLASS[b].astype(np.int64)
-    ctx = contexts(c, offsets, order)
-    return ctx << 5 | c, (ctx & 1023) << 8 | b
-
-
 def byte_keys(t: Texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Each byte below the `order` bytes before it (the latest lowest; 0 before a text's start), 8 bits each; n + 1 offsets."""
     b, offsets = normalised(t)
@@ -94,19 +57,8 @@ def byte_keys(t: Texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def _resolve(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of nodes (rows) from their counts and those of the next shorter contexts."""
-    seen = counts > 0
-    n = counts.sum(1, keepdims=True, dtype=np.float64)
-    once = (counts == 1).sum(1, keepdims=True) + 0.5
-    escape = np.where(seen.all(1, keepdims=True), 0, once / (n + once))
-    rest = 1 - (lower * seen).sum(1, keepdims=True)
-    fallen = escape * lower / np.maximum(rest, 1e-12)
-    return np.where(n == 0, lower, np.where(seen, counts / np.maximum(n, 1) * (1 - escape), fallen))
-
-
 class Level:
-    """The kept nodes of one length: ascending contexts, and a hash table that finds their rows."""
+    """Ascending keys, and a hash table that finds their rows."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
@@ -135,49 +87,3 @@ class Level:
             go = (row >= 0) & ~hit
             todo, at = todo[go], (at[go] + 1) & ((1 << self.bits) - 1)
         return out
-
-
-def trie(levels: list[tuple[np.ndarray, np.ndarray]], block: int = 1 << 15) -> tuple[list[Level], np.ndarray]:
-    """levels[k]: ascending kept contexts of k classes and their counts. The levels, and for all
-    nodes in that order the probabilities in 16 bits."""
-    out, tables, p = [], [], np.full((1, 32), 1 / 32, np.float32)
-    for k, (keys, counts) in enumerate(levels):
-        above = out[-1].find(keys & (32 ** (k - 1) - 1)) if k else np.zeros(len(keys), np.int64)
-        p = np.concatenate([_resolve(counts[i : i + block], p[above[i : i + block]]).astype(np.float32) for i in range(0, len(keys), block)] or [np.zeros((0, 32), np.float32)])
-        out.append(Level(keys))
-        tables.append(np.round(np.log10(np.maximum(p, 1e-7)) * SCALE).astype(np.int16))
-    return out, np.concatenate(tables)
-
-
-class Model:
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], byte_keys: np.ndarray, byte_counts: np.ndarray):
-        if not len(levels[0][0]):  # nothing learned: the uniform prediction
-            levels = [(np.zeros(1, np.int64), np.zeros((1, 32), np.int64))]
-        self.levels, self.table = trie(levels)
-        self.first = np.concatenate([[0], np.cumsum([len(x.keys) for x in self.levels])])
-        counts = np.zeros((1024, 256))
-        counts.reshape(-1)[byte_keys] = byte_counts
-        self.bytes = np.zeros((1024, 256))
-        for own in MEMBERS:
-            if len(own) > 1:
-                c = counts[:, own]
-                p = np.full((1, len(own)), 1 / len(own))
-                for k in range(3):
-                    q = c.reshape(32 ** (2 - k), 32**k, -1).sum(0)
-                    p = _resolve(q, p[np.arange(32**k) % max(1, 32 ** (k - 1))])
-                self.bytes[:, own] = np.log10(p)
-
-    def score(self, t: Texts) -> np.ndarray:
-        """log10 probability of each text."""
-        keys, byt = observed(t, max(len(self.levels) - 1, 2))
-        _, offsets = normalised(t)
-        ctx, symbol = keys >> 5, keys & 31
-        node, todo = np.zeros(len(ctx), np.int64), np.arange(len(ctx))
-        for k in range(len(self.levels) - 1, 0, -1):
-            row = self.levels[k].find(ctx[todo] & (32**k - 1))
-            hit = row >= 0
-            node[todo[hit]] = row[hit] + self.first[k]
-            todo = todo[~hit]
-        z = self.table.reshape(-1)[node << 5 | symbol] / SCALE + self.bytes.reshape(-1)[byt]
-        total = np.concatenate([[0.0], np.cumsum(z)])
-        return total[offsets[1:]] - total[offsets[:-1]]
