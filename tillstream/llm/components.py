@@ -38,4 +38,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    out.kept_at = edges.kept_at  # so that it can be forgotten
+    return out

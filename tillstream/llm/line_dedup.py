@@ -14,9 +14,8 @@ add none. Running sums of words give each line's two shortest runs. The earliest
 doc_id, then line) stays; those of all other places are merged into maximal runs, document by document, and these
 are deleted. Where a later copy overlaps the first one in the same text, only the lines behind the first go.
 
-All of it is DataFrame operations. Counts are aggregated before a shuffle and names come back by joins: those
-of the at most HEAVY most common lines or runs by a broadcast one, the others, none of which has more than a HEAVY-th of all rows, by
-a shuffle; no group of equal lines is gathered. Each round is written to the shared folder, since ranks must not
+All of it is DataFrame operations. Counts are aggregated before a shuffle and names come back by joins: see
+`tables.named`; no group of equal lines is gathered. Each round is written to the shared folder, since ranks must not
 change on recomputation. Only texts that change are shuffled: a bitmap of their keys (16 bits a document, 32 MB
 at most; full ones let more texts through to the shuffle, no more) tells which.
 
@@ -32,10 +31,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillstream.llm.tables import forget, kept, marked, table
+from tillstream.llm.tables import forget, kept, marked, named, table
 
 MIN_WORDS = 20
-HEAVY = 4096
 _KEY = ["d", "k"]
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -58,22 +56,13 @@ def _ranks(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return kept(again.repartitionByRange(a, b).sortWithinPartitions(a, b).withColumn(name, F.monotonically_increasing_id()), "line-ranks")
 
 
-def _named(rows: DataFrame, names: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with names (`keys`, `times`, ...). Names of more than a HEAVY-th of all rows that have one are
-    at most HEAVY: they are sent to all tasks, so that no common one gathers its rows in one task."""
-    total = names.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    heavy, light = names.where(F.col("times") * HEAVY > total).drop("times"), names.where(F.col("times") * HEAVY <= total).drop("times")
-    common = F.broadcast(heavy)
-    return rows.join(common, keys).unionByName(rows.join(common.select(*keys), keys, "left_anti").join(light, keys, how), allowMissingColumns=True)
-
-
 def doubled(docs: DataFrame, min_words: int) -> DataFrame:
     """The repeated lines with `r`: the ranks of their suffixes by the first 1, 2, 4, ... lines (null: not repeated)."""
     all_lines = lines(docs)
     again = kept(all_lines.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "line-counts")
-    own = kept(_named(all_lines, again, ["h"]).dropDuplicates([*_KEY, "p"]), "repeated-lines")
+    own = kept(named(all_lines, again, ["h"]).dropDuplicates([*_KEY, "p"]), "repeated-lines")
     first = _ranks(own, "h", "g", "rank")
-    old, own = own, kept(_named(own, first, ["h", "g"]).select(*_KEY, "p", "i", "w", F.array("rank").alias("r")), "line-suffixes")
+    old, own = own, kept(named(own, first, ["h", "g"]).select(*_KEY, "p", "i", "w", F.array("rank").alias("r")), "line-suffixes")
     forget(old, first, again)
     size, at = 1, Window.partitionBy(*_KEY).orderBy("p")
     while 2 * size <= min_words:
@@ -82,7 +71,7 @@ def doubled(docs: DataFrame, min_words: int) -> DataFrame:
         ranks = _ranks(half.where("a is not null and b is not null"), "a", "b", "rank")
         if ranks.isEmpty():
             break
-        old, own = own, kept(_named(half, ranks, ["a", "b"], "left").select(*_KEY, "p", "i", "w", F.concat("r", F.array("rank")).alias("r")), "line-suffixes")
+        old, own = own, kept(named(half, ranks, ["a", "b"], "left").select(*_KEY, "p", "i", "w", F.concat("r", F.array("rank")).alias("r")), "line-suffixes")
         forget(old, ranks)
         size *= 2
     return own
@@ -123,7 +112,7 @@ def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place, key = F.struct("d", "k", "s", "e"), ["n", "a", "b"]
     first = all_runs.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("times")).where("first != last").drop("last")
     first = kept(first, "first-runs")
-    later = _named(all_runs, first, key).where(place != F.col("first"))
+    later = named(all_runs, first, key).where(place != F.col("first"))
     # lines of the first copy itself stay
     same = (F.col("d") == F.col("first.d")) & (F.col("k") == F.col("first.k"))
     later = later.withColumn("s", F.when(same, F.greatest("s", F.col("first.e") + 1)).otherwise(F.col("s"))).where("s <= e")

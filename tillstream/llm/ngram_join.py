@@ -11,7 +11,7 @@ dropped; what is left is checked without emitting all pairs of a group:
    compared directly, at most SMALL for each member.
 3. In larger groups each member x is described by what it adds to the pivot's set (A) and lacks of
    it (B). Similar sets of different components share an element of A - found by a join on A's
-   rarest elements, as many as the needed overlap allows - or lack a common element of the pivot
+   first elements in an order with common ones last, as many as the needed overlap allows - or lack a common element of the pivot
    while their sizes alone allow a link. Both joins lose no link and emit near none of the pairs of a
    group of loosely edited copies.
 
@@ -33,16 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm import shingles
 from tillstream.llm.components import components
-from tillstream.llm.tables import Scratch, kept, marked, table
+from tillstream.llm.tables import Scratch, forget, kept, marked, named, table
 from tillstream.llm.textbytes import Texts, chunks
 
 SMALL = 16
 CELLS = 64
+#: Elements that are sent to all tasks at most as common ones: those that are more than a COMMON-th of all.
+COMMON = 1 << 16
 #: Ids that are sent to all tasks as a filter at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 U64 = np.uint64
@@ -104,6 +106,35 @@ def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
 
 
+def _prefixes(deltas: DataFrame, common: pa.Table, num: int, den: int) -> DataFrame:
+    """deltas with `first`, in place of `more`: of the added elements, in one order for all rows, as many as must hold one that a similar set shares."""
+    by = np.lexsort((common.column("e").to_numpy(), common.column("f").to_numpy()))
+    place = np.argsort(common.column("e").to_numpy()[by])
+    values = common.column("e").to_numpy()[by][place]
+    given = deltas.sparkSession.sparkContext.broadcast((values, place))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, rank = given.value
+        for b in batches:
+            col = {c: b.column(b.schema.get_field_index(c)) for c in ("n", "nb", "np", "more")}
+            n, nb, npiv = (col[c].to_numpy() for c in ("n", "nb", "np"))
+            e, size = col["more"].flatten().to_numpy(), np.diff(col["more"].offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), size)
+            late = np.zeros(len(e), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, e), len(hot) - 1)
+                late = np.where(hot[at] == e, rank[at] + 1, 0)
+            order = np.lexsort((e, late, row))
+            needed = np.maximum(1, np.ceil(n * num / den - 1e-9).astype(np.int64) - (npiv - nb))
+            take = size - needed + 1
+            keep = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size) < take[row]
+            kept = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(n)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(kept, pa.array(e[order][keep]))], names=[*b.schema.names[:-1], "first"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in deltas.schema.fields if f.name != "more")
+    return deltas.mapInArrow(run, f"{fields}, first array<bigint>")
+
+
 class Join:
     """The steps of one join; each keeps the tables that later ones read."""
 
@@ -113,9 +144,9 @@ class Join:
         self.docs, self.size, self.num, self.den = docs.select("doc_id", "text"), size, num, den
         self.own = kept(sized(self.docs, size), "sets")
         found = self.own.where("n > 0 and doc_id is not null")
-        self.nodes = kept(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells")), "nodes")
+        self.nodes = kept(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.count("*").alias("times")), "nodes")
         # equal sets are known already: of each, one document gives signatures
-        copies = found.select("node", "doc_id").distinct().join(self.nodes.select("node", F.col("doc_id").alias("own")), "node").where("doc_id != own").select("doc_id").distinct()
+        copies = named(found.select("node", "doc_id"), self.nodes.select("node", "times", F.col("doc_id").alias("own")), ["node"]).where("doc_id != own").select("doc_id").distinct()
         copies = copies.join(self.nodes.select("doc_id"), "doc_id", "left_anti")  # an id may have several texts
         copies = kept(copies, "copies")
         once = self.docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
@@ -199,15 +230,13 @@ class Join:
             fits = (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
             return x.join(y, on & fits & condition).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
 
-        # added elements, rarest first: the first common one is among the first |A| - t + 1, where t
+        # added elements, common ones last: the first one that two sets share is among the first |A| - t + 1, where t
         # of the needed overlap must lie in A
-        added = d.select(*side, "np", F.explode("more").alias("e"))
-        seen = added.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
-        ranked = added.join(seen, "e").withColumn("k", F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "e")))
-        total = F.count("*").over(Window.partitionBy("a", "b"))
-        needed = F.greatest(F.lit(1), F.ceil(F.col("n") * num / den - 1e-9) - (F.col("np") - F.col("nb")))
-        keys = self.kept(ranked.withColumn("both", total).where(F.col("k") <= F.col("both") - needed + 1).select(*side, "e", "both", "np"), "rare")
-        most = F.least("x.both", "y.both") + F.least(F.col("x.np") - F.col("x.nb"), F.col("y.np") - F.col("y.nb"))
+        total = d.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0]
+        common = d.select(F.explode("more").alias("e")).groupBy("e").agg(F.count("*").alias("f")).where((F.col("f") > SMALL) & (F.col("f") * COMMON > total))
+        first = _prefixes(d.select(*side, "np", "more"), common.toArrow(), num, den)  # at most COMMON rows
+        keys = self.kept(first.select(*side, "np", F.explode("first").alias("e")), "rare")
+        most = F.least("x.na", "y.na") + F.least(F.col("x.np") - F.col("x.nb"), F.col("y.np") - F.col("y.nb"))
         by_added = joined(keys, (num + den) * most >= num * (F.col("x.n") + F.col("y.n")))
         # nothing added in common: lacking elements must make up for it, which takes a smaller set
         spare = F.col("na") * (num + den) <= (den - num) * (F.col("n") + F.ceil(F.col("n") * den / num))
@@ -221,22 +250,27 @@ class Join:
         pivots = self.kept(self.pivots(), "pivots")
         star = self.members.join(pivots, "sig").where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         first = self.links(star)
-        rows = self.open_groups(components(first), pivots)
+        comp = components(first)
+        rows = self.open_groups(comp, pivots)
+        forget(comp)
         before = list(self.scratch.tables)
         rest = self.links(self.small_pairs(rows).unionByName(self.large_pairs(rows)))
         self.only(before, rest)
-        return components(first.unionByName(rest))
+        out = components(first.unionByName(rest))
+        self.scratch.tables.append(out)
+        return out
 
 
 def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable by links) of each row."""
     scratch = Scratch()
     j = Join(docs, size, num, den, scratch)
-    own = j.own.join(j.components(), "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("doc_id", "n", "comp")
+    linked = j.components().join(j.nodes.select("node", "times"), "node")
+    own = named(j.own.select("doc_id", "n", "node"), linked, ["node"], "left").withColumn("comp", F.coalesce("comp", "node")).select("doc_id", "n", "comp")
     own = kept(own, "components")
     scratch.clear()
-    least = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = own.where("n > 0 and doc_id is not null").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    least = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("times"))
+    linked = named(own.where("n > 0 and doc_id is not null"), least, ["comp"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = own.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 

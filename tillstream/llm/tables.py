@@ -14,6 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that are sent to all tasks at most.
+HEAVY = 4096
 #: Bits of a bitmap of keys: 16 for each key, 32 MB at most.
 LEAST_BITS, MOST_BITS = 1 << 15, 1 << 28
 
@@ -50,6 +52,16 @@ def marked(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
     return found.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("at", "bucket", "bits")
 
 
+def named(rows: DataFrame, names: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with names (keys, `times`: how many rows have them, and what they bring in). Keys of more than a HEAVY-th of
+    all rows that have one are at most HEAVY: they are sent to all tasks, so that no common one gathers its rows in
+    one task; the others are joined by a shuffle."""
+    total = names.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    heavy, light = names.where(F.col("times") * HEAVY > total).drop("times"), names.where(F.col("times") * HEAVY <= total).drop("times")
+    common = F.broadcast(heavy)
+    return rows.join(common, keys).unionByName(rows.join(common.select(*keys), keys, "left_anti").join(light, keys, how), allowMissingColumns=True)
+
+
 class Scratch:
     """Kept tables that are deleted together."""
 
