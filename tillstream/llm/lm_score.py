@@ -194,6 +194,8 @@ def score(docs: DataFrame, hold_out: int = 10) -> DataFrame:
     rare = own.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
     found = rare.join(counts.where(F.col("c") * HEAVY < tokens), "word", "left")
     sums = found.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k"))
+    sums = kept(sums, "word-sums")
+    forget(counts)
     pairs = own.select("row", "doc_id", F.explode(F.arrays_zip("keys", "seen")).alias("x")).select("row", "doc_id", F.col("x.keys").alias("key"), F.col("x.seen").alias("n"))
     # only held-out documents have pairs that were not observed
     needed = kept(pairs.where(held_out(F.col("doc_id"), hold_out)).select("key").distinct().join(top, "key", "left_anti"), "needed")
