@@ -8,6 +8,8 @@ texts the least id stays; columns of other names, also those of an operator's ow
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +17,23 @@ from tillstream.llm import decontaminate, line_dedup, nbsvm, ngram_join, packing
 from tillstream.llm.tables import forget, kept, table
 
 
+def _beside(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an operator that adds columns of its own makes of docs, with the columns of docs, whatever their names."""
+    other = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    back = {new: c for c, new in other.items()}
+    out = step(docs.withColumnsRenamed(other)).select(*(other.get(c, c) for c in docs.columns))
+    return out.withColumnsRenamed(back)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
-    return nbsvm.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return _beside(docs, lambda rows: nbsvm.score(rows, model).where("predicted = 1"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later copies of repeated line runs; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    out = _beside(docs, line_dedup.dedup_lines)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
