@@ -80,7 +80,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
     ids = lambda df: sorted((x.doc_id is not None, x.doc_id or 0) for x in df.collect())
     every = sorted((d is not None, d or 0) for d, _ in rows)
     out = stages["quality classifier"](spark, docs, sf)
-    assert out.columns == docs.columns and ids(out) == every
+    assert out.columns == docs.columns and ids(out) == every and all(x[c] == c for x in out.collect() for c in names)
     out = stages["line dedup"](spark, docs, sf)
     text = {}
     for x in out.collect():
