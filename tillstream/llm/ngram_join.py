@@ -11,7 +11,7 @@ dropped; what is left is checked without emitting all pairs of a group:
    compared directly, at most SMALL for each member.
 3. In larger groups each member x is described by what it adds to the pivot's set (A) and lacks of
    it (B). Similar sets of different components share an element of A - found by a join on A's
-   first elements in an order with common ones last, as many as the needed overlap allows - or lack a common element of the pivot
+   rarest elements, as many as the needed overlap allows - or lack a common element of the pivot
    while their sizes alone allow a link. Both joins lose no link and emit near none of the pairs of a
    group of loosely edited copies.
 
@@ -43,8 +43,6 @@ from tillstream.llm.textbytes import Texts, chunks
 
 SMALL = 16
 CELLS = 64
-#: Elements that are sent to all tasks at most as common ones: those that are more than a COMMON-th of all.
-COMMON = 1 << 16
 #: Ids that are sent to all tasks as a filter at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 U64 = np.uint64
@@ -106,35 +104,6 @@ def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
 
 
-def _prefixes(deltas: DataFrame, common: pa.Table, num: int, den: int) -> DataFrame:
-    """deltas with `first`, in place of `more`: of the added elements, in one order for all rows, as many as must hold one that a similar set shares."""
-    by = np.lexsort((common.column("e").to_numpy(), common.column("f").to_numpy()))
-    place = np.argsort(common.column("e").to_numpy()[by])
-    values = common.column("e").to_numpy()[by][place]
-    given = deltas.sparkSession.sparkContext.broadcast((values, place))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, rank = given.value
-        for b in batches:
-            col = {c: b.column(b.schema.get_field_index(c)) for c in ("n", "nb", "np", "more")}
-            n, nb, npiv = (col[c].to_numpy() for c in ("n", "nb", "np"))
-            e, size = col["more"].flatten().to_numpy(), np.diff(col["more"].offsets.to_numpy())
-            row = np.repeat(np.arange(len(n)), size)
-            late = np.zeros(len(e), np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, e), len(hot) - 1)
-                late = np.where(hot[at] == e, rank[at] + 1, 0)
-            order = np.lexsort((e, late, row))
-            needed = np.maximum(1, np.ceil(n * num / den - 1e-9).astype(np.int64) - (npiv - nb))
-            take = size - needed + 1
-            keep = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size) < take[row]
-            kept = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(n)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(kept, pa.array(e[order][keep]))], names=[*b.schema.names[:-1], "first"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in deltas.schema.fields if f.name != "more")
-    return deltas.mapInArrow(run, f"{fields}, first array<bigint>")
-
-
 class Join:
     """The steps of one join; each keeps the tables that later ones read."""
 
@@ -220,7 +189,7 @@ class Join:
         before = list(self.scratch.tables)
         d = self.with_sets(star.join(pivot_comp, "a"))
         d = d.select("a", "b", "comp", (F.col("comp") != F.col("pc")).alias("out"), F.size("x").alias("np"), F.size("y").alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less"))
-        d = self.kept(d.withColumn("na", F.size("more")).withColumn("nb", F.size("less")), "deltas")
+        d = self.kept(d.withColumn("na", F.size("more")).withColumn("nb", F.size("less")).withColumn("row", F.monotonically_increasing_id()), "deltas")
         self.only(before, d)
         side = ["a", "b", "comp", "out", "n", "na", "nb"]
 
@@ -230,13 +199,16 @@ class Join:
             fits = (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
             return x.join(y, on & fits & condition).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
 
-        # added elements, common ones last: the first one that two sets share is among the first |A| - t + 1, where t
-        # of the needed overlap must lie in A
-        total = d.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0]
-        common = d.select(F.explode("more").alias("e")).groupBy("e").agg(F.count("*").alias("f")).where((F.col("f") > SMALL) & (F.col("f") * COMMON > total))
-        first = _prefixes(d.select(*side, "np", "more"), common.toArrow(), num, den)  # at most COMMON rows
-        keys = self.kept(first.select(*side, "np", F.explode("first").alias("e")), "rare")
-        most = F.least("x.na", "y.na") + F.least(F.col("x.np") - F.col("x.nb"), F.col("y.np") - F.col("y.nb"))
+        # added elements, rarest first: the first common one is among the first |A| - t + 1, where t
+        # of the needed overlap must lie in A; only numbers of rows and elements are shuffled for it
+        added = d.select("row", F.explode("more").alias("e"))
+        seen = added.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
+        ranked = added.join(seen, "e").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("rare"))
+        needed = F.greatest(F.lit(1), F.ceil(F.col("n") * num / den - 1e-9) - (F.col("np") - F.col("nb")))
+        first = F.slice("rare", F.lit(1), F.greatest(F.lit(0), F.size("rare") - needed + 1).cast("int"))
+        keys = ranked.join(d.select("row", *side, "np"), "row").select(*side, "np", F.size("rare").alias("both"), F.explode(first).alias("x")).withColumn("e", F.col("x.e")).drop("x")
+        keys = self.kept(keys, "rare")
+        most = F.least("x.both", "y.both") + F.least(F.col("x.np") - F.col("x.nb"), F.col("y.np") - F.col("y.nb"))
         by_added = joined(keys, (num + den) * most >= num * (F.col("x.n") + F.col("y.n")))
         # nothing added in common: lacking elements must make up for it, which takes a smaller set
         spare = F.col("na") * (num + den) <= (den - num) * (F.col("n") + F.ceil(F.col("n") * den / num))
