@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operations that stand beside the receipt engine.
+"""Training-data operators: thirteen corpus operations that stand beside the receipt engine.
 
 Nothing outside this package imports it.
 """
