@@ -1,5 +1,6 @@
 """Boundaries of single operators."""
 
+import pathlib
 import time
 
 import pytest
@@ -122,6 +123,7 @@ def test_bodies_are_read_by_type(spark):
     cases = {
         whole: (False, False, "r"), f"{whole} x": (True, False, None), f"{whole}, {whole}": (True, False, None), f"{whole}],[1": (True, False, None), whole + '}, {"a": 1': (True, False, None), "": (True, False, None), "null": (False, True, None),
         "7": (False, True, None), '"{}"': (False, True, None), "[1]": (False, False, None), '{"rawText": 7}': (False, False, None), '{"rawText": {"a": 1}}': (False, False, None), '{"rawText": ""}': (False, False, ""), f" {whole}\n": (False, False, "r"),
+        '{"rawText": 7, "rawText": "last"}': (False, False, "last"), '{"rawText": "first", "rawText": null}': (False, False, None),
     }
     df = spark.createDataFrame([(i, "k", b) for i, b in enumerate([*cases, None])], "arrival_seq long, api_key_id string, body string")
     got = {r.arrival_seq: (r.corrupt, r.shapeless, r.raw_text) for r in ingest.decoded(df).collect()}
@@ -151,22 +153,40 @@ def test_folders_of_other_months_are_not_read(spark):
     assert widgets.matching(items, widgets.Spec("T7", "subtotal"), years=(2024, 2035)).count() == 0
 
 
+GOOD, BAD = "1  thing   2  2\nTOTAL: 2", "no receipt"
+
+
+def change(spark, *rows):
+    """Change log of (ticket, day, text)."""
+    return spark.createDataFrame([("T1", f"2026-01-0{d}T10:00:00.000Z", t, "COM1", x, "INSERT", "pending") for t, d, x in rows], "tenant_id string, captured_at string, ticket_id string, port string, raw_text string, event string, status string")
+
+
+def tenant(spark):
+    return spark.createDataFrame([("T1", "columns38", None)], "tenant_id string, parser_id string, port_parsers map<string,string>")
+
+
+def items_of(spark, path):
+    return sorted(r.ticket_id for r in spark.read.parquet(path).collect()) if any(f.suffix == ".parquet" for f in pathlib.Path(path).rglob("*")) else []
+
+
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     sf, out = "/root/testdata/sf0.001", str(tmp_path)
-    events, tenants = mapped.change_events(spark, sf), mapped.tenants(spark, sf)
+    events, tenants, folders = mapped.change_events(spark, sf), mapped.tenants(spark, sf), ("tenant", "year")
     halves = [events.where(f"o_orderkey % 2 = {k}") for k in (0, 1)]
 
     def state():
+        jobs.items_stream(spark, out, f"{out}/items", f"{out}/items-log", folders)
         return [sorted(map(str, spark.read.parquet(f"{out}/{t}").collect())) for t in ("tickets", "items", "quarantine")]
 
     for k in (0, 1):
-        jobs.ticket_batch(halves[k], k, tenants, None, out, ("tenant", "year"))
+        jobs.ticket_batch(halves[k], k, tenants, None, out, folders)
     once = state()
-    jobs.ticket_batch(halves[1], 1, tenants, None, out, ("tenant", "year"))
+    jobs.ticket_batch(halves[1], 1, tenants, None, out, folders)
     assert state() == once and once[1]
     # a later version of a ticket takes the place of the earlier one
     again = halves[0].withColumn("raw_text", F.lit("1  other   2  2\nTOTAL: 2"))
-    jobs.ticket_batch(again, 2, tenants, None, out, ("tenant", "year"))
+    jobs.ticket_batch(again, 2, tenants, None, out, folders)
+    state()
     items = spark.read.parquet(f"{out}/items")
     assert {r.description for r in items.where("ticket_id % 2 = 0").collect()} == {"other"}
     assert items.where("ticket_id % 2 = 1").count() == sum(int(r.split("ticket_id='")[1].split("'")[0]) % 2 for r in once[1])
@@ -175,3 +195,93 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
         jobs.dedup_batch(rows, 0, f"{out}/seen")
         jobs.dedup_batch(rows.withColumn("arrival_seq", F.lit(9).cast("long")), 1, f"{out}/seen")
     assert [r.arrival_seq for r in spark.read.parquet(f"{out}/seen").collect()] == [3]
+
+
+def test_items_follow_the_state_of_their_tickets(spark, tmp_path):
+    out, items, log = str(tmp_path), f"{tmp_path}/items", f"{tmp_path}/log"
+    run = lambda n, *rows: jobs.ticket_batch(change(spark, *rows), n, tenant(spark), None, out)
+    follow = lambda: jobs.items_stream(spark, out, items, log)
+    follow()  # nothing is there yet
+    run(0, ("a", 1, GOOD), ("b", 2, GOOD))
+    follow()
+    assert items_of(spark, items) == ["a", "b"]
+    run(1, ("a", 1, BAD))  # the last one of its day
+    follow()
+    assert items_of(spark, items) == ["b"]
+    run(2, ("c", 1, GOOD), ("b", 2, BAD), ("d", 2, GOOD))
+    run(2, ("c", 1, GOOD), ("b", 2, BAD), ("d", 2, GOOD))
+    follow()
+    follow()
+    assert items_of(spark, items) == ["c", "d"]
+    run(3, ("c", 1, BAD), ("d", 2, BAD))
+    follow()
+    assert items_of(spark, items) == []
+
+
+def test_items_that_cannot_be_written_hold_nothing_back(spark, tmp_path):
+    out, items, log = str(tmp_path / "out"), tmp_path / "items", f"{tmp_path}/log"
+    jobs.items_stream(spark, out, None, log)
+    items.write_text("a file where the folder should be")
+    for n, t in enumerate("ab"):
+        jobs.ticket_batch(change(spark, (t, 1, GOOD)), n, tenant(spark), None, out)
+        with pytest.raises(Exception):
+            jobs.items_stream(spark, out, str(items), log)
+    assert sorted(r.ticket_id for r in spark.read.parquet(f"{out}/tickets").where("status = 'parsed'").collect()) == ["a", "b"]
+    items.unlink()
+    jobs.items_stream(spark, out, str(items), log)
+    assert items_of(spark, str(items)) == ["a", "b"]
+
+
+def test_answers_come_when_they_like(spark, tmp_path):
+    good = '{"items":[{"description":"x","quantity":1,"unitPrice":2,"subtotal":2}],"total":2}'
+    said = lambda *rows: spark.createDataFrame([("T1", f"2026-01-0{d}T10:00:00.000Z", t, x) for t, d, x in rows], "tenant_id string, captured_at string, ticket_id string, response_text string")
+    nothing = said(), change(spark)
+    batches = [
+        (change(spark, ("own", 1, GOOD), ("late", 1, BAD), ("never", 1, BAD)), said(("early", 1, good), ("own", 1, good), ("lost", 3, good))),
+        (change(spark, ("early", 1, BAD), ("same", 2, BAD), ("null", 2, BAD)), said(("same", 2, good), ("null", 2, None), ("early", 1, "worse"))),
+        (nothing[1], said(("own", 1, "x"))),
+        (nothing[1], said(("late", 1, good))),
+        (change(spark, ("never", 1, BAD)), said(("late", 1, "second"), ("same", 2, "second"))),
+    ]
+    out = str(tmp_path)
+
+    def state(before=99):
+        rows = jobs.read_table(spark, f"{out}/tickets", jobs.OUTCOME, jobs.FOLDERS).where(f"batch < {before}").drop(*jobs.FOLDERS, "batch")
+        return {r.ticket_id: (r.status, r.reason, r.version) for r in ingest.current_state(rows).collect()}
+
+    for n, (new, answers) in enumerate(batches):
+        both = new.withColumn("kind", F.lit("ticket")).unionByName(answers.withColumn("kind", F.lit("answer")), allowMissingColumns=True)
+        for _ in range(2):  # a batch that runs again changes nothing
+            jobs.answered_batch(both, n, tenant(spark), out)
+            now = state()
+        if n == 2:
+            assert now["late"] == ("pending", "no_answer", 0)
+    assert now == {
+        "own": ("parsed", None, 0), "late": ("needs_review", None, 3), "never": ("pending", "no_answer", 4), "early": ("needs_review", None, 1), "same": ("needs_review", None, 1),
+        "null": ("failed", "no_parser_matched_incl_fallback", 1),
+    }
+
+
+def test_a_batch_reads_the_folders_it_touches(spark, tmp_path, monkeypatch):
+    out = str(tmp_path)
+    for n in range(6):
+        jobs.ticket_batch(change(spark, *((f"{n}-{d}", d, GOOD) for d in range(1, 7))), n, tenant(spark), None, out)
+    touched = spark.createDataFrame([("T1", "2026", "01", "02"), ("T1", "2026", "02", "01"), ("T/=%2", "2026", "01", "02")], "tenant string, year string, month string, day string")
+    read = lambda before=None: jobs.history(spark, f"{out}/tickets", jobs.OUTCOME, jobs.FOLDERS, touched, before)
+    assert {r.ticket_id for r in read(4).collect()} == {f"{n}-2" for n in range(4)}
+    assert all("/day=02/" in f for f in read().inputFiles())
+    monkeypatch.setattr(jobs, "MOST_FOLDERS", 0)
+    assert {r.ticket_id for r in read(4).collect()} == {f"{n}-2" for n in range(4)}
+    plan = read()._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert jobs.history(spark, f"{out}/none", jobs.OUTCOME, jobs.FOLDERS, touched).isEmpty()
+    # the first writer of each key, by the day's own folders
+    rows = spark.createDataFrame([("T1", f"2026-01-0{d}T00:00:00.000Z", "t", d) for d in (1, 2, 3)], "tenant_id string, captured_at string, ticket_id string, arrival_seq long")
+    jobs.dedup_batch(rows, 0, f"{out}/seen")
+    jobs.dedup_batch(rows.withColumn("arrival_seq", F.lit(0).cast("long")).unionByName(rows.withColumn("ticket_id", F.lit("u"))), 1, f"{out}/seen")
+    assert sorted((r.ticket_id, r.arrival_seq) for r in spark.read.parquet(f"{out}/seen").collect()) == [(t, d) for t in "tu" for d in (1, 2, 3)]
+
+
+def test_every_customer_has_a_code_of_its_own(spark):
+    codes = spark.range(200_000).select(mapped._code(F.col("id")).alias("code"))
+    assert codes.distinct().count() == 200_000 and codes.where(~F.col("code").rlike(reads.CODE_SHAPE)).count() == 0

@@ -17,7 +17,8 @@ BODY = "ticket_id string, port string, captured_at string, raw_text string"
 def with_json(rows: DataFrame, text: str, name: str) -> DataFrame:
     """rows with the JSON value that a text is, as a VARIANT; NULL if it is none. The parser stops behind the first value, so
     the text is read as the only member of an array, and where it could close that early, of an object too: text
-    behind the value fits one of them at most."""
+    behind the value fits one of them at most. Of a repeated key the last value counts; Spark has that as a setting of the session."""
+    rows.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     t, inside = F.col(text), F.col(f"{name}_inside")
     rows = rows.withColumn(f"{name}_inside", F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))))
     closed = ~F.contains(t, F.lit("]")) | F.try_parse_json(F.concat(F.lit('{"a":'), t, F.lit("}"))).isNotNull()
@@ -88,6 +89,8 @@ def latest_payload(rows: DataFrame) -> DataFrame:
 
 
 def current_state(outcomes: DataFrame) -> DataFrame:
-    """The latest outcome (by `version`) of each ticket; one that was never decided has its first state."""
-    last = outcomes.groupBy(*KEY).agg(F.max("version").alias("version"))
-    return outcomes.join(last, [*KEY, "version"]).dropDuplicates([*KEY])
+    """The latest outcome (by `version`) of each ticket, in one shuffle; one that was never decided has its first state. Of
+    several with one version the same one is taken each time."""
+    rest = [c for c in outcomes.columns if c not in KEY]
+    order = F.struct("version", F.coalesce("status", F.lit("")), F.coalesce("reason", F.lit("")), F.xxhash64(*rest))
+    return outcomes.groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("o")).select(*KEY, "o.*")

@@ -119,29 +119,49 @@ def every_event_count(items: DataFrame, group: str | None = None) -> DataFrame:
 def widgets_batch(items: DataFrame, specs: DataFrame, digits: int = 4) -> DataFrame:
     """All widgets of all tenants in one job: tenant, widget_id, label (null for one value), value.
 
-    specs: tenant, widget_id, field, aggregation, group_by, date_from, date_to, port, status. Items and
-    specs meet by tenant (a hot tenant's join is split by adaptive execution) and are added up by
-    partial aggregation before the shuffle; a ticket's measures are collapsed by ticket first. One-value widgets without rows give 0."""
-    j = specs.alias("s").join(items.alias("i"), F.col("s.tenant") == F.col("i.tenant"))
-    for c, bound in (("date_from", F.col("i.captured_at") >= F.col("s.date_from")), ("date_to", F.col("i.captured_at") <= F.col("s.date_to")), ("port", F.col("i.port") == F.col("s.port")), ("status", F.col("i.status") == F.col("s.status"))):
+    specs: tenant, widget_id, field, aggregation, group_by, date_from, date_to, port, status. The item table is read once
+    and reduced before widgets meet it: a tenant's bounds cut its time into stretches, and each stretch is added up by port,
+    status and parser; by description or by ticket only for tenants whose widgets ask for that. One-value widgets
+    without rows give 0."""
+    on_tickets, by_name = ~F.col("field").isin(*ITEM_FIELDS), F.coalesce(F.col("group_by") == "description", F.lit(False))
+    kind = F.concat(F.when(on_tickets, "ticket").otherwise("item"), F.when(by_name, "_name").otherwise(""))
+    specs = specs.select("tenant", "widget_id", "field", "aggregation", "group_by", "date_from", "date_to", "port", "status", kind.alias("kind"))
+    tenants = specs.groupBy("tenant").agg(F.sort_array(F.array_union(F.collect_set("date_from"), F.collect_set("date_to"))).alias("cuts"), F.collect_set("kind").alias("kinds"))
+    wanted = specs.join(tenants.select("tenant", "cuts"), "tenant").withColumns({c: F.array_position("cuts", F.col(f"date_{c}")) for c in ("from", "to")}).drop("cuts")
+    parts = _stretches(items, tenants)
+    j = wanted.alias("s").join(parts.alias("p"), (F.col("s.tenant") == F.col("p.tenant")) & (F.col("s.kind") == F.col("p.kind")))
+    for c, bound in (("from", F.col("p.upto") >= F.col("s.from")), ("to", F.col("p.below") < F.col("s.to")), ("port", F.col("p.port") == F.col("s.port")), ("status", F.col("p.status") == F.col("s.status"))):
         j = j.where(F.col(f"s.{c}").isNull() | bound)
-    label = F.coalesce(*(F.when(F.col("s.group_by") == g, F.coalesce(F.col(f"i.{c}"), F.lit(NO_LABEL))) for g, c in GROUPS.items()))
-    measure = lambda fields: F.coalesce(*(F.when(F.col("s.field") == f, F.col(f"i.{c}")) for f, c in fields.items()))
-    keys = ["tenant", "widget_id", "label"]
-    j = j.select("s.tenant", "s.widget_id", "s.field", "s.aggregation", label.alias("label"), "i.ticket_id", measure(ITEM_FIELDS).alias("x"), measure(TICKET_FIELDS).alias("y"))
-    per_item = F.col("field").isin(*ITEM_FIELDS)
-    stats = [F.sum("v").alias("sum"), F.count("v").alias("count"), F.max("v").alias("max"), F.min("v").alias("min"), F.count("*").alias("rows")]
-    by_item = j.where(per_item).withColumn("v", F.col("x")).groupBy(*keys, "field", "aggregation").agg(*stats)
-    by_ticket = j.where(~per_item).groupBy(*keys, "field", "aggregation", "ticket_id").agg(F.max("y").alias("v")).groupBy(*keys, "field", "aggregation").agg(*stats)
+    label = F.coalesce(*(F.when(F.col("s.group_by") == g, F.coalesce(F.col(f"p.{c}"), F.lit(NO_LABEL))) for g, c in GROUPS.items()))
+    measure = lambda fields, stat: F.coalesce(*(F.when(F.col("s.field") == f, F.col(f"p.{c}_{stat}")) for f, c in fields.items()))
+    keys = ["tenant", "widget_id", "label", "field", "aggregation"]
+    j = j.select("s.tenant", "s.widget_id", label.alias("label"), "s.field", "s.aggregation", "p.ticket_id", *(measure(ITEM_FIELDS, x).alias(x) for x in ("sum", "count", "max", "min")), measure(TICKET_FIELDS, "max").alias("y"))
+    # a ticket counts once, also where its rows lie in several stretches
+    once = j.groupBy(*keys, "ticket_id").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.max("max").alias("max"), F.min("min").alias("min"), F.max("y").alias("y"))
+    y = F.col("y")
+    once = once.select(*keys, *(F.when(on_tickets, t).otherwise(F.col(x)).alias(x) for x, t in (("sum", y), ("count", y.isNotNull().cast("long")), ("max", y), ("min", y))))
+    out = once.groupBy(*keys).agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.max("max").alias("max"), F.min("min").alias("min"), F.count("*").alias("rows"))
     value = (
         F.when(F.col("field") == EVENTS, F.col("rows").cast("double"))
         .when(F.col("aggregation") == "sum", F.col("sum")).when(F.col("aggregation") == "avg", F.col("sum") / F.nullif(F.col("count"), F.lit(0)))
         .when(F.col("aggregation") == "max", F.col("max")).when(F.col("aggregation") == "min", F.col("min")).otherwise(F.col("count").cast("double"))
     )
-    out = by_item.unionByName(by_ticket).select(*keys, F.round(F.coalesce(value, F.lit(0.0)), digits).alias("value"))
-    out = _largest(out, "tenant", "widget_id")
-    none = specs.where("group_by is null").select("tenant", "widget_id").join(out, ["tenant", "widget_id"], "left_anti")
-    return out.unionByName(none.select("tenant", "widget_id", F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("value")))
+    out = _largest(out.select("tenant", "widget_id", "label", F.round(F.coalesce(value, F.lit(0.0)), digits).alias("value")), "tenant", "widget_id")
+    shown = specs.select("tenant", "widget_id", "group_by").join(out, ["tenant", "widget_id"], "left").where("group_by is null or value is not null")
+    return shown.select("tenant", "widget_id", "label", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def _stretches(items: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Partial sums of the items: by tenant, what its widgets need (kind), stretch of time (how many of its cuts lie below an
+    item's instant, and how many not above it), port, status, parser, and, for some kinds, description or ticket."""
+    at = F.col("captured_at")
+    count = lambda test: F.size(F.filter("cuts", test))
+    rows = items.join(tenants, "tenant").withColumns({"below": F.when(at.isNull(), F.lit(2**31 - 1)).otherwise(count(lambda c: c < at)), "upto": F.when(at.isNull(), F.lit(0)).otherwise(count(lambda c: c <= at))})
+    measures = [*ITEM_FIELDS.values(), *TICKET_FIELDS.values()]
+    rows = rows.select("tenant", "below", "upto", "port", "status", "parsed_by", "description", "ticket_id", *measures, F.explode("kinds").alias("kind"))
+    rows = rows.withColumns({"description": F.when(F.col("kind").endswith("_name"), F.col("description")), "ticket_id": F.when(F.col("kind").startswith("ticket"), F.col("ticket_id"))})
+    stats = [f(c).alias(f"{c}_{x}") for c in ITEM_FIELDS.values() for x, f in (("sum", F.sum), ("count", F.count), ("max", F.max), ("min", F.min))]
+    return rows.groupBy("tenant", "kind", "below", "upto", "port", "status", "parsed_by", "description", "ticket_id").agg(*stats, *(F.max(c).alias(f"{c}_max") for c in TICKET_FIELDS.values()))
 
 
 def spec_reject(name: Column, visualization: Column, field: Column, aggregation: Column, group_by: Column, date_from: Column, date_to: Column, port: Column, status: Column) -> Column:

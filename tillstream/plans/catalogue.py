@@ -81,8 +81,11 @@ def widget_filters(spark, sf_dir):
     specs = {
         "both_bounds": {"date_from": "1994-01-01", "date_to": "1996-06-30T12:00:00.000Z"}, "day_bound": {"date_to": "1995-03-15"}, "port": {"port": "COM2"}, "status": {"status": "needs_review"}, "none": {"status": "failed"},
     }
-    parts = [widgets.widget_query(items, widgets.Spec(TENANT, "total", **s), 2).select(F.lit(n).alias("widget"), "value") for n, s in specs.items()]
-    return _union(parts)
+    names = ("date_from", "date_to", "port", "status")
+    rows = [(TENANT, n, "total", "sum", None, *(x.get(c) for c in names)) for n, x in specs.items()]
+    shape = ", ".join(f"{c} string" for c in ("tenant", "widget_id", "field", "aggregation", "group_by", *names))
+    out = widgets.widgets_batch(items.where(F.col("tenant") == TENANT), spark.createDataFrame(rows, shape), 2)
+    return out.select(F.col("widget_id").alias("widget"), "value")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -92,6 +95,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+@query
+def widget_years(spark, sf_dir):
+    """Tickets by port of a tenant, of the years alone that the table shows."""
+    rows = widgets.matching(mapped.ticket_items(spark, sf_dir), widgets.Spec(TENANT, widgets.EVENTS, group_by="port"), years=(1994, 1996))
+    return rows.groupBy(F.col("port").alias("label")).agg(F.count_distinct("ticket_id").cast("double").alias("value"))
+
+
 @query
 def widget_empty(spark, sf_dir):
     """Widgets that no row meets: one value is 0, a table has no points."""
@@ -271,11 +281,11 @@ def fallback_extract(spark, sf_dir):
     return rows.select("o_orderkey", "c.total", "c.discount", F.get("c.items", F.lit(0))["voided"].alias("voided"))
 
 
-def _answers(receipts: DataFrame) -> DataFrame:
+def _answers(receipts: DataFrame, *more: str) -> DataFrame:
     """Model answers for two of three receipts; of these every other with one item that closes."""
     k, live = F.col("o_orderkey"), F.col("live").cast("string")
     good = F.concat(F.lit('{"items":[{"description":"all","quantity":1,"unitPrice":'), live, F.lit(',"subtotal":'), live, F.lit('}],"total":'), live, F.lit("}"))
-    return receipts.where(k % 3 != 0).select("tenant_id", "captured_at", "ticket_id", F.when(k % 3 == 1, good).alias("response_text"))
+    return receipts.where(k % 3 != 0).select("tenant_id", "captured_at", "ticket_id", F.when(k % 3 == 1, good).alias("response_text"), *more)
 
 
 def _decided(spark: SparkSession, sf_dir: str, answers: bool) -> DataFrame:
@@ -388,13 +398,17 @@ def stream_parse(spark, sf_dir):
 
 def _arriving(spark: SparkSession, rows: DataFrame, by: str, path: str, run: Callable[[DataFrame], None]) -> None:
     """Hands rows to a job in three portions, in the order of a column; each is written when the job is through with those before."""
-    lo, hi = rows.agg(F.min(by), F.max(by)).first()  # one row
-    step = (hi - lo) // 3 + 1 if lo is not None else 1
+    portion = _portion(rows, by)
     for k in range(3):
-        rows.where(F.floor((F.col(by) - F.lit(lo)) / step) == k).write.mode("append").parquet(f"{path}/in")
+        rows.where(portion == k).write.mode("append").parquet(f"{path}/in")
         run(jobs.source(spark, f"{path}/in", rows.schema, 1000))
 
 
+def _portion(rows: DataFrame, by: str):
+    lo, hi = rows.agg(F.min(by), F.max(by)).first()  # one row
+    return F.floor((F.col(by) - F.lit(lo)) / ((hi - lo) // 3 + 1 if lo is not None else 1))
+
+
 @query
 def stream_dedup(spark, sf_dir):
     """Requests in order of arrival, in three portions."""
@@ -402,35 +416,81 @@ def stream_dedup(spark, sf_dir):
     rows = _accepted(spark, sf_dir)
     _arriving(spark, rows, "arrival_seq", path, lambda stream: jobs.dedup_stream(stream, f"{path}/out", f"{path}/log"))
     keys = rows.select(*ingest.KEY, "arrival_seq")
-    return jobs.read_batches(spark, f"{path}/out", keys.schema).select(*keys.columns)
+    return jobs.read_table(spark, f"{path}/out", keys.schema, ("day",)).select(*keys.columns)
 
 
 @query
 def stream_claims(spark, sf_dir):
     path, codes = work_dir(spark), mapped.codes(spark, sf_dir)
     _arriving(spark, mapped.claim_requests(spark, sf_dir), "seq", path, lambda stream: jobs.claims_stream(stream, codes, f"{path}/out", f"{path}/log"))
-    return spark.read.parquet(f"{path}/out").drop("batch")
+    return spark.read.parquet(f"{path}/out/outcomes").drop("batch")
+
+
+#: The given tables hold a few receipts for each day and tenant.
+_FOLDERS = ("tenant", "year")
 
 
 def _ticket_tables(spark: SparkSession, sf_dir: str) -> str:
     """The tables that the change log of all tickets makes, in three portions."""
     path, tenants = work_dir(spark), mapped.tenants(spark, sf_dir)
-    _arriving(spark, mapped.change_events(spark, sf_dir), "o_orderkey", path, lambda stream: jobs.ticket_stream(stream, tenants, None, f"{path}/out", f"{path}/log", ("tenant", "year")))
+    _arriving(spark, mapped.change_events(spark, sf_dir), "o_orderkey", path, lambda stream: jobs.ticket_stream(stream, tenants, None, f"{path}/out", f"{path}/log", _FOLDERS))
     return f"{path}/out"
 
 
+def _current(spark: SparkSession, out: str) -> DataFrame:
+    return ingest.current_state(jobs.read_table(spark, f"{out}/tickets", jobs.OUTCOME, _FOLDERS).drop(*_FOLDERS, "batch"))
+
+
+_STATE = ("tenant_id", "ticket_id", "status", "parsed_by", "reason")
+
+
 @query
 def stream_tickets(spark, sf_dir):
     """The current state of all tickets."""
-    out = jobs.read_batches(spark, f"{_ticket_tables(spark, sf_dir)}/tickets", jobs.OUTCOME)
-    return ingest.current_state(out).select("tenant_id", "ticket_id", "status", "parsed_by", "reason")
+    return _current(spark, _ticket_tables(spark, sf_dir)).select(*_STATE)
+
+
+@query
+def stream_answers(spark, sf_dir):
+    """The current state of all tickets, with a model's answers from a source of their own. Of the tickets that have one, a third each got it
+    before they came themselves, with them, and two portions after."""
+    path, tenants = work_dir(spark), mapped.tenants(spark, sf_dir)
+    events = mapped.change_events(spark, sf_dir)
+    at = _portion(events, "o_orderkey") + 1
+    late = F.element_at(F.array(F.lit(-1), F.lit(0), F.lit(2)), (F.col("o_orderkey") % 3 * 2 + F.floor(F.col("o_orderkey") / 8)).cast("int") % 3 + 1)
+    r = mapped.receipts(spark, sf_dir)
+    answers = _answers(r.select("*", (at + late).alias("portion")), "portion")
+    for k in range(6):
+        events.where(at == k).write.mode("append").parquet(f"{path}/events")
+        answers.where(F.col("portion") == k).drop("portion").write.mode("append").parquet(f"{path}/said")
+        both = (jobs.source(spark, f"{path}/{x}", t.schema, 1000) for x, t in (("events", events), ("said", answers.drop("portion"))))
+        jobs.answered_stream(*both, tenants, f"{path}/out", f"{path}/log", _FOLDERS)
+    return _current(spark, f"{path}/out").select(*_STATE)
+
+
+def _item_table(spark: SparkSession, out: str) -> DataFrame:
+    jobs.items_stream(spark, out, f"{out}/items", f"{out}/items-log", _FOLDERS)
+    schema = spark.createDataFrame([], decision.flatten(spark.createDataFrame([], jobs.OUTCOME)).schema).schema
+    return spark.read.schema(schema).parquet(f"{out}/items")
+
+
+_ITEM = ("tenant_id", "ticket_id", "description", "quantity", "subtotal", "voided", "discount", "tip", "total", "year", "month", "day")
 
 
 @query
 def stream_gold(spark, sf_dir):
-    """The item table."""
-    schema = spark.createDataFrame([], decision.flatten(_decided(spark, sf_dir, False)).schema).schema
-    return spark.read.schema(schema).parquet(f"{_ticket_tables(spark, sf_dir)}/items").select("tenant_id", "ticket_id", "description", "quantity", "subtotal", "voided", "discount", "tip", "total", "year", "month", "day")
+    """The item table, by the stream that follows the outcomes; then every ninth ticket is parsed anew, from a text that is no
+    receipt, and loses its items, all those of some folders among them."""
+    path = _ticket_tables(spark, sf_dir)
+    _item_table(spark, path)
+    changed = mapped.change_events(spark, sf_dir).where((F.col("o_orderkey") % 9 == 0) | _emptied()).withColumn("raw_text", F.lit("no receipt"))
+    jobs.ticket_batch(changed, 1000, mapped.tenants(spark, sf_dir), None, path, _FOLDERS)
+    return _item_table(spark, path).select(*_ITEM)
+
+
+def _emptied():
+    """Tickets of one tenant's year."""
+    return (F.col("tenant_id") == TENANT) & F.col("captured_at").startswith("1995")
 
 
 @query

@@ -131,10 +131,16 @@ FLAT = """SELECT tenant_id, ticket_id, name AS description, CAST(q AS DOUBLE) AS
   substr(captured_at, 1, 4) AS year, substr(captured_at, 6, 2) AS month, substr(captured_at, 9, 2) AS day
   FROM (SELECT *, CASE WHEN tenant_id = 'T3' THEN 0 WHEN CAST(substr(tenant_id, 2) AS INT) % 5 = 0 AND port <> 'COM1' THEN 0 WHEN poison IS NULL AND kind <> 7 AND own_reason IS NULL THEN 1 ELSE 0 END AS ok FROM checked) JOIN shown USING (o_orderkey) WHERE ok = 1"""
 
-_CLAIMS = """, codes AS (
-  SELECT concat('T', c_nationkey) AS tenant_id, concat('AAAAA-', lpad(translate(CAST(c_custkey AS VARCHAR), '01', 'AB'), 5, 'Z')) AS code, c_custkey % 3 = 0 AS used FROM customer
+
+def _code(k: str) -> str:
+    text = f"translate(to_base({k}, 34, 10), '01', 'YZ')"
+    return f"concat(substr({text}, 1, 5), '-', substr({text}, 6))"
+
+
+_CLAIMS = f""", codes AS (
+  SELECT concat('T', c_nationkey) AS tenant_id, {_code('c_custkey')} AS code, c_custkey % 3 = 0 AS used FROM customer
 ), asked AS (
-  SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'aaaaa-00000' ELSE concat('AAAAA-', lpad(translate(CAST(user_id AS VARCHAR), '01', 'AB'), 5, 'Z')) END AS code, event_id % 7 <> 0 AS named, event_id % 3 = 0 AS own_name FROM events WHERE event_type = 'purchase'
+  SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'aaaaa-00000' ELSE {_code('user_id')} END AS code, event_id % 7 <> 0 AS named, event_id % 3 = 0 AS own_name FROM events WHERE event_type = 'purchase'
 ), fit AS (
   SELECT a.*, c.tenant_id, row_number() OVER (PARTITION BY a.code ORDER BY event_id) AS n FROM asked a JOIN codes c ON a.code = c.code AND NOT c.used WHERE named AND event_id % 11 <> 0
 )"""
@@ -190,15 +196,17 @@ SQL: dict[str, str] = {
       CAST(CASE d.state WHEN 'parsed' THEN shown_total WHEN 'needs_review' THEN live END AS DOUBLE) AS total, CAST(CASE d.state WHEN 'parsed' THEN disc END AS DOUBLE) AS discount, CAST(CASE d.state WHEN 'parsed' THEN tips END AS DOUBLE) AS tip,
       CASE WHEN d.state NOT IN ('parsed', 'needs_review', 'pending') THEN r.reason END AS fail_reason, CASE d.state WHEN 'parsed' THEN 'deterministic' WHEN 'needs_review' THEN 'model-fallback' END AS parsed_by
       FROM decided d JOIN (""" + DECIDED + """) r ON r.tenant_id = d.tenant_id AND r.ticket_id = d.ticket_id WHERE d.tenant_id = 'T7'""",
-    "registry_lists": "SELECT 'agent' AS kind, CAST(s_suppkey AS VARCHAR) AS id FROM supplier WHERE s_nationkey = 7 UNION ALL SELECT 'code', concat('AAAAA-', lpad(translate(CAST(c_custkey AS VARCHAR), '01', 'AB'), 5, 'Z')) FROM customer WHERE c_nationkey = 7",
+    "registry_lists": f"SELECT 'agent' AS kind, CAST(s_suppkey AS VARCHAR) AS id FROM supplier WHERE s_nationkey = 7 UNION ALL SELECT 'code', {_code('c_custkey')} FROM customer WHERE c_nationkey = 7",
     "activation_claims": CLAIMS,
     "activation_usage": "SELECT concat('T', c_nationkey) AS tenant_id, count(*) FILTER (WHERE c_custkey % 3 = 0) AS used, count(*) AS total FROM customer GROUP BY 1",
 }
 SQL["stream_parse"] = SQL["parse_tickets"]
 SQL["stream_dedup"] = SQL["ingest_dedup"]
-SQL["stream_claims"], SQL["stream_tickets"], SQL["stream_gold"], SQL["stream_quarantine"] = SQL["activation_claims"], SQL["decide_deterministic"], SQL["flatten_items"], SQL["quarantine"]
+SQL["stream_claims"], SQL["stream_tickets"], SQL["stream_quarantine"], SQL["stream_answers"] = SQL["activation_claims"], SQL["decide_deterministic"], SQL["quarantine"], SQL["decide"]
+SQL["stream_gold"] = f"SELECT * FROM ({SQL['flatten_items']}) WHERE CAST(ticket_id AS BIGINT) % 9 <> 0 AND NOT (tenant_id = 'T7' AND year = '1995')"
+SQL["widget_years"] = f"WITH {ITEMS} SELECT port AS label, CAST(count(DISTINCT ticket_id) AS DOUBLE) AS value FROM items WHERE tenant = 'T7' AND substr(captured_at, 1, 4) BETWEEN '1994' AND '1996' GROUP BY 1"
 SQL["registry_columns"] = f"""WITH {SPECS}
   SELECT 'widget' AS kind, widget_id AS id, concat_ws('|', upper(widget_id), CASE WHEN group_by IS NULL THEN 'kpi' ELSE 'bar' END, field, aggregation, group_by, date_from, date_to, port, status, '2026-01-01') AS shown FROM specs WHERE tenant = 'T7'
   UNION ALL SELECT 'agent', CAST(s_suppkey AS VARCHAR), concat_ws('|', s_name, '2026-01-02') FROM supplier WHERE s_nationkey = 7
-  UNION ALL SELECT 'code', concat('AAAAA-', lpad(translate(CAST(c_custkey AS VARCHAR), '01', 'AB'), 5, 'Z')), concat_ws('|', CASE WHEN c_custkey % 3 = 0 THEN 'used' ELSE 'unused' END, '2026-01-03', CASE WHEN c_custkey % 3 = 0 THEN concat('2026-01-04|agent-', c_custkey) END) FROM customer WHERE c_nationkey = 7"""
+  UNION ALL SELECT 'code', {_code('c_custkey')}, concat_ws('|', CASE WHEN c_custkey % 3 = 0 THEN 'used' ELSE 'unused' END, '2026-01-03', CASE WHEN c_custkey % 3 = 0 THEN concat('2026-01-04|agent-', c_custkey) END) FROM customer WHERE c_nationkey = 7"""
 SQL["flagship"] = f"WITH {ITEMS} SELECT tenant, port AS label, round(sum(t), 2) AS value FROM (SELECT tenant, port, ticket_id, max(total) AS t FROM items WHERE tenant = 'T7' GROUP BY 1, 2, 3) GROUP BY 1, 2 ORDER BY 3 DESC, 2 LIMIT 50"

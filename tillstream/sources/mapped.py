@@ -92,7 +92,7 @@ REQUEST_FIELDS = """
   CASE event_id % 29 WHEN 0 THEN '' WHEN 1 THEN 'COM 3' WHEN 2 THEN repeat('p', 65) ELSE concat('COM', CAST(user_id % 9 AS STRING)) END AS port,
   CASE event_id % 37 WHEN 0 THEN '2026-02-31T00:00:00.000Z' WHEN 1 THEN '2026-01-01' ELSE concat('2026-01-', lpad(CAST(1 + event_id % 28 AS STRING), 2, '0'), 'T10:00:00.000Z') END AS captured_at,
   CASE event_id % 41 WHEN 0 THEN '' WHEN 1 THEN repeat('ñ', 32769) WHEN 2 THEN repeat('ñ', 32768) ELSE concat('receipt ', CAST(event_id AS STRING)) END AS raw_text,
-  CASE event_id % 53 WHEN 0 THEN 'trailing' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' WHEN 3 THEN 'object' WHEN 4 THEN 'array' WHEN 5 THEN 'null' WHEN 6 THEN 'list' WHEN 7 THEN 'missing' ELSE 'whole' END AS form
+  CASE event_id % 53 WHEN 0 THEN 'trailing' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' WHEN 3 THEN 'object' WHEN 4 THEN 'array' WHEN 5 THEN 'null' WHEN 6 THEN 'list' WHEN 7 THEN 'missing' WHEN 8 THEN 'repeated' ELSE 'whole' END AS form
 """
 
 
@@ -103,6 +103,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = lambda form, value, c: F.when(F.col("form") == form, F.lit(value)).otherwise(quoted(c))
     text = F.when(F.col("form") == "boolean", "true").when(F.col("form") == "object", '{"a": 7}').otherwise(quoted("raw_text"))
     members = F.concat(F.lit('"ticketId": '), other("array", "[1, 2]", "ticket_id"), F.lit(', "port": '), other("number", "5", "port"), F.lit(', "capturedAt": '), quoted("captured_at"))
+    members = F.when(F.col("form") == "repeated", F.concat(F.lit('"port": 7, "rawText": null, '), members)).otherwise(members)
     members = F.when(F.col("form") == "missing", members).otherwise(F.concat(members, F.lit(', "rawText": '), text))
     body = F.concat(F.lit("{"), members, F.lit("}"), F.when(F.col("form") == "trailing", " and more").otherwise(""))
     body = F.when(F.col("form") == "null", "null").when(F.col("form") == "list", "[1]").otherwise(body)
@@ -120,7 +121,9 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _code(k):
-    return F.concat(F.lit("AAAAA-"), F.lpad(F.translate(k.cast("string"), "01", "AB"), 5, "Z"))
+    """A number in base 34, with the letters and digits that codes have, in two groups of five."""
+    text = F.translate(F.lpad(F.conv(k.cast("string"), 10, 34), 10, "0"), "01", "YZ")
+    return F.concat(F.substring(text, 1, 5), F.lit("-"), F.substring(text, 6, 5))
 
 
 def claim_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,3 +17,25 @@ def shared_dir(spark: SparkSession) -> str:
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="tillstream-")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder; it is no error if there is none."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def folder(spark: SparkSession, names: tuple[str, ...], values: tuple) -> str:
+    """The relative path of a partition, its values escaped as the writer does."""
+    utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return "/".join(utils.getPartitionPathString(c, v if v is None else str(v)) for c, v in zip(names, values, strict=True))
