@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillstream.functions.text import CANDIDATE, json_candidate, money, parse_receipt
+from tillstream.functions.wrapped import parse_wrapped
 from tillstream.operators import decision, ingest, reads, widgets
 from tillstream.operators.coherence import incoherence
 from tillstream.plans import catalogue
@@ -285,3 +286,60 @@ def test_a_batch_reads_the_folders_it_touches(spark, tmp_path, monkeypatch):
 def test_every_customer_has_a_code_of_its_own(spark):
     codes = spark.range(200_000).select(mapped._code(F.col("id")).alias("code"))
     assert codes.distinct().count() == 200_000 and codes.where(~F.col("code").rlike(reads.CODE_SHAPE)).count() == 0
+
+
+def test_a_page_reads_few_days(spark, tmp_path):
+    out = str(tmp_path)
+    rows = [(f"{y}-{m:02d}-{d:02d}T10:00:00.000Z", f"{y}{m}{d}-{k}") for y in range(2019, 2027) for m in (1, 12) for d in (3, 28) for k in range(4)]
+    log = spark.createDataFrame([("T1", at, t, "COM1", BAD if t.endswith("3") else GOOD, "INSERT", "pending") for at, t in rows], "tenant_id string, captured_at string, ticket_id string, port string, raw_text string, event string, status string")
+    jobs.ticket_batch(log, 0, tenant(spark), None, out)
+    jobs.ticket_batch(log.where("captured_at > '2026-12'"), 1, tenant(spark), None, out)  # other versions of the same tickets
+    want, read = sorted(rows, reverse=True), []
+
+    def page(limit, **more):
+        df = jobs.ticket_page(spark, out, "T1", limit, **more)
+        read[:] = sorted({tuple(x.split("=")[1] for x in f.split("/") if x.startswith(("year=", "month=", "day="))) for f in df.inputFiles()})
+        return df.orderBy("place").collect()
+
+    first = page(6)
+    assert [(r.captured_at, r.ticket_id) for r in first] == want[:6] and first[-1].more and len(read) <= 3 and read[-1] == ("2026", "12", "28")
+    after = (first[-1].captured_at, first[-1].ticket_id)
+    assert [(r.captured_at, r.ticket_id) for r in page(6, after=after)] == want[6:12] and ("2026", "12", "28") not in read and len(read) <= 3
+    assert [r.ticket_id for r in page(100, status="failed")] == [t for _, t in want if t.endswith("3")]
+    assert len(page(100)) == 100 and len(page(100, after=("2019-01-03T10:00:00.000Z", "201913-2"))) == 2
+    assert page(5, after=("2018", "")) == [] and jobs.ticket_page(spark, out, "none").count() == 0
+
+
+def test_the_second_layout(spark):
+    text = "BAR\n\nCafé con\r\n  leche  \n2 x 1.250,50    2.501,00\nPan\n0,350 x 1.000,00  350,00  ANULADO\n1 x 5,00  5,00\nDESC. -1,00\nPROPINA $ 7,5\n2026-07-05 21:40\nTOTAL 2.512,50\nGracias"
+    cases = {
+        text: None, text.replace("07-05", "13-05"): "bad_date", text.replace("TOTAL 2.512,50", "TOTAL 2,5,1"): "bad_amount", "TOTAL 5,00": None, "Pan\n1 x 2,00  2,00": None, "": None,
+        "x\n" * 20_000 + "1 x 1,00  1,00\nTOTAL 1,00": None, "1 x " * 15_000: None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string").repartition(4)
+    began = time.time()
+    got = {r.i: r.own for r in df.select("i", parse_wrapped(F.col("t")).alias("own")).collect()}
+    assert time.time() - began < 20 and [got[i].poison for i in range(len(cases))] == list(cases.values())
+    c = got[0].candidate
+    assert [(x.description, x.quantity, x.unit_price, x.subtotal, x.voided) for x in c["items"]] == [("Café con leche", 2.0, 1250.5, 2501.0, False), ("Pan", 0.35, 1000.0, 350.0, True), ("", 1.0, 5.0, 5.0, False)]
+    assert (c.discount, c.tip, c.total, str(c.printed_at)) == (1.0, 7.5, 2512.5, "2026-07-05 21:40:00")
+    assert got[6].candidate["items"][0].description == " ".join("x" * 20_000) and all(got[i].candidate is None for i in (1, 2, 3, 4, 5, 7))
+
+
+def test_quarantined_receipts_are_tried_again(spark, tmp_path):
+    out, bad = str(tmp_path), "1  thing   2  2\nTOTAL: 1,2,3"
+    log = change(spark, ("a", 1, bad), ("b", 2, bad), ("c", 2, GOOD))
+    jobs.ticket_batch(log, 0, tenant(spark), None, out)
+    reader = decision.PARSERS | {"columns38": lambda raw: parse_receipt(F.replace(raw, F.lit("1,2,3"), F.lit("2")))}
+    state = lambda: {r.ticket_id: (r.status, r.version) for r in ingest.current_state(jobs.read_table(spark, f"{out}/tickets", jobs.OUTCOME, jobs.FOLDERS).drop(*jobs.FOLDERS, "batch")).collect()}
+    again = lambda n, version, parsers=None, most=5: jobs.requeue(spark, n, tenant(spark), log.select("tenant_id", "ticket_id", "raw_text"), out, parsers=parsers, version=version, most=most)
+    again(1, decision.VERSION)  # has tried already
+    again(2, "x")
+    again(2, "x")
+    assert state() == {"a": ("quarantined", 2), "b": ("quarantined", 2), "c": ("parsed", 0)}
+    again(3, "y", reader, most=2)
+    assert state()["a"] == ("quarantined", 2)
+    again(4, "y", reader)
+    again(5, "z", reader)
+    assert state() == {"a": ("parsed", 4), "b": ("parsed", 4), "c": ("parsed", 0)}
+    assert {r.ticket_id: (r.attempts, sorted(r.tried)) for r in jobs.attempts(spark, out).collect()} == {t: (2, sorted([decision.VERSION, "x"])) for t in "ab"}

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillstream.functions.text import CANDIDATE, json_candidate, parse_receipt
+from tillstream.functions.wrapped import parse_wrapped
 from tillstream.operators.coherence import incoherence
 
 #: Parsers by id: raw text to struct<candidate, poison>. Add one to plug in another layout.
-PARSERS: dict[str, Callable[[Column], Column]] = {"columns38": parse_receipt}
+PARSERS: dict[str, Callable[[Column], Column]] = {"columns38": parse_receipt, "wrapped": parse_wrapped}
+#: Names the parsers as they are; what an earlier version could not read may be tried again by another.
+VERSION = "2"
 
 
 def with_parser(tickets: DataFrame, tenants: DataFrame) -> DataFrame:
@@ -25,10 +28,10 @@ def with_parser(tickets: DataFrame, tenants: DataFrame) -> DataFrame:
     return out.withColumn("known", F.coalesce("known", F.lit(False))).withColumn("parser", parser).drop("parser_id", "port_parsers")
 
 
-def parsed(tickets: DataFrame) -> DataFrame:
+def parsed(tickets: DataFrame, parsers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Adds `own` = struct<candidate, poison> by each row's parser; a missing text is an empty one."""
     raw, chain = F.coalesce("raw_text", F.lit("")), None
-    for name, parse in PARSERS.items():
+    for name, parse in (parsers or PARSERS).items():
         chain = (F if chain is None else chain).when(F.col("parser") == name, parse(raw))
     # out of an explode, so that later filters are not pushed below the parser, which they would repeat for each use of its result
     return tickets.select("*", F.explode(F.array(chain)).alias("own"))
@@ -40,13 +43,13 @@ def _outcome(status: str, parsed_by: str | None = None, reason: Column | None =
     return F.struct(F.lit(status).alias("status"), (F.lit(parsed_by) if parsed_by else no).cast("string").alias("parsed_by"), reason.cast("string").alias("reason"))
 
 
-def decide(tickets: DataFrame, tenants: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+def decide(tickets: DataFrame, tenants: DataFrame, answers: DataFrame | None = None, parsers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """tickets (tenant_id, captured_at, ticket_id, port, raw_text) with status, parsed_by, reason and
     candidate. Poisoned receipts get status `quarantined`. With answers (the same three keys and
     response_text), a receipt that its own parser can't close is taken from there for review; without
     an answer row it stays `pending`."""
-    known = F.col("known") & F.col("parser").isin(*PARSERS)
-    rows = parsed(with_parser(tickets, tenants)).withColumn("own_reason", incoherence(F.col("own.candidate")))
+    known = F.col("known") & F.col("parser").isin(*(parsers or PARSERS))
+    rows = parsed(with_parser(tickets, tenants), parsers).withColumn("own_reason", incoherence(F.col("own.candidate")))
     closes = F.col("own.candidate").isNotNull() & F.col("own_reason").isNull()
     if answers is None:
         rows = rows.withColumn("second", F.lit(None).cast(rows.schema["own"].dataType["candidate"].dataType)).withColumn("asked", F.lit(None).cast("boolean"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillstream.functions.text import strip
+from tillstream.sources.shared import folder, subfolders
 
 # fixed values: page sizes, the shape of an activation code, states of a ticket, and what lists show
 DEFAULT_PAGE, MAX_PAGE = 50, 100
@@ -54,6 +57,37 @@ def ticket_page(tickets: DataFrame, tenant: str, limit: object = None, status: s
     return paged.withColumn("next", F.when(F.col("more") & (F.col("place") == n), cursor(F.col("captured_at"), F.col("ticket_id"))))
 
 
+def newest_first(spark: SparkSession, path: str, folders: tuple[str, ...], upto: str | None = None) -> Iterator[tuple[str, ...]]:
+    """The folders below a path (year, and perhaps month and day), newest first, listed as they are asked for. upto: the text
+    of an instant behind which there is nothing to look for."""
+    for value in subfolders(spark, path, folders[0]):
+        size = 4 if folders[0] == "year" else 2
+        if upto is not None and value > upto[:size]:
+            continue
+        if len(folders) == 1:
+            yield (value,)
+        else:
+            rest = upto[size + 1 :] if upto is not None and value == upto[:size] else None
+            yield from ((value, *x) for x in newest_first(spark, f"{path}/{folder(spark, folders[:1], (value,))}", folders[1:], rest))
+
+
+def page_walk(
+    spark: SparkSession, path: str, read: Callable[[list[str]], DataFrame], tenant: str, limit: object = None, status: str | None = None, after: tuple[str, str] | None = None, folders: tuple[str, ...] = ("year", "month", "day")
+) -> DataFrame:
+    """`ticket_page` of a table in folders by tenant and parts of the day: walks back from the newest folder, or the cursor's,
+    and stops once there is a page and one row more. read: the current tickets in some folders, all of whose states lie there.
+    Twice as many folders are taken in each step, so that a rare status takes few steps."""
+    n, base = page_size(limit), f"{path}/{folder(spark, ('tenant',), (tenant,))}"
+    walk, taken, step = newest_first(spark, base, folders, None if after is None else after[0]), [], 1
+    while True:
+        new = [f"{base}/{folder(spark, folders, x)}" for x in islice(walk, step)]
+        taken += new
+        page = ticket_page(read(taken), tenant, limit, status, after)
+        if len(new) < step or (page.count() == n and page.where("more").limit(1).count()):
+            return page
+        step *= 2
+
+
 def public_tickets(outcomes: DataFrame, tenant: str) -> DataFrame:
     """The 11 columns that a tenant sees of its decided tickets."""
     c, done = F.col("candidate"), F.col("status").isin("parsed", "needs_review")

@@ -218,6 +218,17 @@ def parse_items(spark, sf_dir):
     return _parsed(mapped.receipts(spark, sf_dir)).select("ticket_id", F.explode("own.candidate.items").alias("i")).select("ticket_id", "i.*")
 
 
+@query
+def parse_layouts(spark, sf_dir):
+    """Receipts of two layouts, each read by its port's parser: all orders in the one with wrapped names, and once more in the other."""
+    wide = mapped.wrapped_receipts(spark, sf_dir).withColumn("port", F.lit("COM9"))
+    rows = wide.unionByName(mapped.receipts(spark, sf_dir).select(*wide.columns).withColumn("port", F.lit("COM1")))
+    tenants = mapped.table(spark, sf_dir, "nation").select(F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("tenant_id"), F.lit("columns38").alias("parser_id"), F.create_map(F.lit("COM9"), F.lit("wrapped")).alias("port_parsers"))
+    c = "own.candidate"
+    out = decision.parsed(decision.with_parser(rows, tenants)).select("ticket_id", "parser", f"{c}.total", incoherence(F.col(c)).alias("reason"), F.explode(f"{c}.items").alias("i"))
+    return out.select("ticket_id", "parser", "total", "reason", "i.description", "i.quantity", "i.unit_price", "i.subtotal", "i.voided")
+
+
 @query
 def parse_junk(spark, sf_dir):
     """Prose is no receipt."""
@@ -340,6 +351,14 @@ def ticket_page(spark, sf_dir):
     return reads.ticket_page(_tickets(spark, sf_dir), TENANT).select(*_PAGE)
 
 
+@query
+def ticket_page_walk(spark, sf_dir):
+    """A page of the outcome table that a batch of tickets made, from the newest folders."""
+    path = work_dir(spark)
+    jobs.ticket_batch(mapped.change_events(spark, sf_dir), 0, mapped.tenants(spark, sf_dir), None, path, _FOLDERS)
+    return jobs.ticket_page(spark, path, TENANT, 30, folders=_FOLDERS).select(*_PAGE)
+
+
 @query
 def ticket_page_status(spark, sf_dir):
     return reads.ticket_page(_tickets(spark, sf_dir), TENANT, 500, "needs_review").select(*_PAGE)
@@ -496,3 +515,17 @@ def _emptied():
 @query
 def stream_quarantine(spark, sf_dir):
     return spark.read.parquet(f"{_ticket_tables(spark, sf_dir)}/quarantine").select("tenant_id", "ticket_id", "reason")
+
+
+@query
+def requeue(spark, sf_dir):
+    """The state of tickets that were quarantined, after parsers of five more versions, one of them twice, have tried; the first of them reads
+    an amount that was unreadable. Five attempts at most."""
+    path, tenants = work_dir(spark), mapped.tenants(spark, sf_dir)
+    events = mapped.change_events(spark, sf_dir)
+    payloads = jobs.pending(events).select("tenant_id", "ticket_id", "raw_text")
+    jobs.ticket_batch(events, 0, tenants, None, path, _FOLDERS)
+    better = decision.PARSERS | {"columns38": lambda raw: parse_receipt(F.replace(raw, F.lit("$1,2,3"), F.lit("$10,00")))}
+    for n, version in enumerate("abbcde", 1):
+        jobs.requeue(spark, n, tenants, payloads, path, _FOLDERS, better, version)
+    return jobs.attempts(spark, path).join(_current(spark, path), ingest.KEY).select(*_STATE, "attempts")

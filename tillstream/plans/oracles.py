@@ -200,6 +200,15 @@ SQL: dict[str, str] = {
     "activation_claims": CLAIMS,
     "activation_usage": "SELECT concat('T', c_nationkey) AS tenant_id, count(*) FILTER (WHERE c_custkey % 3 = 0) AS used, count(*) AS total FROM customer GROUP BY 1",
 }
+SQL["parse_layouts"] = f"""{_RECEIPTS}, cents AS (
+    SELECT l_orderkey, p_name, CAST(floor(l_quantity) AS BIGINT) AS q, CAST(round(p_retailprice * 100) AS BIGINT) AS u, l_returnflag = 'R' AS voided FROM lineitem JOIN part ON p_partkey = l_partkey
+  ), due AS (SELECT l_orderkey, count(*) AS n, sum(CASE WHEN voided THEN 0 ELSE q * u END) AS live FROM cents GROUP BY 1)
+  SELECT CAST(l_orderkey AS VARCHAR) AS ticket_id, 'wrapped' AS parser, live / 100 AS total, CASE WHEN live > 50000000 THEN 'T3' WHEN n > 50 THEN 'N2' END AS reason, p_name AS description, CAST(q AS DOUBLE) AS quantity, u / 100 AS unit_price, q * u / 100 AS subtotal, voided FROM cents JOIN due USING (l_orderkey)
+  UNION ALL SELECT ticket_id, 'columns38', CAST(shown_total AS DOUBLE), own_reason, name, CAST(q AS DOUBLE), CAST(u AS DOUBLE), CAST(s AS DOUBLE), voided FROM checked JOIN shown USING (o_orderkey) WHERE poison IS NULL AND kind <> 7"""
+SQL["ticket_page_walk"] = f"{_RECEIPTS}, stated AS (SELECT r.tenant_id, r.ticket_id, r.captured_at, d.status FROM receipts r JOIN ({DETERMINISTIC}) d ON d.ticket_id = r.ticket_id) " + _PAGE.format(size=30, where="tenant_id = 'T7'").replace("FROM tickets", "FROM stated")
+SQL["requeue"] = f"""{_RECEIPTS}, q AS (SELECT c.* FROM checked c JOIN ({DETERMINISTIC}) d ON d.ticket_id = c.ticket_id WHERE d.status = 'quarantined'), r AS (
+    SELECT *, CASE WHEN kind = 5 THEN 'bad_date' WHEN n > 50 THEN 'incoherent: N2' WHEN abs(10 - live) > 1 THEN 'incoherent: T4' END AS why FROM q)
+  SELECT tenant_id, ticket_id, CASE WHEN kind = 5 THEN 'quarantined' WHEN why IS NULL THEN 'parsed' ELSE 'failed' END AS status, CASE WHEN why IS NULL THEN 'deterministic' END AS parsed_by, why AS reason, CASE WHEN kind = 5 THEN 5 ELSE 1 END AS attempts FROM r"""
 SQL["stream_parse"] = SQL["parse_tickets"]
 SQL["stream_dedup"] = SQL["ingest_dedup"]
 SQL["stream_claims"], SQL["stream_tickets"], SQL["stream_quarantine"], SQL["stream_answers"] = SQL["activation_claims"], SQL["decide_deterministic"], SQL["quarantine"], SQL["decide"]

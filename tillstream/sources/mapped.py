@@ -66,6 +66,19 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("tenant").alias("tenant_id"), "ticket_id", "o_orderkey", "captured_at", "port", text.alias("raw_text"), "live", "disc", "tips", total.alias("total"))
 
 
+def wrapped_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with lines as a receipt in the second layout, with cents and names over several lines: ticket_id, tenant_id, captured_at,
+    port, raw_text."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    q, u = F.floor("l_quantity").cast("long"), F.round(F.col("p_retailprice") * 100).cast("long")
+    money = lambda cents: F.concat(F.replace(F.format_number(F.floor(cents / 100).cast("long"), 0), F.lit(","), F.lit(".")), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
+    line = F.concat(F.replace("p_name", F.lit(" "), F.lit("\n  ")), F.lit("\n"), q.cast("string"), F.lit(" x "), money(u), F.lit("     "), money(q * u), F.when(F.col("l_returnflag") == "R", " ANULADO").otherwise(""))
+    own = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", q.alias("q"), line.alias("line")))).alias("items"), F.sum(F.when(F.col("l_returnflag") != "R", q * u).otherwise(0)).alias("live"))
+    text = F.concat(F.lit("BAR EL CEIBO\nCalle 7\n\n2026-07-05 21:40\n"), F.array_join(F.transform("items", lambda x: x["line"]), "\n"), F.lit("\nTOTAL $ "), money(F.col("live")), F.lit("\nGracias"))
+    return tickets(spark, sf_dir).join(own, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("tenant").alias("tenant_id"), "ticket_id", "captured_at", "port", text.alias("raw_text"))
+
+
 def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every nation but the fourth is a tenant; every fifth has another parser, except on port COM1."""
     n = table(spark, sf_dir, "nation").where("n_nationkey != 3")

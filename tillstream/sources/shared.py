@@ -39,3 +39,14 @@ def folder(spark: SparkSession, names: tuple[str, ...], values: tuple) -> str:
     """The relative path of a partition, its values escaped as the writer does."""
     utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
     return "/".join(utils.getPartitionPathString(c, v if v is None else str(v)) for c, v in zip(names, values, strict=True))
+
+
+def subfolders(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The partitions of one column below a folder, as text, largest first; a null one is last."""
+    p, fs = _path(spark, path)
+    utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    if not fs.exists(p):
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    values = [utils.unescapePathName(x.removeprefix(f"{name}=")) for x in found if x.startswith(f"{name}=")]
+    return sorted(values, key=lambda v: (v != "__HIVE_DEFAULT_PARTITION__", v), reverse=True)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillstream.operators import decision, reads
-from tillstream.operators.ingest import KEY, current_state, first_of_each
+from tillstream.operators.ingest import KEY, current_state, first_of_each, with_payload
 from tillstream.sources.shared import exists, folder, remove
 
 OUTCOME = "tenant_id string, captured_at string, ticket_id string, port string, status string, parsed_by string, reason string, " + f"candidate {decision.CANDIDATE}, version bigint"
@@ -79,6 +79,18 @@ def history(spark: SparkSession, path: str, columns: StructType | str, folders:
     return rows if before is None else rows.where(F.col("batch") < before)
 
 
+def current_tickets(spark: SparkSession, out: str, folders: tuple[str, ...], paths: list[str]) -> DataFrame:
+    """The current state of the tickets in some folders of the outcomes."""
+    schema = _schema(spark, OUTCOME, folders)
+    rows = spark.read.schema(schema).option("basePath", f"{out}/tickets").parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return current_state(rows.drop(*folders, "batch"))
+
+
+def ticket_page(spark: SparkSession, out: str, tenant: str, limit: object = None, status: str | None = None, after: tuple[str, str] | None = None, folders: tuple[str, ...] = FOLDERS) -> DataFrame:
+    """A page of the outcomes, newest first, that reads few of a tenant's folders."""
+    return reads.page_walk(spark, f"{out}/tickets", lambda paths: current_tickets(spark, out, folders, paths), tenant, limit, status, after, folders[1:])
+
+
 def transform_stream(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
     """Applies a batch operator to each micro-batch."""
     run_available(stream, lambda rows, n: step(rows).write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint)
@@ -133,12 +145,13 @@ def _foldered(rows: DataFrame, folders: tuple[str, ...]) -> DataFrame:
     return decision.foldered(rows.select(*kept)).select(*kept, *folders)
 
 
-def _write_outcomes(decided: DataFrame, n: int, out: str, folders: tuple[str, ...], then: Callable[[DataFrame], None] | None = None) -> None:
-    """Outcomes of a batch, and its unreadable receipts."""
+def _write_outcomes(decided: DataFrame, n: int, out: str, folders: tuple[str, ...], then: Callable[[DataFrame], None] | None = None, parsers: str = decision.VERSION) -> None:
+    """Outcomes of a batch, and its unreadable receipts with the version of the parsers that could not read them: each row of
+    `quarantine` is an attempt."""
     decided = _foldered(decided.withColumn("version", F.lit(n).cast("long")), folders).persist()
     try:
         write_batch(decided, n, f"{out}/tickets", folders)
-        decision.quarantine(decided).write.mode("overwrite").parquet(f"{out}/quarantine/batch={n}")
+        decision.quarantine(decided).withColumn("parsers", F.lit(parsers)).write.mode("overwrite").parquet(f"{out}/quarantine/batch={n}")
         if then is not None:
             then(decided)
     finally:
@@ -176,6 +189,27 @@ def answered_batch(rows: DataFrame, n: int, tenants: DataFrame, out: str, folder
     _write_outcomes(decision.decide(todo, tenants, first), n, out, folders, wait)
 
 
+def requeue(spark: SparkSession, n: int, tenants: DataFrame, payloads: DataFrame, out: str, folders: tuple[str, ...] = FOLDERS, parsers: dict | None = None, version: str = decision.VERSION, most: int = 5) -> None:
+    """Takes quarantined receipts up again, as batch n, with parsers of another version: those that are still quarantined, that this
+    version has not tried, and that have had fewer attempts than `most`. Their texts come from the raw table (payloads)."""
+    ledger = attempts(spark, out, n).where((F.col("attempts") < most) & ~F.array_contains("tried", version))
+    open_ = _foldered(ledger.select(*KEY), folders).persist()
+    try:
+        state = current_state(history(spark, f"{out}/tickets", OUTCOME, folders, open_.select(*folders).distinct(), n).drop(*folders, "batch"))
+        again = state.where("status = 'quarantined'").select(*KEY, "port").join(open_.select(*KEY), KEY, "left_semi")
+        _write_outcomes(decision.decide(with_payload(again, payloads), tenants, None, parsers), n, out, folders, parsers=version)
+    finally:
+        open_.unpersist()
+
+
+def attempts(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """Keys that were ever quarantined: how many attempts failed, and the versions of the parsers that made them."""
+    schema = _schema(spark, "tenant_id string, captured_at string, ticket_id string, reason string, parsers string", ())
+    rows = spark.read.schema(schema).parquet(f"{out}/quarantine") if exists(spark, f"{out}/quarantine") else spark.createDataFrame([], schema)
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    return rows.groupBy(*KEY).agg(F.count("*").alias("attempts"), F.collect_set("parsers").alias("tried"))
+
+
 def items_stream(spark: SparkSession, out: str, items: str | None, checkpoint: str, folders: tuple[str, ...] = FOLDERS, files_per_batch: int = 10_000) -> None:
     """Keeps the item table in step with the outcomes in out. Without a place for items, or outcomes, there is nothing to do."""
     if items is None or not exists(spark, f"{out}/tickets"):
