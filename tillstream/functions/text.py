@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+BLANK_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 ANY = r"[^\n\r\u2028\u2029]"
 # fixed values: the receipt layout that a parser reads. An item line is quantity, description, two blanks or more, unit
 # price, subtotal, and a mark if it is void; its two ends are matched apart, each without backtracking
@@ -26,8 +27,8 @@ CANDIDATE = f"struct<items:array<{ITEM}>,discount:double,tip:double,total:double
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends; linear in the text, as a run of blanks is entered at its start only."""
-    return F.regexp_replace(text, rf"\A{BLANKS}++|(?<!{BLANKS}){BLANKS}++\z", "")
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -63,16 +64,17 @@ def parse_receipt(raw: Column) -> Column:
 def _item_parts(line: Column) -> Column:
     """array<quantity, description, unit price, subtotal, void mark> of a trimmed line, or NULL if it is no item."""
 
-    def with_name(tail: Column, middle: Column, name: Column) -> Column:
-        ends = middle.rlike(rf"\A{BLANKS}") & F.when(name == "", F.length(middle) >= 4).otherwise(middle.rlike(rf"{BLANKS}{{2}}\z"))
-        numbers = [F.regexp_extract(tail, rf"\A{NUMBERS}", k) for k in (1, 2, 3)]
-        return F.when(ends & ~name.rlike(r"[\n\r\u2028\u2029]"), F.array(F.regexp_extract(line, ITEM_HEAD, 0), name, *numbers))
+    def with_name(head: Column, tail: Column, middle: Column, name: Column) -> Column:
+        blank = lambda text, *at: F.contains(F.lit(BLANK_CHARS), F.substring(text, *at))
+        ends = blank(middle, 1, 1) & F.when(name == "", F.length(middle) >= 4).otherwise(blank(middle, -1, 1) & blank(middle, -2, 1))
+        numbers = F.split(F.regexp_replace(tail, rf"\A{NUMBERS}", "$1\u0001$2\u0001$3"), "\u0001")
+        return F.when(ends & ~name.rlike(r"[\n\r\u2028\u2029]"), F.concat(F.array(head, name), numbers))
 
-    def with_tail(tail: Column) -> Column:
-        head = F.length(F.regexp_extract(line, ITEM_HEAD, 0))
-        return F.when(tail != "", let(F.substring(line, head + 1, F.length(line) - head - F.length(tail)), lambda middle: let(strip(middle), lambda name: with_name(tail, middle, name))))
+    def with_tail(head: Column, tail: Column) -> Column:
+        middle = F.substring(line, F.length(head) + 1, F.length(line) - F.length(head) - F.length(tail))
+        return F.when(tail != "", let(middle, lambda middle: let(strip(middle), lambda name: with_name(head, tail, middle, name))))
 
-    return let(F.regexp_extract(line, ITEM_TAIL, 0), with_tail)
+    return let(F.regexp_extract(line, ITEM_HEAD, 0), lambda head: F.when(head != "", let(F.regexp_extract(line, ITEM_TAIL, 0), lambda tail: with_tail(head, tail))))
 
 
 def _tag(line: Column, is_date: Column, parts: Column) -> Column:

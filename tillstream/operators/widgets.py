@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -47,6 +48,12 @@ class Spec:
             raise ValueError("a ticket's measure can't be grouped by its items")
 
 
+def matching_rule(spec: Spec) -> Column:
+    """Whether an item row is the tenant's and within the filters."""
+    rules = [F.col("tenant") == spec.tenant] + [op(F.col("captured_at"), v) for v, op in ((spec.date_from, Column.__ge__), (spec.date_to, Column.__le__)) if v is not None]
+    return F.coalesce(reduce(Column.__and__, rules + [F.col(c) == v for c, v in (("port", spec.port), ("status", spec.status)) if v is not None]), F.lit(False))
+
+
 def matching(items: DataFrame, spec: Spec, folders: tuple[str, ...] = (), years: tuple[int, int] | None = None) -> DataFrame:
     """The tenant's rows within the filters. Bounds compare as text, inclusive, on purpose: a date-only
     upper bound leaves out that day. `folders`: which of year, month and day the table is partitioned by, in this
@@ -91,6 +98,27 @@ def widget_query(items: DataFrame, spec: Spec, digits: int | None = None) -> Dat
     return shaped(out, digits).orderBy(F.desc("value"), F.asc("label")).limit(TOP)
 
 
+def one_values(items: DataFrame, specs: dict[str, Spec], digits: int | None = None) -> DataFrame:
+    """(widget, value) of widgets with one value and known filters, in one pass: each is a condition within the same aggregation."""
+    fits = {n: matching_rule(s) for n, s in specs.items()}
+    rows = items.where(reduce(Column.__or__, fits.values())).withColumns({f"fits_{i}": f for i, f in enumerate(fits.values())})
+    on_tickets = [i for i, s in enumerate(specs.values()) if s.field in TICKET_FIELDS or s.field == EVENTS]
+
+    def values(rows: DataFrame, which: list[int], column: Callable[[int, Spec], Column]) -> DataFrame:
+        own = list(enumerate(specs.items()))
+        agg = lambda s, c: F.count(c) if s.field == EVENTS else AGGREGATIONS[s.aggregation](c)
+        return rows.agg(F.array(*(F.struct(F.lit(n).alias("widget"), agg(s, column(i, s)).cast("double").alias("value")) for i, (n, s) in own if i in which)).alias("v"))
+
+    parts = []
+    if on_tickets:
+        named = [F.max(F.when(F.col(f"fits_{i}"), F.col(TICKET_FIELDS[s.field]) if s.field != EVENTS else F.lit(1))).alias(f"v_{i}") for i, s in enumerate(specs.values()) if i in on_tickets]
+        parts.append(values(rows.groupBy("tenant", "ticket_id").agg(*named), on_tickets, lambda i, s: F.col(f"v_{i}")))
+    if len(on_tickets) < len(specs):
+        rest = [i for i in range(len(specs)) if i not in on_tickets]
+        parts.append(values(rows, rest, lambda i, s: F.when(F.col(f"fits_{i}"), F.col(ITEM_FIELDS[s.field]))))
+    return shaped(reduce(DataFrame.unionByName, parts).select(F.explode("v").alias("v")).select("v.*"), digits)
+
+
 def every_measure(items: DataFrame, fields: dict[str, str], group: str | None = None, digits: tuple[int, int] = (2, 4)) -> DataFrame:
     """(tenant, field, aggregation[, label], value) of all tenants and measures of a grain in one pass over the items; of groups the 50 largest each."""
     keys = [] if group is None else [GROUPS[group]]

@@ -81,11 +81,7 @@ def widget_filters(spark, sf_dir):
     specs = {
         "both_bounds": {"date_from": "1994-01-01", "date_to": "1996-06-30T12:00:00.000Z"}, "day_bound": {"date_to": "1995-03-15"}, "port": {"port": "COM2"}, "status": {"status": "needs_review"}, "none": {"status": "failed"},
     }
-    names = ("date_from", "date_to", "port", "status")
-    rows = [(TENANT, n, "total", "sum", None, *(x.get(c) for c in names)) for n, x in specs.items()]
-    shape = ", ".join(f"{c} string" for c in ("tenant", "widget_id", "field", "aggregation", "group_by", *names))
-    out = widgets.widgets_batch(items.where(F.col("tenant") == TENANT), spark.createDataFrame(rows, shape), 2)
-    return out.select(F.col("widget_id").alias("widget"), "value")
+    return widgets.one_values(items, {n: widgets.Spec(TENANT, "total", **s) for n, s in specs.items()}, 2)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

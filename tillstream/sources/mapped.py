@@ -12,9 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all cores, if they come in fewer splits: a small file is one split, however much is made of its rows. A table
+    of many splits stays as it is."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.rdd().getNumPartitions() >= n else rows.repartition(n, *keys)
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: the columns that a receipt has."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    o, c = dealt(table(spark, sf_dir, "orders"), "o_orderkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     review = F.col("o_orderstatus") == "O"
     part = lambda every, share: F.when(F.col("o_orderkey") % every == 0, F.floor(F.col("o_totalprice") * share).cast("double"))
     return o.join(c, o.o_custkey == c.c_custkey).select(
@@ -27,7 +34,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ticket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The item table: one row per order line, the receipt's own columns repeated."""
-    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    lines, part = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
     rows = tickets(spark, sf_dir).join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
         "tenant", "ticket_id", "captured_at", "port", "status", "parsed_by", F.col("p_name").alias("description"), F.col("l_quantity").alias("quantity"),
@@ -111,7 +118,7 @@ REQUEST_FIELDS = """
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """api_key_id, arrival_seq and the JSON body of each ingest request."""
-    rows = table(spark, sf_dir, "events").selectExpr(*[x.strip() for x in _columns(REQUEST_FIELDS)])
+    rows = dealt(table(spark, sf_dir, "events"), "event_id").selectExpr(*[x.strip() for x in _columns(REQUEST_FIELDS)])
     quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
     other = lambda form, value, c: F.when(F.col("form") == form, F.lit(value)).otherwise(quoted(c))
     text = F.when(F.col("form") == "boolean", "true").when(F.col("form") == "object", '{"a": 7}').otherwise(quoted("raw_text"))
