@@ -81,3 +81,10 @@ def test_short_items_are_found_as_whole_words(spark):
     items = spark.createDataFrame([(1, "x=42"), (2, ""), (3, None), (4, "?!")], "item_id bigint, text string")
     assert {r.doc_id: r.distance for r in d.matches(docs, items).collect()} == {1: 0, 4: 0, 5: 0, 6: 0}
     assert sorted(r.doc_id for r in d.clean(docs, items).collect()) == [2, 3, 7]
+
+
+def test_the_budget_goes_by_length_alone(spark):
+    items = [(1, "pale blue moon shine"), (2, "ten bytes."), (3, "nine byte"), (4, "the wide river bends north")]  # budgets 2, 0, 0, 2
+    docs = [(1, "a pale blve moonn shine"), (2, "pale bluue mon shyne"), (3, "ten bytes"), (4, "often bytes"), (5, "xnine byte"), (6, "the wode river bend north"), (7, "Pale. BLUE, mon shine")]
+    got = {(r.doc_id, r.item_id): r.distance for r in d.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(1, 1): 2, (3, 2): 0, (6, 4): 2, (7, 1): 1}

@@ -10,8 +10,8 @@ Myers' bit-parallel distance. The bounds are necessary conditions, so no passage
 Documents are scanned in Arrow batches without a shuffle. The test items travel to the tasks in
 blocks of about `block_bytes`: a larger benchmark takes more passes, not more memory.
 
-Items of fewer than `min_bytes` normalised bytes are one piece without budget, and count only where they
-stand as whole words: an edit would make an ordinary word of them.
+An item so short that its budget is 0 is one piece, and counts only where it stands as whole words: within a word it would
+be any syllable.
 
 Defined cases: a null or empty text holds no passage; an item without letters, digits and non-ASCII bytes (a null
 one too) is matched by nothing; repeated documents
@@ -94,20 +94,18 @@ class Items:
     ids: list[int]
     texts: list[bytes]
     budget: list[int]
-    whole: list[bool] = field(default_factory=list)  # short: matched as whole words
     words: list[str] = field(default_factory=list)
     owners: list[list[tuple[int, int]]] = field(default_factory=list)
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]], max_error: float, min_bytes: int) -> Items:
+    def of(cls, rows: list[tuple[int, str | None]], max_error: float) -> Items:
         out, at = cls([], [], []), {}
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             b = normalised(Texts(raw, np.array([0, len(raw)])))[0].tobytes().strip()
             if not b:
                 continue
-            k, own = int(len(b) * max_error) if len(b) >= min_bytes else 0, len(out.ids)
-            out.whole.append(len(b) < min_bytes)
+            k, own = int(len(b) * max_error), len(out.ids)
             out.ids.append(item)
             out.texts.append(b)
             out.budget.append(k)
@@ -192,7 +190,7 @@ class Scanner:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for row, item, lo, hi in self.likely(b, self.windows(b, offsets)).T.tolist():
             text, want, k = b[lo:hi].tobytes(), self.items.texts[item], self.items.budget[item]
-            if self.items.whole[item]:
+            if k == 0:
                 if (place := whole_words(b, want, lo, hi, offsets[row], offsets[row + 1])) < 0:
                     continue
                 found = (0, place, place + len(want))
@@ -211,19 +209,19 @@ class Scanner:
         return {(r, i): (d, int(at[s] - base[r]), int(at[e - 1] + 1 - base[r])) for (r, i), (d, s, e) in best.items()}
 
 
-def blocks(benchmark: DataFrame, max_error: float, min_bytes: int, block_bytes: int) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, max_error: float, block_bytes: int) -> Iterator[Items]:
     """The items in blocks of about block_bytes, each small enough for the driver and every task."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // block_bytes))
     for k in range(parts):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).select("item_id", "text").collect()
-        yield Items.of(sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0], x[1] or "")), max_error, min_bytes)
+        yield Items.of(sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0], x[1] or "")), max_error)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, min_bytes: int = 24, block_bytes: int = 1 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, block_bytes: int = 1 << 20) -> DataFrame:
     """One row for each document and test item of which it holds a passage within the error budget."""
     out = None
-    for items in blocks(benchmark, max_error, min_bytes, block_bytes):
+    for items in blocks(benchmark, max_error, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             s = Scanner(items)
@@ -241,9 +239,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, min_b
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, min_bytes: int = 24, block_bytes: int = 1 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, block_bytes: int = 1 << 20) -> DataFrame:
     """The documents, all columns, that hold no passage of the benchmark."""
-    for items in blocks(benchmark, max_error, min_bytes, block_bytes):
+    for items in blocks(benchmark, max_error, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             s = Scanner(items)
