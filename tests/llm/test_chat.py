@@ -56,3 +56,12 @@ def test_logs_fold_back_into_the_turns(spark):
     assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"} and log.where("text = 'superseded'").count() > 5
     folded = sorted((r.conv_id, -(10**6) if r.turn is None else r.turn, r.role, r.text) for r in chat.fold(log).collect())
     assert folded == sorted((c, -(10**6) if t is None else t, r or "", x or "") for c, t, r, x, _ in rows)
+
+
+def test_turns_of_any_size(spark):
+    at = [-(2**63), -(2**62), -1, 0, 1, 2**62, 2**62 + 1, 2**63 - 2, 2**63 - 1]
+    rows = [(c, t, "user" if k % 2 else "assistant", f"said {c} at {k}", "") for c in range(12) for k, t in enumerate(at)]
+    log = chat.as_events(spark.createDataFrame(rows, TURNS))
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.fold(log).collect()) == sorted(r[:4] for r in rows)
+    out = got(chat.format_conversations(log))
+    assert out == {c: expected([(r, x) for d, _, r, x, _ in rows if d == c]) for c in range(12)}

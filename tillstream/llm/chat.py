@@ -20,6 +20,8 @@ it is kept in pieces since one conversation may be larger than a task. Inside ro
 ``\`` becomes ``\\`` and ``<|`` becomes ``<\|`` (and a line feed in a role ``\n``), so that no control
 string is left in them and the original comes back exactly.
 
+`seq` is of any type that has an order; turns may have any value of a long.
+
 Defined cases: null text or role is empty; a null turn comes first; a null conversation is a
 conversation of its own; events with equal (turn, copy, seq) fold by kind, role, text; repeated
 rows of a table of turns are messages of their own (they get different `copy`); a message all of whose events were discarded is none; an empty table
@@ -56,21 +58,21 @@ def as_events(turns: DataFrame) -> DataFrame:
     """A table of finished turns as a log that could have led to it. A hash of the row tells how: said at once; streamed
     in three deltas; a draft that an edit and a delta replace; a draft that is regenerated, in place of which the next
     turn had been begun already. Folding it gives the table back. Texts are parted between code points, and a
-    turn's events lie in a range of `seq` of its own."""
+    turn's events follow each other: their `seq` is the turn and a step in it. The largest turn that there can be has no next one."""
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     rows = turns.select("conv_id", "turn", F.row_number().over(same).cast("long").alias("copy"), "role", F.coalesce("text", F.lit("")).alias("text"))
     third, text, turn = F.ceil(F.length("text") / 3).cast("int"), F.col("text"), F.col("turn").cast("long")
     part = [F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, F.length(text))]
 
     def event(seq: int, kind: str, text: Column, later: int = 0) -> Column:
-        own = turn + 1 if later else turn
-        return F.struct(own.alias("turn"), F.when(F.lit(bool(later)), F.lit(1).cast("long")).otherwise(F.col("copy")).alias("copy"), (F.coalesce(turn, F.lit(-1)) * 100 + seq).alias("seq"), F.lit(kind).alias("kind"), F.col("role"), text.alias("text"))
+        own = F.try_add(turn, F.lit(1)) if later else turn
+        return F.struct(own.alias("turn"), F.when(F.lit(bool(later)), F.lit(1).cast("long")).otherwise(F.col("copy")).alias("copy"), F.struct(turn.alias("turn"), F.lit(seq).alias("step")).alias("seq"), F.lit(kind).alias("kind"), F.col("role"), text.alias("text"))
 
     whole = F.array(event(0, "message", text))
     streamed = F.array(event(0, "message", part[0]), event(1, "delta", part[1]), event(2, "delta", part[2]))
     edited = F.array(event(0, "message", F.concat(F.lit("draft "), part[2])), event(1, "delta", part[0]), event(2, "edit", part[0]), event(3, "delta", F.concat(part[1], part[2])))
     again = F.array(event(0, "message", F.concat(part[1], F.lit("?"))), event(50, "regenerate", F.lit("")), event(51, "delta", part[0]), event(52, "delta", F.concat(part[1], part[2])))
-    begun = F.when(turn.isNull(), edited).otherwise(F.concat(again, F.array(event(10, "message", F.lit("superseded"), 1), event(11, "delta", F.lit(" too"), 1))))
+    begun = F.when(turn.isNull() | (turn == 2**63 - 1), edited).otherwise(F.concat(again, F.array(event(10, "message", F.lit("superseded"), 1), event(11, "delta", F.lit(" too"), 1))))
     how = F.pmod(F.xxhash64("conv_id", "turn", "copy", "text"), F.lit(4))
     log = F.when(how == 0, whole).when(how == 1, streamed).when(how == 2, edited).otherwise(begun)
     return rows.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
@@ -83,7 +85,7 @@ def fold(events: DataFrame) -> DataFrame:
         F.max(F.when(resets, F.col("seq"))).alias("reset"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
         F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))["role"].alias("role"),
     )
-    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").cast("decimal(20,0)").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("cut", F.when(F.col("turn").isNotNull(), F.max("again").over(earlier)))
     e = events.alias("e").join(heads.alias("h"), [F.col(f"e.{c}").eqNullSafe(F.col(f"h.{c}")) for c in _KEY]).select("e.*", "h.reset", "h.cut", F.coalesce("h.role", F.lit("")).alias("as_role"))
     live = e.where((F.col("reset").isNull() | (F.col("seq") >= F.col("reset"))) & (F.col("cut").isNull() | (F.col("seq") > F.col("cut"))))
