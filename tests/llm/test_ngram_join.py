@@ -1,6 +1,8 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from tillstream.llm import ngram_join, shingles
@@ -85,3 +87,44 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.comp for r in components(links).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
+
+
+def test_layouts_leave_a_clean_subset():
+    r = random.Random(8)
+    seen = set()
+    for num, den in ((9, 10), (4, 5), (1, 2)):
+        first, differ = shingles.bands(num, den, 3000)
+        for size, k in zip(first.tolist(), differ.tolist()):
+            n1, n2, k2, spare = shingles.layout(size, k)
+            seen.add((n2, k2))
+            for _ in range(20):
+                hit = [r.randrange(n1 * n2) for _ in range(k)] if r.random() < 0.5 else [i % (n1 * n2) for i in range(k)]
+                clean = sum(len(set(range(p * n2, p * n2 + n2)) & set(hit)) <= k2 for p in range(n1))
+                assert clean > spare or k == 0
+    assert any(n2 - k2 > 1 for n2, k2 in seen)
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5), (1, 2)])
+def test_similar_sets_share_a_signature(num, den):
+    r = np.random.default_rng(num)
+    for size in [*range(1, 40), 60, 100, 250, 700]:
+        for _ in range(12):
+            base = r.integers(0, 2**63, 3 * size, dtype=np.uint64)
+            a, b = set(base[:size].tolist()), set(base[:size].tolist())
+            for x in base[size:].tolist():
+                trial = (a - {next(iter(a))}, b | {x})[r.integers(2)] if r.integers(2) else b | {x}
+                pair = (trial, b) if len(trial) < len(a) else (a, trial)
+                if pair[0] and den * len(pair[0] & pair[1]) >= num * len(pair[0] | pair[1]):
+                    a, b = pair
+            rows = np.repeat([0, 1], [len(a), len(b)])
+            row, sig = shingles.signatures(rows, np.array(sorted(a) + sorted(b), np.uint64), 2, num, den)
+            assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+
+
+def test_shared_beginnings(spark):
+    docs = corpus(1, 25, 8)
+    df = spark.createDataFrame([(a, b, "", "") for a, b in docs], SCHEMA).repartition(3)
+    shared, bits = ngram_join.shared_beginnings(df, 3, 9, 10, 5000)
+    got = sorted(r.h for r in shared.collect())
+    seen = Counter(r.sig % 2**64 >> (64 - bits) for r in ngram_join.signed(df, 3, 9, 10).collect())
+    assert got == sorted(h for h, c in seen.items() if c > 1) and got

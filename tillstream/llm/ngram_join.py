@@ -3,7 +3,7 @@
 A text's set holds its distinct word shingles; two texts link when their sets' Jaccard similarity
 is at least num/den. Equal sets are one node. Each set gives PartEnum signatures (see `shingles`)
 for its size band and the next; similar sets share one. A signature that one document has is
-dropped; what is left is checked without emitting all pairs of a group:
+dropped, by way of sorted differences of the signatures' first bits (see `shared_beginnings`); what is left is checked without emitting all pairs of a group:
 
 1. Each signature's members are compared with one pivot, the member with the most company over all
    its signatures. Links found this way make components.
@@ -91,6 +91,64 @@ def signed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return rows.where("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
 
 
+def _deltas(h: np.ndarray) -> bytes:
+    """Ascending numbers below 2**32 as differences, byte plane by byte plane: what the shuffle compresses well."""
+    return np.diff(h, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1), dtype=np.int64)
+
+
+def shared_beginnings(docs: DataFrame, size: int, num: int, den: int, total: int) -> tuple[DataFrame, int]:
+    """(h, bits): the first `bits` bits of signatures, of those that two documents or more have in common. A few more are told, whose
+    beginnings agree only. total: about how many signatures there are.
+
+    Nearly all signatures are of one document. They are not shuffled as rows: each task sorts its own, and sends, for each
+    range of values, the differences of their beginnings, about two bytes a signature."""
+    bits = max(24, total.bit_length() + 6)
+    wide = max(4, (total >> 22).bit_length())  # ranges, as a power of two; what is left of a beginning is below 2**32
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+            h = np.sort(np.concatenate([np.zeros(0, np.uint64), *held])) >> U64(64 - bits)
+            h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])].astype(np.int64)  # two are enough to tell
+            cut = np.searchsorted(h, np.arange((1 << wide) + 1) << (bits - wide))
+            some = np.flatnonzero(np.diff(cut))
+            rest = h & ((1 << (bits - wide)) - 1)
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([_deltas(rest[cut[k] : cut[k + 1]]) for k in some.tolist()], pa.binary())], names=["part", "packed"])
+
+        held: list[np.ndarray] = []
+        for b in batches:
+            for t in chunks(b):
+                held.append(shingles.signatures(*shingles.sets(t, size), t.n, num, den)[1])
+                if sum(map(len, held)) > 1 << 22:
+                    yield packed(held)
+                    held = []
+        yield packed(held)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(part: int, held: list[bytes]) -> pa.RecordBatch:
+            h = np.sort(np.concatenate([_numbers(x) for x in held]))
+            h = np.unique(h[1:][h[1:] == h[:-1]]) + (part << (bits - wide))
+            return pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
+
+        last, held = -1, []
+        for b in batches:
+            for part, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if part != last and held:
+                    yield told(last, held)
+                    held = []
+                last = part
+                held.append(x)
+        if held:
+            yield told(last, held)
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(sent, "part bigint, packed binary")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << max(0, wide - 2))
+    return rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(common, "h bigint"), bits
+
+
 def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs with cells of both that pass the L1 bound; vectorised, as there may be many false ones."""
 
@@ -119,10 +177,12 @@ class Join:
         copies = copies.join(self.nodes.select("doc_id"), "doc_id", "left_anti")  # an id may have several texts
         copies = kept(copies, "copies")
         once = self.docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
-        shared = kept(signed(once, size, num, den).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig"), "shared")
-        # nearly all signatures are of one document: they are sorted out before they would be shuffled
-        likely = marked(signed(once, size, num, den), shared, "sig").where("hit").drop("hit")
-        members = likely.join(shared, "sig").join(found.select("doc_id", "node"), "doc_id").select("sig", "node").distinct()
+        total = self.nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        shared, bits = shared_beginnings(once, size, num, den, 2 * total)
+        shared = kept(shared, "shared")
+        begun = signed(once, size, num, den).withColumn("h", F.shiftrightunsigned("sig", 64 - bits))
+        likely = marked(begun, shared, "h").where("hit").drop("hit")
+        members = likely.join(shared, "h").join(found.select("doc_id", "node"), "doc_id").select("sig", "node").distinct()
         members = kept(members, "members")
         many = members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
         self.members = kept(members.join(many, "sig"), "members")

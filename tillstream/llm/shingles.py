@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+from math import comb
+
 import numpy as np
 
 from tillstream.llm.textbytes import Texts, mix
@@ -48,37 +52,70 @@ def fingerprints(rows: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, n
     return a, b
 
 
-def signatures(rows: np.ndarray, g: np.ndarray, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of each set: (row, signature).
+#: What a false meeting of two texts costs against a signature, and the share of their elements that unrelated texts may well
+#: have in common (quoted passages); both only weigh layouts against each other.
+MEETING, SHARED = 64.0, 0.5
+
+
+@lru_cache(maxsize=1 << 16)
+def layout(size: int, k: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, spare) for sets of a size, of which similar ones differ in k elements at most.
 
-    For each of the two bands that a set is compared in, the domain is split by hash into
-    n1 = ceil((k + 1) / 2) parts and each of these into two; k is the most elements two similar sets
-    of the band differ in. Then some part has at most one difference and one of its two halves none:
-    the subsets enumerated are the single halves, and that half's elements are a common signature.
+    The domain is split into n1 parts, each of these into n2 cells. n1 is so large that, however k differences fall, more
+    than `spare` parts have k2 of them at most; in such a part some n2 - k2 cells have none. All subsets of n2 - k2 cells of
+    each part are signatures. Fewer, larger cells make fewer false meetings, more subsets make more signatures: the layout
+    is the one of least expected cost, n1 * C(n2, k2) signatures, each with a chance of SHARED**elements to meet in vain."""
+    if k == 0:
+        return 1, 1, 0, 0
+    found = []
+    for k2 in range(min(k, 3) + 1):
+        least = k // (k2 + 1) + 1
+        spare = 1 + least // 12
+        for n2 in range(k2 + 1, k2 + 4):
+            n1 = least + spare
+            elements = size * (n2 - k2) / (n1 * n2)
+            found.append((n1 * comb(n2, k2) * (1 + MEETING * SHARED**elements), n1, n2, k2, spare))
+    return min(found)[1:]
+
+
+def signatures(rows: np.ndarray, g: np.ndarray, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of each set: (row, signature), for each of the two size bands that a set is compared in (see `layout`).
 
-    Halves without elements would be signatures of many unrelated sets. So there are `spare` more
-    halves, and a set with at most that many empty ones gives none for them: two similar sets, one
-    of them such, still agree in a half with elements. The few sets with more empty halves give all."""
+    Subsets of cells without elements would be signatures of many unrelated sets. A part with such a subset is hollow; a
+    set with at most `spare` hollow parts gives no empty signatures: of the parts in which a similar set agrees with it, one
+    is not hollow, so they still share a signature with elements. The few sets with more hollow parts give all."""
     size = np.bincount(rows, minlength=n)
     first, differ = bands(num, den, int(size.max(initial=1)) * den // num + 1)
+    plan = np.array([layout(int(a), int(k)) for a, k in zip(first, differ, strict=True)], np.int64)
     band = np.searchsorted(first, size, "right") - 1
     spread = mix(g ^ U64(0xA5A5A5A5DEADBEEF))
-    out_rows, out = [], []
+    high, low, element = spread >> U64(32), spread & U64(0xFFFFFFFF), mix(g)
+    out_rows, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for up in (0, 1):
         own = np.minimum(band + up, len(first) - 1)
-        spare = np.where(differ[own] > 0, 1 + (differ[own] + 1) // 12, 0)
-        parts = np.where(differ[own] > 0, 2 * ((differ[own] + spare + 2) // 2), 1) * (size > 0)
-        start = np.concatenate([[0], np.cumsum(parts)])
-        cell = start[rows] + ((spread >> U64(32)) * parts[rows].astype(np.uint64) >> U64(32)).astype(np.int64)
-        sums = np.zeros(start[-1], np.uint64)
-        np.add.at(sums, cell, mix(g))
-        row = np.repeat(np.arange(n), parts)
-        place = np.arange(start[-1]) - start[row]
-        empty = np.bincount(cell, minlength=start[-1]) == 0
-        keep = ~empty | (np.bincount(row[empty], minlength=n) > spare)[row]
-        row, place, sums = row[keep], place[keep], sums[keep]
-        out_rows.append(row)
-        out.append(mix(sums ^ mix((own[row].astype(np.uint64) << U64(32)) + place.astype(np.uint64))))
+        n1, n2, k2, spare = plan[own].T
+        for m, k in sorted(set(zip(n2[size > 0].tolist(), k2[size > 0].tolist(), strict=True))):
+            mine = (size > 0) & (n2 == m) & (k2 == k)
+            parts = np.where(mine, n1, 0)
+            start = np.concatenate([[0], np.cumsum(parts)])
+            here = mine[rows]
+            r = rows[here]
+            part = start[r] + (high[here] * parts[r].astype(np.uint64) >> U64(32)).astype(np.int64)
+            cell = part * m + (low[here] * U64(m) >> U64(32)).astype(np.int64)
+            sums = np.zeros(start[-1] * m, np.uint64)
+            np.add.at(sums, cell, element[here])
+            sums, count = sums.reshape(-1, m), np.bincount(cell, minlength=start[-1] * m).reshape(-1, m)
+            row = np.repeat(np.arange(n), parts)
+            place = np.arange(start[-1]) - start[row]
+            name = mix((own[row].astype(np.uint64) << U64(32)) + (place.astype(np.uint64) << U64(8)))
+            chosen = list(combinations(range(m), m - k))
+            empty = [count[:, c].sum(1) == 0 for c in chosen]
+            hollow = np.logical_or.reduce(empty)
+            all_ = (np.bincount(row[hollow], minlength=n) > spare)[row]
+            for i, (c, e) in enumerate(zip(chosen, empty, strict=True)):
+                keep = ~e | all_
+                out_rows.append(row[keep])
+                out.append(mix(sums[keep][:, c].sum(1, dtype=np.uint64) ^ (name[keep] + U64(i))))
     row, sig = np.concatenate(out_rows), np.concatenate(out)
     order = np.argsort(row, kind="stable")
     return row[order], sig[order]

@@ -45,11 +45,13 @@ def marked(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
     at = F.pmod(F.xxhash64(*names), F.lit(size))
     bits = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    found = rows.withColumn("at", at).withColumn("bucket", F.bitmap_bucket_number("at")).join(F.broadcast(bits), "bucket", "left")
-    bit = F.bitmap_bit_position("at")
-    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
-    hit = F.call_function("shiftright", byte, bit.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
-    return found.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("at", "bucket", "bits")
+    # eight bytes of the bitmap are one number, so that a bit is a lookup and a shift
+    words = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
+    found = rows.withColumn("at", at).withColumn("bucket", F.bitmap_bucket_number("at")).join(F.broadcast(bits.select("bucket", words.alias("words"))), "bucket", "left")
+    bit = F.bitmap_bit_position("at").cast("int")
+    shift = (F.lit(7) - F.shiftright(bit, 3).bitwiseAND(7)) * 8 + bit.bitwiseAND(7)
+    hit = F.call_function("shiftright", F.get("words", F.shiftright(bit, 6)), shift).bitwiseAND(1) == 1
+    return found.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("at", "bucket", "words")
 
 
 def named(rows: DataFrame, names: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
