@@ -48,11 +48,11 @@ BROADCAST_IDS = 500_000
 U64 = np.uint64
 
 
-def _node(rows: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = np.bincount(rows, minlength=n)
-    a, b = shingles.fingerprints(rows, g, n)
-    node = shingles.mix(a + shingles.mix(b + size.astype(np.uint64))).view(np.int64)
-    return size, node
+def _node(rows: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
+    """Size and identity of each set: two independent 64-bit sums over its elements, both kept."""
+    both = np.stack(shingles.fingerprints(rows, g, n), axis=1).astype(">u8")
+    at = np.arange(n + 1, dtype=np.int32) * 16
+    return np.bincount(rows, minlength=n), pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(both.tobytes())])
 
 
 def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -80,9 +80,9 @@ def sized(docs: DataFrame, size: int) -> DataFrame:
         n, node = _node(rows, g, t.n)
         cell = (shingles.mix(g + U64(77)) >> U64(58)).astype(np.int64)
         counts = np.minimum(np.bincount(rows * CELLS + cell, minlength=t.n * CELLS), 255).astype(np.uint8)
-        return [pa.array(n.astype(np.int64)), pa.array(node), pa.array([x.tobytes() for x in counts.reshape(t.n, CELLS)], pa.binary())]
+        return [pa.array(n.astype(np.int64)), node, pa.array([x.tobytes() for x in counts.reshape(t.n, CELLS)], pa.binary())]
 
-    return _mapped(docs, size, make, "n bigint, node bigint, cells binary")
+    return _mapped(docs, size, make, "n bigint, node binary, cells binary")
 
 
 def signed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
             ok = (num + den) * apart <= (den - num) * (b.column(2).to_numpy() + b.column(3).to_numpy())
             yield b.filter(pa.array(ok)).select([0, 1, 2, 3])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
+    return pairs.mapInArrow(run, "a binary, b binary, na bigint, nb bigint")
 
 
 class Join:
@@ -200,9 +200,9 @@ class Join:
         texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
         def make(t: Texts, rows: np.ndarray, g: np.ndarray) -> list:
-            return [pa.array(_node(rows, g, t.n)[1]), _lists(rows, g, t.n)]
+            return [_node(rows, g, t.n)[1], _lists(rows, g, t.n)]
 
-        sets = _mapped(texts, self.size, make, "node bigint, set array<bigint>").join(wanted, ["node", "doc_id"], "left_semi")
+        sets = _mapped(texts, self.size, make, "node binary, set array<bigint>").join(wanted, ["node", "doc_id"], "left_semi")
         return self.kept(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
