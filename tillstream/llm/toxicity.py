@@ -9,10 +9,9 @@ logit per window, and the largest is the text's. Training is by the same rule: t
 through each text's strongest window, so that labels of texts suffice. A held-back part of the sample
 turns logits into probabilities.
 
-Only the fit is on a bounded sample: at most SAMPLE_ROWS labelled rows, whole. Of texts over SAMPLE_BYTES
-bytes tasks read all windows: every REFRESH steps they give each one's strongest under the network of then, and
-the driver, which holds the shorter texts, takes the strongest of those found so far. Calibration is
-on the logits of whole texts, as scoring gives them. Scoring reads every whole text once, in Arrow batches,
+Only the fit is on a bounded sample: at most SAMPLE_ROWS labelled rows, whole. Their texts, of whatever length, stay in a
+table: every REFRESH steps tasks read all their windows and give each text's strongest under the network of then, and the driver
+trains on the strongest of those found so far. Calibration is on the logits of whole texts, as scoring gives them. Scoring reads every whole text once, in Arrow batches,
 without a shuffle; each distinct word of a run of texts is embedded once.
 
 Defined cases: a null or empty text has no window and gets the probability of an empty one; repeated
@@ -31,11 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm.features import platt, sampled, sigmoid
-from tillstream.llm.tables import held_out, kept, table
+from tillstream.llm.tables import forget, held_out, kept, table
 from tillstream.llm.textbytes import Texts, Words, chunks, int_column
 
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 12_288
 REFRESH = 30
 WORDS, PARTS, DIM, HIDDEN, ATTEND = 1 << 15, 1 << 15, 16, 8, 8
 #: Share of words that a training step shows by their parts alone.
@@ -98,14 +96,10 @@ class Network:
         for d in "fb":
             self.p |= {f"x{d}": g(DIM, 3 * h, k=0.25), f"b{d}": np.zeros(3 * h, f32), f"u{d}": g(h, 3 * h, k=0.3)}
 
-    def start(self, texts: list[str], y: np.ndarray, n: np.ndarray, seen: dict[str, np.ndarray]) -> None:
+    def start(self, n: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         """First values of one dimension of the embeddings: the log ratio of the shares of each class's texts
-        that have the word or trigram, so that training starts from what single words tell. n, words and tri: the
-        number of texts of each class, and how many further ones have each."""
-        for text, label in zip(texts, y, strict=True):
-            t = tokens(_texts([text]))
-            for name, ids in present(t).items():
-                seen[name][label][ids] += 1
+        that have the word or part, so that training starts from what single words tell. n and seen: the
+        number of texts of each class, and how many of them have each."""
         for name, c in seen.items():
             share = (c + 1) / (n[:, None] + 2)
             sure = c.sum(0) > 1
@@ -234,28 +228,23 @@ def _texts(rows: list[str]) -> Texts:
     return Texts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, hold_out: int | None = 5, passes: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, hold_out: int | None = 5, passes: int = 300, drop: float = DROP, seed: int = 11) -> Model:
     """The network learned from a bounded sample of labelled rows."""
-    rows = sampled(docs, labels, label, sample_rows, hold_out).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = kept(rows.withColumns({"h": F.xxhash64("text"), "long": F.octet_length("text") > SAMPLE_BYTES}), "sample")
-    got = rows.select("doc_id", "h", "label", F.when(~F.col("long"), F.col("text")).alias("text")).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["h"]))
-    return learn([r["text"] for r in got], np.array([r["label"] for r in got], np.int64), passes, Long(rows, [(r["doc_id"], r["h"]) for r in got if r["text"] is None], [i for i, r in enumerate(got) if r["text"] is None]))
+    rows = kept(sampled(docs, labels, label, sample_rows, hold_out).withColumn("text", F.coalesce("text", F.lit(""))), "sample")
+    got = sorted((r.doc_id, r.label) for r in rows.select("doc_id", "label").collect())
+    model = learn(Sample(rows, [i for i, _ in got]), np.array([y for _, y in got], np.int64), passes, drop, seed=seed)
+    forget(rows)
+    return model
 
 
-class Long:
-    """The sampled texts that stay in a table: their places in the sample, and what tasks tell of them."""
+class Sample:
+    """The sampled texts, which stay in a table, and what tasks tell of them; ids: one for each place in the sample."""
 
-    def __init__(self, rows: DataFrame, keys: list[tuple[int, int]], places: list[int]):
-        self.rows, self.places = rows.where("long").select("doc_id", "h", "label", "text"), places
-        self.at: dict[tuple[int, int], list[int]] = {}
-        for key, i in zip(keys, places, strict=True):
-            self.at.setdefault(key, []).append(i)  # equal rows give equal answers
+    def __init__(self, rows: DataFrame, ids: list[int]):
+        self.rows, self.at = rows.select("doc_id", "label", "text"), {i: k for k, i in enumerate(ids)}
 
-    def strongest(self, net: Network) -> dict[int, tuple[float, str]]:
+    def strongest(self, net: Network) -> tuple[np.ndarray, list[str]]:
         """Logit of each whole text, and its strongest window."""
-        if not self.places:
-            return {}
         given = self.rows.sparkSession.sparkContext.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,40 +253,39 @@ class Long:
                     n, tk, w, raw = given.value, tokens(t), t.words(), t.data.tobytes()
                     z, best = text_windows(n, tk)
                     text = [b" ".join(raw[w.starts[k] : w.ends[k]] for k in range(s, s + c)).decode() for s, c in best.tolist()]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, t.n), b.column(1).slice(t.first, t.n), pa.array(z), pa.array(text, pa.string())], names=["doc_id", "h", "z", "window"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, t.n), pa.array(z), pa.array(text, pa.string())], names=["doc_id", "z", "window"])
 
-        got = self.rows.mapInArrow(run, "doc_id bigint, h bigint, z double, window string").toArrow().to_pylist()
+        got = self.rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, z double, window string").toArrow().to_pylist()
         given.destroy()
-        return {i: (r["z"], r["window"]) for r in got for i in self.at[r["doc_id"], r["h"]]}
+        z, windows = np.zeros(len(self.at)), [""] * len(self.at)
+        for r in got:
+            z[self.at[r["doc_id"]]], windows[self.at[r["doc_id"]]] = r["z"], r["window"]
+        return z, windows
 
-    def presence(self, train: set[int]) -> dict[str, np.ndarray]:
+    def presence(self, train: np.ndarray) -> dict[str, np.ndarray]:
         """How many of the texts of each class at these places have each word and part."""
-        both = np.zeros((2, WORDS + 2 * PARTS))
-        out = {"word": both[:, :WORDS], "tri": both[:, WORDS : WORDS + PARTS], "pre": both[:, WORDS + PARTS :]}
-        times = {key: sum(i in train for i in at) / len(at) for key, at in self.at.items()}
-        if not self.places:
-            return out
+        ids = np.array(list(self.at), np.int64)[train]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            both = np.zeros((2, WORDS + 2 * PARTS), np.int64)
             for b in batches:
-                doc, hashes, label = (int_column(b, c) for c in ("doc_id", "h", "label"))
+                mine, label = np.isin(int_column(b, "doc_id"), ids), int_column(b, "label")
                 for t in chunks(b):
-                    for i in range(t.first, t.first + t.n):
-                        k = i - t.first
-                        tk = tokens(Texts(t.data[t.offsets[k] : t.offsets[k + 1]], t.offsets[k : k + 2] - t.offsets[k]))
-                        ids = present(tk)
-                        own = np.concatenate([ids["word"], ids["tri"] + WORDS, ids["pre"] + WORDS + PARTS])
-                        share = times[int(doc[i]), int(hashes[i])]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), label[i], np.int32)), pa.array(own.astype(np.int32)), pa.array(np.full(len(own), share))], names=["label", "bucket", "n"])
-
-        got = self.rows.mapInArrow(run, "label int, bucket int, n double").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+                    for k in np.flatnonzero(mine[t.first : t.first + t.n]).tolist():
+                        own = present(tokens(Texts(t.data[t.offsets[k] : t.offsets[k + 1]], t.offsets[k : k + 2] - t.offsets[k])))
+                        both[label[t.first + k], np.concatenate([own["word"], own["tri"] + WORDS, own["pre"] + WORDS + PARTS])] += 1
+            side, bucket = np.nonzero(both)
+            yield pa.RecordBatch.from_arrays([pa.array(side.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(both[side, bucket])], names=["label", "bucket", "n"])
+
+        got = self.rows.mapInArrow(run, "label int, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        both = np.zeros((2, WORDS + 2 * PARTS))
         both[got.column("label").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-        return out
+        return {"word": both[:, :WORDS], "tri": both[:, WORDS : WORDS + PARTS], "pre": both[:, WORDS + PARTS :]}
 
 
-def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size: int = 32, rate: float = 0.01, seed: int = 11) -> Model:
+def learn(sample: Sample, y: np.ndarray, passes: int, drop: float, size: int = 32, rate: float = 0.01, seed: int = 11) -> Model:
     """`passes` steps of Adam on as many texts of label 1 as of label 0 each; a quarter of the texts is kept for calibration.
-    Texts that are None are those of `long`. The network is the mean of those of the second half of the steps."""
+    The network is the mean of those of the second half of the steps."""
     if len(y) < 10 or not 0 < y.sum() < len(y):
         return Model(None, constant=float(y.mean()) if len(y) else 0.0)
     check = np.arange(len(y)) % 4 == 3
@@ -307,9 +295,8 @@ def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size:
     else:
         train = np.flatnonzero(~check)
     net, rng = Network(seed), np.random.default_rng(3)
-    here = [i for i in train if texts[i] is not None]
-    net.start([texts[i] for i in here], y[here], np.bincount(y[train], minlength=2), long.presence(set(train.tolist())))
-    found: list[list[str]] = [[] if x is None else [x] for x in texts]
+    net.start(np.bincount(y[train], minlength=2), sample.presence(train))
+    found: list[list[str]] = [[] for _ in y]
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     mean = {k: np.zeros_like(x) for k, x in net.p.items()}
@@ -317,11 +304,11 @@ def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size:
     for step in range(1, passes + 1):
         own = np.concatenate([rng.choice(s, min(size // 2, len(s)), replace=False) for s in sides])
         if step % REFRESH == 1:
-            for i, (_, window) in long.strongest(net).items():
-                if window not in found[i]:
-                    found[i].append(window)
+            for had, window in zip(found, sample.strongest(net)[1], strict=True):
+                if window not in had:
+                    had.append(window)
         t = tokens(_texts([x for i in own for x in found[i]]))
-        on = (rng.random(len(t.bucket)) >= DROP).astype(f32)
+        on = (rng.random(len(t.bucket)) >= drop).astype(f32)
         words = net.embed(t, on)
         row, start, length = windows(t.offsets)
         if not len(row):
@@ -346,10 +333,7 @@ def learn(texts: list[str | None], y: np.ndarray, passes: int, long: Long, size:
     if passes:
         net.p = mean
     at = np.flatnonzero(check)
-    z = np.concatenate([text_logits(net, tokens(_texts([texts[i] or "" for i in at[k : k + 64]]))) for k in range(0, len(at), 64)])
-    whole = long.strongest(net)
-    z = np.array([whole[i][0] if i in whole else x for i, x in zip(at.tolist(), z, strict=True)])
-    return Model(net, *platt(z, y[at]))
+    return Model(net, *platt(sample.strongest(net)[0][at], y[at]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
