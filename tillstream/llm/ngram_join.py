@@ -11,7 +11,7 @@ dropped, by way of sorted differences of the signatures' first bits (see `shared
    compared directly, at most SMALL for each member.
 3. In larger groups each member x is described by what it adds to the pivot's set (A) and lacks of
    it (B). Similar sets of different components share an element of A - found by a join on A's
-   rarest elements, as many as the needed overlap allows - or lack a common element of the pivot
+   rarer elements, as many as the needed overlap allows - or lack a common element of the pivot
    while their sizes alone allow a link. Both joins lose no link and emit near none of the pairs of a
    group of loosely edited copies.
 
@@ -45,6 +45,9 @@ SMALL = 16
 CELLS = 64
 #: Ids that are sent to all tasks as a filter at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Elements are told apart by how many rows have them: as many as each of these.
+FREQUENT = (2, 4, 16, 128)
+MOST_LEVEL_BITS = 1 << 27
 U64 = np.uint64
 
 
@@ -149,6 +152,50 @@ def shared_beginnings(docs: DataFrame, size: int, num: int, den: int, total: int
     return rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(common, "h bigint"), bits
 
 
+def levels(elements: DataFrame, total: int) -> list[np.ndarray]:
+    """A bitmap for each of FREQUENT: whether an element (column e) is in so many rows; by its low bits, so that it may be taken for a more
+    frequent one. total: rows of elements. The bitmaps are all that leaves the tasks: MOST_LEVEL_BITS each, whatever the input."""
+    size = min(MOST_LEVEL_BITS, max(1 << 15, 1 << (4 * total).bit_length()))
+    at = F.col("e").bitwiseAND(size - 1) + 1
+    counted = elements.groupBy("e").agg(F.count("*").alias("f")).where(F.col("f") >= FREQUENT[0])
+    level = F.filter(F.array(*(F.when(F.col("f") >= f, k) for k, f in enumerate(FREQUENT))), lambda x: x.isNotNull())
+    rows = counted.select(at.alias("at"), F.explode(level).alias("level")).groupBy("level", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = [np.zeros(size // 8, np.uint8) for _ in FREQUENT]
+    for r in rows.toLocalIterator():
+        out[r.level][(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def first_elements(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows with `both`, how many of their elements (`more`) other rows may have too, and `first`, in place of `more`: the first of these that a
+    similar row must share one of, in an order that all rows have: by frequency level, then value. Nothing is shuffled by row."""
+    total = rows.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0]
+    given = rows.sparkSession.sparkContext.broadcast(levels(rows.select(F.explode("more").alias("e")), total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmaps = given.value
+        mask = len(bitmaps[0]) * 8 - 1
+        for b in batches:
+            n, np_, nb = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("n", "np", "nb"))
+            lists = b.column(b.schema.get_field_index("more"))
+            e, row = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            at = e & mask
+            has = [(m[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) for m in bitmaps]
+            e, row, level = e[has[0]], row[has[0]], np.sum(has, axis=0)[has[0]]
+            order = np.lexsort((e, level, row))
+            e, row = e[order], row[order]
+            both = np.bincount(row, minlength=b.num_rows)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(both) - both, both)
+            needed = np.maximum(1, -(-n * num // den) - (np_ - nb))
+            keep = place < (both - needed + 1)[row]
+            cut = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=b.num_rows))]).astype(np.int32)
+            cols = [b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "more"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(both), pa.ListArray.from_arrays(pa.array(cut), pa.array(e[keep]))], names=[*(c for c in b.schema.names if c != "more"), "both", "first"])
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("more").schema.fields]
+    return rows.mapInArrow(run, ", ".join([*fields, "both bigint", "first array<bigint>"]))
+
+
 def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs with cells of both that pass the L1 bound; vectorised, as there may be many false ones."""
 
@@ -249,7 +296,7 @@ class Join:
         before = list(self.scratch.tables)
         d = self.with_sets(star.join(pivot_comp, "a"))
         d = d.select("a", "b", "comp", (F.col("comp") != F.col("pc")).alias("out"), F.size("x").alias("np"), F.size("y").alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less"))
-        d = self.kept(d.withColumn("na", F.size("more")).withColumn("nb", F.size("less")).withColumn("row", F.monotonically_increasing_id()), "deltas")
+        d = self.kept(d.withColumn("na", F.size("more")).withColumn("nb", F.size("less")), "deltas")
         self.only(before, d)
         side = ["a", "b", "comp", "out", "n", "na", "nb"]
 
@@ -259,14 +306,9 @@ class Join:
             fits = (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
             return x.join(y, on & fits & condition).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
 
-        # added elements, rarest first: the first common one is among the first |A| - t + 1, where t
-        # of the needed overlap must lie in A; only numbers of rows and elements are shuffled for it
-        added = d.select("row", F.explode("more").alias("e"))
-        seen = added.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
-        ranked = added.join(seen, "e").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("rare"))
-        needed = F.greatest(F.lit(1), F.ceil(F.col("n") * num / den - 1e-9) - (F.col("np") - F.col("nb")))
-        first = F.slice("rare", F.lit(1), F.greatest(F.lit(0), F.size("rare") - needed + 1).cast("int"))
-        keys = ranked.join(d.select("row", *side, "np"), "row").select(*side, "np", F.size("rare").alias("both"), F.explode(first).alias("x")).withColumn("e", F.col("x.e")).drop("x")
+        # added elements, rarer ones first: the first common one is among the first |A| - t + 1, where t
+        # of the needed overlap must lie in A
+        keys = first_elements(d.select(*side, "np", "more"), num, den).withColumn("e", F.explode("first")).drop("first")
         keys = self.kept(keys, "rare")
         most = F.least("x.both", "y.both") + F.least(F.col("x.np") - F.col("x.nb"), F.col("y.np") - F.col("y.nb"))
         by_added = joined(keys, (num + den) * most >= num * (F.col("x.n") + F.col("y.n")))
