@@ -47,7 +47,7 @@ CELLS = 64
 BROADCAST_IDS = 500_000
 #: Elements are told apart by how many rows have them: as many as each of these.
 FREQUENT = (2, 4, 16, 128)
-MOST_LEVEL_BITS = 1 << 27
+MOST_LEVEL_BITS = 1 << 26
 U64 = np.uint64
 
 
@@ -77,7 +77,7 @@ def _mapped(docs: DataFrame, size: int, make, fields: str) -> DataFrame:
 
 
 def sized(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (shingles), node (the set's identity), cells (counts in 64 hash cells, at most 255 each)."""
+    """doc_id, n (shingles), key (the set's identity), cells (counts in 64 hash cells, at most 255 each)."""
 
     def make(t: Texts, rows: np.ndarray, g: np.ndarray) -> list:
         n, node = _node(rows, g, t.n)
@@ -85,7 +85,7 @@ def sized(docs: DataFrame, size: int) -> DataFrame:
         counts = np.minimum(np.bincount(rows * CELLS + cell, minlength=t.n * CELLS), 255).astype(np.uint8)
         return [pa.array(n.astype(np.int64)), node, pa.array([x.tobytes() for x in counts.reshape(t.n, CELLS)], pa.binary())]
 
-    return _mapped(docs, size, make, "n bigint, node binary, cells binary")
+    return _mapped(docs, size, make, "n bigint, key binary, cells binary")
 
 
 def signed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
             ok = (num + den) * apart <= (den - num) * (b.column(2).to_numpy() + b.column(3).to_numpy())
             yield b.filter(pa.array(ok)).select([0, 1, 2, 3])
 
-    return pairs.mapInArrow(run, "a binary, b binary, na bigint, nb bigint")
+    return pairs.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
 
 
 class Join:
@@ -218,9 +218,10 @@ class Join:
         self.docs, self.size, self.num, self.den = docs.select("doc_id", "text"), size, num, den
         self.own = kept(sized(self.docs, size), "sets")
         found = self.own.where("n > 0 and doc_id is not null")
-        self.nodes = kept(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.count("*").alias("times")), "nodes")
+        nodes = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.count("*").alias("times"))
+        self.nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # a number for each distinct set
         # equal sets are known already: of each, one document gives signatures
-        copies = named(found.select("node", "doc_id"), self.nodes.select("node", "times", F.col("doc_id").alias("own")), ["node"]).where("doc_id != own").select("doc_id").distinct()
+        copies = named(found.select("key", "doc_id"), self.nodes.select("key", "times", F.col("doc_id").alias("own")), ["key"]).where("doc_id != own").select("doc_id").distinct()
         copies = copies.join(self.nodes.select("doc_id"), "doc_id", "left_anti")  # an id may have several texts
         copies = kept(copies, "copies")
         once = self.docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
@@ -229,7 +230,7 @@ class Join:
         shared = kept(shared, "shared")
         begun = signed(once, size, num, den).withColumn("h", F.shiftrightunsigned("sig", 64 - bits))
         likely = marked(begun, shared, "h").where("hit").drop("hit")
-        members = likely.join(shared, "h").join(found.select("doc_id", "node"), "doc_id").select("sig", "node").distinct()
+        members = likely.join(shared, "h").join(self.nodes.select("doc_id", "node"), "doc_id").select("sig", "node").distinct()
         members = kept(members, "members")
         many = members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
         self.members = kept(members.join(many, "sig"), "members")
@@ -242,14 +243,14 @@ class Join:
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """node, set: the shingles of these nodes, from one text of each."""
-        wanted = self.kept(nodes.distinct().join(self.nodes, "node").select("node", "doc_id"), "wanted")
+        wanted = self.kept(nodes.distinct().join(self.nodes, "node").select("node", "key", "doc_id"), "wanted")
         ids = wanted.select("doc_id").distinct()
         texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
         def make(t: Texts, rows: np.ndarray, g: np.ndarray) -> list:
             return [_node(rows, g, t.n)[1], _lists(rows, g, t.n)]
 
-        sets = _mapped(texts, self.size, make, "node binary, set array<bigint>").join(wanted, ["node", "doc_id"], "left_semi")
+        sets = _mapped(texts, self.size, make, "key binary, set array<bigint>").join(wanted, ["key", "doc_id"])
         return self.kept(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
@@ -339,8 +340,8 @@ def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFr
     """doc_id, n_shingles and component_id (the least id reachable by links) of each row."""
     scratch = Scratch()
     j = Join(docs, size, num, den, scratch)
-    linked = j.components().join(j.nodes.select("node", "times"), "node")
-    own = named(j.own.select("doc_id", "n", "node"), linked, ["node"], "left").withColumn("comp", F.coalesce("comp", "node")).select("doc_id", "n", "comp")
+    of_sets = j.nodes.select("key", "times", "node").join(j.components(), "node", "left").select("key", "times", F.coalesce("comp", "node").alias("comp"))
+    own = named(j.own.select("doc_id", "n", "key"), of_sets, ["key"], "left").select("doc_id", "n", "comp")
     own = kept(own, "components")
     scratch.clear()
     least = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("times"))
