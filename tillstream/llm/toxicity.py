@@ -10,7 +10,7 @@ through each text's strongest window, so that labels of texts suffice. A held-ba
 turns logits into probabilities.
 
 Only the fit is on a bounded sample: at most SAMPLE_ROWS labelled rows, whole. Their texts, of whatever length, stay in a
-table: every REFRESH steps tasks read all their windows and give each text's strongest under the network of then, and the driver
+table: every REFRESH steps tasks read all their windows and give each text's TOP strongest under the network of then, and the driver
 trains on the strongest of those found so far. Calibration is on the logits of whole texts, as scoring gives them. Scoring reads every whole text once, in Arrow batches,
 without a shuffle; each distinct word of a run of texts is embedded once.
 
@@ -35,6 +35,8 @@ from tillstream.llm.textbytes import Texts, Words, chunks, int_column
 
 SAMPLE_ROWS = 3000
 REFRESH = 30
+#: Windows that a sampled text brings in at each of these times.
+TOP = 8
 WORDS, PARTS, DIM, HIDDEN, ATTEND = 1 << 15, 1 << 15, 16, 8, 8
 #: Share of words that a training step shows by their parts alone.
 DROP = 0.5
@@ -193,17 +195,19 @@ def gather(t: Tokens, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray
     return t.which[at], live
 
 
-def text_windows(net: Network, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's largest window logit, and that window (first token, tokens in it); that of an empty window for texts without words."""
-    out, best = np.full(len(t.offsets) - 1, float(net.p["bias"][0])), np.zeros((len(t.offsets) - 1, 2), np.int64)
+def text_windows(net: Network, t: Tokens, top: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's largest window logit (that of an empty window for texts without words), and its `top` strongest windows: text, (first
+    token, tokens in it)."""
+    out = np.full(len(t.offsets) - 1, float(net.p["bias"][0]))
     row, start, length = windows(t.offsets)
-    if len(row):
-        z = net.forward(net.embed(t), *gather(t, start, length))
-        order = np.lexsort((-z, row))
-        at = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
-        out[row[at]] = z[at]
-        best[row[at]] = np.stack([start[at], length[at]], 1)
-    return out, best
+    if not len(row):
+        return out, row, np.zeros((0, 2), np.int64)
+    z = net.forward(net.embed(t), *gather(t, start, length))
+    order = np.lexsort((-z, row))
+    first = np.flatnonzero(np.concatenate([[True], row[order][1:] != row[order][:-1]]))
+    out[row[order[first]]] = z[order[first]]
+    at = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < top]
+    return out, row[at], np.stack([start[at], length[at]], 1)
 
 
 def text_logits(net: Network, t: Tokens) -> np.ndarray:
@@ -243,23 +247,24 @@ class Sample:
     def __init__(self, rows: DataFrame, ids: list[int]):
         self.rows, self.at = rows.select("doc_id", "label", "text"), {i: k for k, i in enumerate(ids)}
 
-    def strongest(self, net: Network) -> tuple[np.ndarray, list[str]]:
-        """Logit of each whole text, and its strongest window."""
+    def strongest(self, net: Network) -> tuple[np.ndarray, list[list[str]]]:
+        """Logit of each whole text, and its TOP strongest windows."""
         given = self.rows.sparkSession.sparkContext.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for t in chunks(b):
                     n, tk, w, raw = given.value, tokens(t), t.words(), t.data.tobytes()
-                    z, best = text_windows(n, tk)
+                    z, row, best = text_windows(n, tk, TOP)
                     text = [b" ".join(raw[w.starts[k] : w.ends[k]] for k in range(s, s + c)).decode() for s, c in best.tolist()]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, t.n), pa.array(z), pa.array(text, pa.string())], names=["doc_id", "z", "window"])
+                    cut = np.searchsorted(row, np.arange(t.n + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, t.n), pa.array(z), pa.ListArray.from_arrays(pa.array(cut), pa.array(text, pa.string()))], names=["doc_id", "z", "windows"])
 
-        got = self.rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, z double, window string").toArrow().to_pylist()
+        got = self.rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, z double, windows array<string>").toArrow().to_pylist()
         given.destroy()
-        z, windows = np.zeros(len(self.at)), [""] * len(self.at)
+        z, windows = np.zeros(len(self.at)), [[] for _ in self.at]
         for r in got:
-            z[self.at[r["doc_id"]]], windows[self.at[r["doc_id"]]] = r["z"], r["window"]
+            z[self.at[r["doc_id"]]], windows[self.at[r["doc_id"]]] = r["z"], r["windows"]
         return z, windows
 
     def presence(self, train: np.ndarray) -> dict[str, np.ndarray]:
@@ -304,9 +309,8 @@ def learn(sample: Sample, y: np.ndarray, passes: int, drop: float, size: int = 3
     for step in range(1, passes + 1):
         own = np.concatenate([rng.choice(s, min(size // 2, len(s)), replace=False) for s in sides])
         if step % REFRESH == 1:
-            for had, window in zip(found, sample.strongest(net)[1], strict=True):
-                if window not in had:
-                    had.append(window)
+            for had, now in zip(found, sample.strongest(net)[1], strict=True):
+                had.extend(x for x in dict.fromkeys(now) if x not in had)
         t = tokens(_texts([x for i in own for x in found[i]]))
         on = (rng.random(len(t.bucket)) >= drop).astype(f32)
         words = net.embed(t, on)
