@@ -10,8 +10,8 @@ dropped, by way of sorted differences of the signatures' first bits (see `shared
 2. Only pairs of different components are open then. In groups of at most SMALL members they are
    compared directly, at most SMALL for each member.
 3. In larger groups each member x is described by what it adds to the pivot's set (A) and lacks of
-   it (B). Similar sets of different components share an element of A - found by a join on A's
-   rarer elements, as many as the needed overlap allows - or lack a common element of the pivot
+   it (B). Similar sets of different components share an element of A - found by a join on those of A's
+   elements that members of other components add too, rarer first, as many as the needed overlap allows - or lack a common element of the pivot
    while their sizes alone allow a link. Both joins lose no link and emit near none of the pairs of a
    group of loosely edited copies.
 
@@ -30,10 +30,12 @@ component; an empty table gives no rows; columns of other names are ignored by `
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm import shingles
@@ -45,7 +47,7 @@ SMALL = 16
 CELLS = 64
 #: Ids that are sent to all tasks as a filter at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Elements are told apart by how many rows have them: as many as each of these.
+#: Added elements are told apart by how many rows have them: as many as each of these.
 FREQUENT = (2, 4, 16, 128)
 MOST_LEVEL_BITS = 1 << 26
 U64 = np.uint64
@@ -152,48 +154,98 @@ def shared_beginnings(docs: DataFrame, size: int, num: int, den: int, total: int
     return rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(common, "h bigint"), bits
 
 
-def levels(elements: DataFrame, total: int) -> list[np.ndarray]:
-    """A bitmap for each of FREQUENT: whether an element (column e) is in so many rows; by its low bits, so that it may be taken for a more
-    frequent one. total: rows of elements. The bitmaps are all that leaves the tasks: MOST_LEVEL_BITS each, whatever the input."""
+def _place_keys(a: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """One number for each (pivot, element); where two agree by chance, a pair more is compared."""
+    return shingles.mix(e.view(U64) ^ shingles.mix(a.view(U64) + U64(91))).view(np.int64)
+
+
+def _flat(b: pa.RecordBatch, name: str, *names: str) -> tuple[np.ndarray, ...]:
+    """Row numbers and elements of a column of arrays, and other columns of the batch as numbers."""
+    lists = b.column(b.schema.get_field_index(name))
+    row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+    cols = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names)
+    return row, lists.flatten().to_numpy().astype(np.int64), *cols
+
+
+def _in(bitmap: np.ndarray, k: np.ndarray) -> np.ndarray:
+    at = k & (len(bitmap) * 8 - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def levels(rows: DataFrame, name: str, frequent: tuple[int, ...]) -> list[np.ndarray]:
+    """A bitmap for each of `frequent`: whether members of two components or more, and so many rows, have an element of the arrays
+    `name`, or add it to one pivot where rows have one (a); by the low bits of its key, so that it may be taken for a more frequent
+    one. The bitmaps are all that leaves the tasks: MOST_LEVEL_BITS each, whatever the input."""
+    pivot = ["a"] if "a" in rows.columns else []
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, k, comp, *of = _flat(b, name, "comp", *pivot)
+            k, comp = _place_keys(of[0][row], k) if of else k, comp[row]
+            order = np.lexsort((comp, k))
+            k, comp = k[order], comp[order]
+            new = np.ones(len(k), bool)  # a component's elements count once a batch
+            new[1:] = (k[1:] != k[:-1]) | (comp[1:] != comp[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(comp[new])], names=["k", "comp"])
+
+    total = rows.agg(F.coalesce(F.sum(F.size(name)), F.lit(0))).first()[0]
     size = min(MOST_LEVEL_BITS, max(1 << 15, 1 << (4 * total).bit_length()))
-    at = F.col("e").bitwiseAND(size - 1) + 1
-    counted = elements.groupBy("e").agg(F.count("*").alias("f")).where(F.col("f") >= FREQUENT[0])
-    level = F.filter(F.array(*(F.when(F.col("f") >= f, k) for k, f in enumerate(FREQUENT))), lambda x: x.isNotNull())
-    rows = counted.select(at.alias("at"), F.explode(level).alias("level")).groupBy("level", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = [np.zeros(size // 8, np.uint8) for _ in FREQUENT]
-    for r in rows.toLocalIterator():
+    at = F.col("k").bitwiseAND(size - 1) + 1
+    elements = rows.select("comp", *pivot, name).mapInArrow(once, "k bigint, comp bigint").repartition("k")
+    counted = elements.groupBy("k").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    level = F.filter(F.array(*(F.when(F.col("f") >= f, k) for k, f in enumerate(frequent))), lambda x: x.isNotNull())
+    found = counted.select(at.alias("at"), F.explode(level).alias("level")).groupBy("level", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = [np.zeros(size // 8, np.uint8) for _ in frequent]
+    for r in found.toLocalIterator():
         out[r.level][(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def first_elements(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows with `both`, how many of their elements (`more`) other rows may have too, and `first`, in place of `more`: the first of these that a
-    similar row must share one of, in an order that all rows have: by frequency level, then value. Nothing is shuffled by row."""
-    total = rows.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0]
-    given = rows.sparkSession.sparkContext.broadcast(levels(rows.select(F.explode("more").alias("e")), total))
+def _typed(rows: DataFrame, *without: str) -> list[str]:
+    return [f"{f.name} {f.dataType.simpleString()}" for f in rows.drop(*without).schema.fields]
+
+
+def _with_list(b: pa.RecordBatch, name: str, row: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """A batch with other arrays in place of, or behind, its own."""
+    cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32)
+    names = [c for c in b.schema.names if c != name]
+    cols = [b.column(b.schema.get_field_index(c)) for c in names]
+    return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(cut), pa.array(values))], names=[*names, name])
+
+
+def only_shared(rows: DataFrame, given: Broadcast) -> DataFrame:
+    """rows with those elements of `more` only that members of two components or more have, by a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, e = _flat(b, "more")
+            keep = _in(given.value[0], e)
+            yield _with_list(b, "more", row[keep], e[keep])
+
+    return rows.mapInArrow(run, ", ".join([*_typed(rows, "more"), "more array<bigint>"]))
+
+
+def first_elements(rows: DataFrame, given: Broadcast, num: int, den: int) -> DataFrame:
+    """rows with `both`, how many of the elements that they add to their pivot (`more`) members of other components add too, and `first`, in
+    place of `more`: keys of the first of these that a similar row must share one of, in an order that all rows of a pivot
+    have: by frequency level (given: its bitmaps), then key. Nothing is shuffled by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = given.value
-        mask = len(bitmaps[0]) * 8 - 1
         for b in batches:
-            n, np_, nb = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("n", "np", "nb"))
-            lists = b.column(b.schema.get_field_index("more"))
-            e, row = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-            at = e & mask
-            has = [(m[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) for m in bitmaps]
-            e, row, level = e[has[0]], row[has[0]], np.sum(has, axis=0)[has[0]]
-            order = np.lexsort((e, level, row))
-            e, row = e[order], row[order]
+            row, e, a, n, np_, nb = _flat(b, "more", "a", "n", "np", "nb")
+            k = _place_keys(a[row], e)
+            has = [_in(m, k) for m in given.value]
+            k, row, level = k[has[0]], row[has[0]], np.sum(has, axis=0)[has[0]]
+            order = np.lexsort((k, level, row))
+            k, row = k[order], row[order]
             both = np.bincount(row, minlength=b.num_rows)
             place = np.arange(len(row)) - np.repeat(np.cumsum(both) - both, both)
             needed = np.maximum(1, -(-n * num // den) - (np_ - nb))
             keep = place < (both - needed + 1)[row]
-            cut = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=b.num_rows))]).astype(np.int32)
-            cols = [b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "more"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(both), pa.ListArray.from_arrays(pa.array(cut), pa.array(e[keep]))], names=[*(c for c in b.schema.names if c != "more"), "both", "first"])
+            b = b.drop_columns(["more"]).append_column("both", pa.array(both))
+            yield _with_list(b, "first", row[keep], k[keep])
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("more").schema.fields]
-    return rows.mapInArrow(run, ", ".join([*fields, "both bigint", "first array<bigint>"]))
+    return rows.mapInArrow(run, ", ".join([*_typed(rows, "more"), "both bigint", "first array<bigint>"]))
 
 
 def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -261,15 +313,18 @@ class Join:
         fits = (self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb"))
         return self.kept(_near(both.where(fits).select("a", "b", "na", "nb", "ca", "cb"), self.num, self.den), "pairs")
 
-    def with_sets(self, pairs: DataFrame) -> DataFrame:
+    def sets_for(self, pairs: DataFrame) -> DataFrame:
+        return self.sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+
+    def with_sets(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """pairs with x and y, the sets of a and b."""
-        sets = self.sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
         return pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs whose whole sets are similar."""
         same, before = F.size(F.array_intersect("x", "y")), list(self.scratch.tables)
-        out = self.kept(self.with_sets(self.bounded(pairs)).where((self.num + self.den) * same >= self.num * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+        pairs = self.bounded(pairs)
+        out = self.kept(self.with_sets(pairs, self.sets_for(pairs)).where((self.num + self.den) * same >= self.num * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
         self.only(before, out)
         return out
 
@@ -295,29 +350,40 @@ class Join:
         star = self.kept(rows.where((F.col("c") > SMALL) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "comp").distinct(), "stars")
         pivot_comp = rows.where("node = pivot").select(F.col("node").alias("a"), F.col("comp").alias("pc")).distinct()
         before = list(self.scratch.tables)
-        d = self.with_sets(star.join(pivot_comp, "a"))
-        d = d.select("a", "b", "comp", (F.col("comp") != F.col("pc")).alias("out"), F.size("x").alias("np"), F.size("y").alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less"))
-        d = self.kept(d.withColumn("na", F.size("more")).withColumn("nb", F.size("less")), "deltas")
+        sets, members = self.sets_for(star), star.select(F.col("b").alias("node"), "comp").distinct()
+        members = sets.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "node")
+        send = self.docs.sparkSession.sparkContext.broadcast
+        shared = send(levels(members, "set", FREQUENT[:1]))
+        d = self.with_sets(star.join(pivot_comp, "a"), sets)
+        d = d.select("a", "b", "comp", (F.col("comp") != F.col("pc")).alias("out"), F.size("x").alias("np"), F.size("y").alias("n"), F.array_except("y", "x").alias("more"), "x", "y")
+        d = d.withColumn("na", F.size("more")).withColumn("nb", F.col("np") - F.col("n") + F.col("na"))
+        # what a member lacks is asked for where that alone can make up for what it adds
+        spare = F.col("na") * (num + den) <= (den - num) * (F.col("n") + F.ceil(F.col("n") * den / num))
+        d = d.withColumn("less", F.when(spare & ((F.col("nb") > F.col("na")) | F.col("out")), F.array_except("x", "y"))).drop("x", "y")
+        d = self.kept(only_shared(d, shared), "deltas")
+        shared.destroy()
         self.only(before, d)
         side = ["a", "b", "comp", "out", "n", "na", "nb"]
 
-        def joined(keys: DataFrame, condition) -> DataFrame:
+        def joined(keys: DataFrame, on: list[str], condition) -> DataFrame:
             x, y = keys.where("out").alias("x"), keys.alias("y")
-            on = (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") != F.col("y.comp"))
+            same = reduce(Column.__and__, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in on)) & (F.col("x.comp") != F.col("y.comp"))
             fits = (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
-            return x.join(y, on & fits & condition).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+            return x.join(y, same & fits & condition).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
 
         # added elements, rarer ones first: the first common one is among the first |A| - t + 1, where t
-        # of the needed overlap must lie in A
-        keys = first_elements(d.select(*side, "np", "more"), num, den).withColumn("e", F.explode("first")).drop("first")
-        keys = self.kept(keys, "rare")
-        most = F.least("x.both", "y.both") + F.least(F.col("x.np") - F.col("x.nb"), F.col("y.np") - F.col("y.nb"))
-        by_added = joined(keys, (num + den) * most >= num * (F.col("x.n") + F.col("y.n")))
+        # of the needed overlap must lie in A; from its place on, both must have enough of them left
+        order = send(levels(d, "more", FREQUENT))
+        keys = first_elements(d.select(*side, "np", "more"), order, num, den).drop("a", "na")
+        keys = self.kept(keys.select("*", F.posexplode("first").alias("i", "k")).drop("first"), "rare")
+        order.destroy()
+        left = F.least(F.col("x.both") - F.col("x.i"), F.col("y.both") - F.col("y.i"))
+        most = left + F.least(F.col("x.np") - F.col("x.nb"), F.col("y.np") - F.col("y.nb"))
+        by_added = joined(keys, ["k"], (num + den) * most >= num * (F.col("x.n") + F.col("y.n")))
         # nothing added in common: lacking elements must make up for it, which takes a smaller set
-        spare = F.col("na") * (num + den) <= (den - num) * (F.col("n") + F.ceil(F.col("n") * den / num))
-        lacking = d.where(spare & ((F.col("nb") > F.col("na")) | F.col("out"))).select(*side, F.explode("less").alias("e"))
+        lacking = d.where("less is not null").select(*side, F.explode("less").alias("e"))
         kept_all = F.col("x.na") + F.col("x.nb") + F.col("y.na") + F.col("y.nb") - 2 * F.least("x.nb", "y.nb")
-        by_lacking = joined(lacking, (F.col("y.nb") > F.col("y.na")) & ((num + den) * kept_all <= (den - num) * (F.col("x.n") + F.col("y.n"))))
+        by_lacking = joined(lacking, ["a", "e"], (F.col("y.nb") > F.col("y.na")) & ((num + den) * kept_all <= (den - num) * (F.col("x.n") + F.col("y.n"))))
         return by_added.unionByName(by_lacking)
 
     def components(self) -> DataFrame:
