@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillstream.functions.text import strip
+from tillstream.functions.text import let, strip
 
 # fixed values: tolerance (inclusive), most items, largest amount
 TOLERANCE, MAX_ITEMS, MAX_AMOUNT = 1.0, 50, 500_000.0
@@ -39,15 +39,18 @@ def incoherence(c: Column) -> Column:
     """Code of the first failing rule of a candidate receipt; NULL if it closes. Total and item
     count first, then item by item, then discount, tip and the sum."""
     total, items, discount, tip = c["total"], c["items"], c["discount"], c["tip"]
-    bad = F.get(F.filter(F.transform(items, _item), lambda r: r.isNotNull()), F.lit(0))
-    n, live = F.coalesce(F.size(items), F.lit(0)), live_sum(items)
-    expected = live - F.coalesce(discount, F.lit(0.0)) + F.coalesce(tip, F.lit(0.0))
-    return (
-        _first(("T1", ~finite(total)), ("T2", total < 0), ("T3", total > MAX_AMOUNT), ("N1", n <= 0), ("N2", n > MAX_ITEMS))
-        .when(bad.isNotNull(), bad)
-        .when(discount.isNotNull() & (~finite(discount) | (discount < 0)), "D1")
-        .when((discount > MAX_AMOUNT) | (discount > live), "D2")
-        .when(tip.isNotNull() & (~finite(tip) | (tip < 0)), "P1")
-        .when(tip > MAX_AMOUNT, "P2")
-        .when(F.abs(total - expected) > TOLERANCE, "T4")
-    )
+    first_bad = F.get(F.filter(F.transform(items, _item), lambda r: r.isNotNull()), F.lit(0))
+    n = F.coalesce(F.size(items), F.lit(0))
+
+    def sums(live: Column) -> Column:
+        expected = live - F.coalesce(discount, F.lit(0.0)) + F.coalesce(tip, F.lit(0.0))
+        return (
+            F.when(discount.isNotNull() & (~finite(discount) | (discount < 0)), "D1")
+            .when((discount > MAX_AMOUNT) | (discount > live), "D2")
+            .when(tip.isNotNull() & (~finite(tip) | (tip < 0)), "P1")
+            .when(tip > MAX_AMOUNT, "P2")
+            .when(F.abs(total - expected) > TOLERANCE, "T4")
+        )
+
+    rest = let(first_bad, lambda bad: F.coalesce(bad, let(live_sum(items), sums)))
+    return _first(("T1", ~finite(total)), ("T2", total < 0), ("T3", total > MAX_AMOUNT), ("N1", n <= 0), ("N2", n > MAX_ITEMS)).otherwise(rest)

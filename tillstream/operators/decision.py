@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.functions.text import CANDIDATE, json_candidate, parse_receipt
+from tillstream.functions.text import CANDIDATE, json_candidate, once, parse_receipt
 from tillstream.functions.wrapped import parse_wrapped
 from tillstream.operators.coherence import incoherence
 
@@ -33,8 +33,7 @@ def parsed(tickets: DataFrame, parsers: dict[str, Callable[[Column], Column]] |
     raw, chain = F.coalesce("raw_text", F.lit("")), None
     for name, parse in (parsers or PARSERS).items():
         chain = (F if chain is None else chain).when(F.col("parser") == name, parse(raw))
-    # out of an explode, so that later filters are not pushed below the parser, which they would repeat for each use of its result
-    return tickets.select("*", F.explode(F.array(chain)).alias("own"))
+    return tickets.select("*", once(chain).alias("own"))
 
 
 def _outcome(status: str, parsed_by: str | None = None, reason: Column | None = None) -> Column:
@@ -69,7 +68,7 @@ def decide(tickets: DataFrame, tenants: DataFrame, answers: DataFrame | None = N
     if answers is not None:
         case = case.when(F.col("asked").isNull(), _outcome("pending", None, F.lit("no_answer"))).when(second, _outcome("needs_review", "model-fallback"))
     case = case.when(why.isNotNull(), _outcome("failed", None, F.concat(F.lit("incoherent: "), why))).otherwise(_outcome("failed", None, F.lit(none)))
-    out = rows.withColumn("d", case)
+    out = rows.select("*", once(case).alias("d"))
     candidate = F.when(F.col("d.status") == "parsed", F.col("own.candidate")).when(F.col("d.status") == "needs_review", F.col("second"))
     return out.select("tenant_id", "captured_at", "ticket_id", "port", "d.status", "d.parsed_by", "d.reason", candidate.alias("candidate"))
 
