@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillstream.functions.text import BLANKS, CANDIDATE, let, money, strip
+from tillstream.functions.text import BLANKS, assemble, let, money, strip
 
 # fixed values: the lines of the layout
 AMOUNT = r"[0-9][0-9.]*+(?:,[0-9]++)?+"
 NUMBERS = rf"({AMOUNT}) x (-?{AMOUNT}){BLANKS}++(-?{AMOUNT})(?:{BLANKS}++(ANULADO))?"
-WORDS = {"total": "TOTAL", "discount": r"DESC\.", "tip": "PROPINA"}
+WORDS = {"total": "TOTAL", "discount": "DESC.", "tip": "PROPINA"}
 DATE = r"([0-9]{4})-([0-9]{2})-([0-9]{2}) ([0-9]{2}):([0-9]{2})"
 MARK = "\u0001"
 
@@ -30,32 +30,33 @@ def _line(what: str) -> str:
 def parse_wrapped(raw: Column) -> Column:
     """struct<candidate, poison>, as `parse_receipt` gives it; of several total, discount or tip lines the last counts. A total,
     discount or tip without a readable amount is `bad_amount`, a line like a date that is none `bad_date`."""
-    text = F.regexp_replace(F.replace(raw, F.lit(MARK), F.lit(" ")), r"(?md)(?<![ \t\r\u00a0])[ \t\r\u00a0]++$", "")
-    known = rf"(?:{NUMBERS}|(?:{'|'.join(WORDS.values())}) [^\n]*+|{DATE}|)"
+    text = F.regexp_replace(F.replace(raw, F.lit(MARK), F.lit(" ")), r"(?md)(?=[ \t\r\u00a0])(?<![ \t\r\u00a0])[ \t\r\u00a0]++$", "")
+    known = rf"(?:{NUMBERS}|(?:{'|'.join(w.replace('.', '[.]') for w in WORDS.values())}) [^\n]*+|{DATE}|)"
     joined = F.regexp_replace(text, rf"(?md)^(?!{known}$)([^\n]*+)\n", f"$10{MARK}")
     lines = F.transform(F.split(joined, "\n", -1), lambda x: let(F.split(x, MARK, -1), _tagged))
-    return let(lines, _assemble)
+    return let(lines, lambda lines: assemble(lines, tuple(WORDS)))
 
 
 def _tagged(parts: Column) -> Column:
     line = F.element_at(parts, -1)
-    kind = F.when(line.rlike(_line(NUMBERS)), "item").when(line.rlike(_line(DATE)), "date")
+    # a line of numbers turns into its four parts, any other into one
+    numbers = F.split(F.regexp_replace(line, _line(NUMBERS), f"$1{MARK}$2{MARK}$3{MARK}$4"), MARK, -1)
+    return let(numbers, lambda numbers: let(_kind(line, numbers), lambda kind: _parts(line, numbers, kind, parts)))
+
+
+def _kind(line: Column, numbers: Column) -> Column:
+    kind = F.when(F.size(numbers) == 4, "item").when(line.rlike(_line(DATE)), "date")
     for name, word in WORDS.items():
-        kind = kind.when(line.rlike(rf"\A{word} "), name)
-    number = lambda k: money(F.regexp_extract(line, _line(NUMBERS), k))
-    name = strip(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), strip), " "))
-    item = F.struct(name.alias("description"), number(1).alias("quantity"), number(2).alias("unit_price"), number(3).alias("subtotal"), (F.regexp_extract(line, _line(NUMBERS), 4) != "").alias("voided"))
-    rest = F.regexp_replace(line, r"\A[^ ]++ ++", "")
-    amount = F.when(rest.rlike(rf"\A-?\$? ?{AMOUNT}\z"), money(rest))
-    y, mo, d, h, mi = (F.regexp_extract(line, _line(DATE), k).try_cast("int") for k in (1, 2, 3, 4, 5))
-    return F.struct(kind.alias("kind"), F.when(kind == "item", item).alias("item"), amount.alias("amount"), F.when(kind == "date", F.try_make_timestamp(y, mo, d, h, mi, F.lit(0))).alias("at"))
+        kind = kind.when(line.startswith(f"{word} "), name)
+    return kind
 
 
-def _assemble(lines: Column) -> Column:
-    of = lambda *kinds: F.filter(lines, lambda x: F.coalesce(x["kind"].isin(*kinds), F.lit(False)))
-    last = lambda kind: F.try_element_at(of(kind), F.lit(-1))
-    items = F.transform(of("item"), lambda x: x["item"])
-    whole = F.struct(items.alias("items"), F.abs(last("discount")["amount"]).alias("discount"), last("tip")["amount"].alias("tip"), last("total")["amount"].alias("total"), last("date")["at"].alias("printed_at"))
-    candidate = F.when((F.size(items) > 0) & last("total").isNotNull(), whole)
-    poison = F.when(F.exists(of("date"), lambda x: x["at"].isNull()), "bad_date").when(F.exists(of(*WORDS), lambda x: x["amount"].isNull()), "bad_amount")
-    return F.struct(F.when(poison.isNull(), candidate).cast(CANDIDATE).alias("candidate"), poison.alias("poison"))
+def _parts(line: Column, numbers: Column, kind: Column, parts: Column) -> Column:
+    name = strip(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), strip), " "))
+    item = F.struct(name.alias("description"), money(numbers[0]).alias("quantity"), money(numbers[1]).alias("unit_price"), money(numbers[2]).alias("subtotal"), (numbers[3] != "").alias("voided"))
+    amount = let(F.regexp_replace(line, r"\A[^ ]++ ++", ""), lambda rest: F.when(rest.rlike(rf"\A-?\$? ?{AMOUNT}\z"), money(rest)))
+    y, mo, d, h, mi = (F.regexp_extract(line, _line(DATE), k).try_cast("int") for k in (1, 2, 3, 4, 5))
+    return F.struct(
+        kind.alias("kind"), F.when(kind == "item", item).alias("item"), F.when(kind.isin(*WORDS), amount).alias("amount"),
+        F.when(kind == "date", F.try_make_timestamp(y, mo, d, h, mi, F.lit(0))).alias("at"),
+    )
