@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tillstream.operators import ingest
 from tillstream.plans import catalogue
 from tillstream.sources import mapped
 
@@ -14,3 +15,31 @@ def plan(df):
 
 def test_a_filter_on_outcomes_computes_none_of_them_again(spark):
     assert plan(catalogue.QUERIES["quarantine"](spark, SF)).count("parse_json") <= plan(catalogue.QUERIES["decide"](spark, SF)).count("parse_json") <= 2
+
+
+def test_the_change_log_reads_order_lines_once(spark):
+    assert plan(mapped.change_events(spark, SF)).count("l_linenumber#") <= plan(mapped.receipts(spark, SF)).count("l_linenumber#")
+
+
+def test_texts_that_are_not_the_last_ones_go_before_they_are_sorted(spark):
+    rows = spark.createDataFrame([("T1", "a", 1, "x"), ("T1", "a", 3, "z"), ("T1", "a", 2, "y"), ("T2", "a", 2, "w"), ("T2", "b", None, "n")], "tenant_id string, ticket_id string, arrival_seq long, raw_text string")
+    out = ingest.latest_payload(rows)
+    assert "LeftSemi" in plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in rows.groupBy("tenant_id", "ticket_id").agg(F.max_by("raw_text", "arrival_seq")).collect())
+
+
+def test_requests_meet_their_keys_without_a_shuffle_of_bodies(spark):
+    rows, key = (spark.range(3).selectExpr(*c) for c in (("concat('K', id) AS api_key_id", "'x' AS body"), ("concat('K', id) AS api_key_id", "concat('T', id) AS tenant_id")))
+    assert plan(ingest.resolve_tenant(rows, key, key)).count("strategy=broadcast") == 2
+
+
+def test_a_portion_of_receipts_is_parsed_by_many_tasks(spark, monkeypatch):
+    files = []
+    monkeypatch.setattr(catalogue.jobs, "source", lambda spark, path, schema, n=1: files.append(n))
+    monkeypatch.setattr(catalogue.jobs, "transform_stream", lambda *a: None)
+    monkeypatch.setattr(catalogue, "parse_receipt", lambda raw: raw)
+    try:
+        catalogue.QUERIES["stream_parse"](spark, SF)
+    except Exception as e:
+        assert "PATH_NOT_FOUND" in str(e)  # nothing was parsed
+    assert files and min(files) > 1
