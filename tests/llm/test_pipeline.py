@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 
 import corpus_pipeline
 from tests.llm.test_decontaminate import distance, plain
@@ -9,7 +10,7 @@ from tests.llm.test_ngram_join import brute as grouped
 from tests.llm.test_packing import check
 from tests.llm.test_packing import plain as encoded_plain
 from tillstream.llm import line_dedup, nbsvm
-from tillstream.llm.tables import kept, table
+from tillstream.llm.tables import BATCH_BYTES, kept, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +96,18 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert sorted((x.doc_id or 0) for x in pieces if x.start == 0) == sorted((d or 0) for d, _ in rows)
     assert sum(x.length for x in pieces) == sum(len(i) + 1 for i in encoded_plain([t for _, t in rows]))
     assert [stage(spark, docs.limit(0), sf).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_texts_go_to_python_in_batches_of_few_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    for stage in ("quality classifier", "n-gram Jaccard join", "benchmark decontamination", "packing"):
+        spark.conf.unset(name)
+        dict(corpus_pipeline.STAGES)[stage](spark, table(spark, SF, "documents").limit(0), SF)
+        seen = [r.n for r in rows.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(seen) > 4 * BATCH_BYTES and max(seen) < 2 * BATCH_BYTES

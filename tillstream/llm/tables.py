@@ -20,6 +20,16 @@ HEAVY = 4096
 LEAST_BITS, MOST_BITS = 1 << 15, 1 << 28
 
 
+#: Bytes of an Arrow batch of texts, some more than operators work on at once.
+BATCH_BYTES = 4 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lets rows go to Python in batches of about BATCH_BYTES. Spark counts 10,000 rows, however long: whole texts of a batch stand
+    in the JVM on their way there and back, and in Python as they came and as they go."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """The rows as a written table in the shared folder: later steps read the files, so that a lost
     executor costs no recomputation and non-deterministic steps are decided once."""
