@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tillstream.operators import ingest
+from tillstream.operators import ingest, widgets
 from tillstream.plans import catalogue
 from tillstream.sources import mapped
 
@@ -43,3 +43,10 @@ def test_a_portion_of_receipts_is_parsed_by_many_tasks(spark, monkeypatch):
     except Exception as e:
         assert "PATH_NOT_FOUND" in str(e)  # nothing was parsed
     assert files and min(files) > 1
+
+
+def test_tickets_of_a_label_are_dealt_before_they_are_told_apart(spark):
+    items = spark.createDataFrame([("T1", "a", "x"), ("T1", "a", "x"), ("T1", "b", "x"), ("T1", "a", None), ("T2", "a", "y")], "tenant string, ticket_id string, description string")
+    out = widgets.every_event_count(items, "description")
+    assert "RepartitionByExpression" in plan(out)
+    assert sorted((r.tenant, r.label, r.value) for r in out.collect()) == [("T1", "(sin dato)", 1.0), ("T1", "x", 2.0), ("T2", "y", 1.0)]
