@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tillstream.functions.text import let, parse_receipt
 from tillstream.operators import ingest, widgets
 from tillstream.plans import catalogue
 from tillstream.sources import mapped
@@ -50,3 +51,31 @@ def test_tickets_of_a_label_are_dealt_before_they_are_told_apart(spark):
     out = widgets.every_event_count(items, "description")
     assert "RepartitionByExpression" in plan(out)
     assert sorted((r.tenant, r.label, r.value) for r in out.collect()) == [("T1", "(sin dato)", 1.0), ("T1", "x", 2.0), ("T2", "y", 1.0)]
+
+
+def test_a_bound_value_is_no_element_of_an_array(spark):
+    one = spark.createDataFrame([(3,), (None,)], "x int")
+    assert [r[0] for r in one.select(let(F.col("x") + 1, lambda v: F.coalesce(v * v, F.lit(-1)))).collect()] == [16, -1]
+    assert "[0]" not in plan(one.select(let(F.col("x") + 1, lambda v: v * v).alias("v")))  # which works out the type of the body for each row
+
+
+def test_a_line_is_matched_once_for_its_item_and_once_for_its_date(spark):
+    p = plan(spark.createDataFrame([("1  a  2  2",)], "raw string").select(parse_receipt(F.col("raw")).alias("p")))
+    assert p.count("regexp_extract(") <= 1 and p.lower().count("rlike") == 0
+
+
+def test_item_lines_that_hold_marks_and_breaks(spark):
+    def names(line):
+        c = spark.createDataFrame([(f"{line}\nTOTAL: 2",)], "raw string").select(parse_receipt(F.col("raw"))["candidate"]).first()[0]
+        return c and [tuple(i) for i in c["items"]]
+
+    assert names("2 a\u0001b \u0001  3  6 *ANULADO*") == [("a\u0001b \u0001", 2.0, 3.0, 6.0, True)]
+    assert names("2  3 4  5  6") == [("3 4", 2.0, 5.0, 6.0, False)]
+    assert names("2    5  6") == [("", 2.0, 5.0, 6.0, False)]
+    for line in ("2   5  6", "2 a 5  6", "2a  5  6", "2 a\rb  5  6", "2\u0001a\u00015\u00016\u0001\u0001", "2 a  5  6 x"):
+        assert names(line) is None
+
+
+def test_tickets_that_are_parsed_anew_need_no_receipts(spark):
+    log = spark.createDataFrame([("T1", 9, "1995-01-01", "text"), ("T7", 1, "1995-01-01", "text"), ("T7", 2, "1996-01-01", "text")], "tenant_id string, o_orderkey long, captured_at string, raw_text string")
+    assert [(r.o_orderkey, r.raw_text) for r in catalogue._unreadable(log).orderBy("o_orderkey").collect()] == [(1, "no receipt"), (9, "no receipt")]
