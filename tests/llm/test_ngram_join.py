@@ -128,3 +128,42 @@ def test_shared_beginnings(spark):
     got = sorted(r.h for r in shared.collect())
     seen = Counter(r.sig % 2**64 >> (64 - bits) for r in ngram_join.signed(df, 3, 9, 10).collect())
     assert got == sorted(h for h, c in seen.items() if c > 1) and got
+
+
+def test_parities_differ_in_no_more_cells_than_sets_in_elements(spark):
+    r = np.random.default_rng(5)
+    shapes = [(1, 3, 0), (40, 0, 0), (40, 4, 1), (300, 12, 25), (300, 400, 90), (9000, 700, 200), (1000, 30, 60), (5000, 2, 2000)]
+    rows = []
+    for k, (size, more, less) in enumerate(shapes):
+        x = r.integers(0, 2**63, size + more, dtype=np.uint64)
+        p, q = ngram_join._parities(np.repeat([0, 1], [size, size + more - less]), np.concatenate([x[:size], x[less:]]), 2).to_pylist()
+        rows.append((k, -k, size, size + more - less, p, q))
+    pairs = spark.createDataFrame(rows, "a bigint, b bigint, na bigint, nb bigint, p binary, q binary")
+    for num, den in ((9, 10), (4, 5), (1, 2)):
+        got = {x.a for x in ngram_join._few_odd(pairs, num, den).collect()}
+        near = {k for k, (size, more, less) in enumerate(shapes) if den * (size - less) >= num * (size + more)}
+        close = {k for k, (size, more, less) in enumerate(shapes) if 1.1 * den * (size - less) >= num * (size + more)}
+        assert near <= got <= close
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5), (1, 2)])
+def test_first_lacking_elements_are_few_and_enough(spark, num, den):
+    r = random.Random(num)
+    pivot = list(range(200))
+    sets = [set(pivot) - set(r.sample(pivot, r.choice([2, 12, 25, 45, 110, 140]))) for _ in range(40)]
+    core = set(r.sample(pivot, 70))
+    sets += [(core | set(r.sample(pivot, k))) - set(r.sample(sorted(core), k)) for k in (0, 1, 1, 2, 2, 3, 5, 8) for _ in range(5)]
+    sets = [s | {1000 * k + j for j in range(r.choice([0, 0, 1, 3]))} for k, s in enumerate(sets, 1)]  # nothing added in common
+    near = lambda x, y: den * len(x & y) >= num * len(x | y)
+    whole = set(pivot)
+    rows = [(0, k, k, not near(s, whole), len(s), len(s - whole), len(whole - s), 200, sorted(whole - s)) for k, s in enumerate(sets)]
+    shape = "a bigint, b bigint, comp bigint, out boolean, n bigint, na bigint, nb bigint, np bigint, less array<bigint>"
+    got = {x.b: x for x in ngram_join.first_lacking(spark.createDataFrame(rows, shape), num, den).collect()}
+    linked = 0
+    for k, x in enumerate(sets):
+        for m, y in enumerate(sets):
+            if k != m and got[k].out and near(x, y):
+                linked += 1
+                i, j = min((i, got[m].first.index(e)) for i, e in enumerate(got[k].first) if e in got[m].first)
+                assert i < got[k].outer and j < got[m].inner
+    assert linked > 40 and sum(len(x.first) for x in got.values()) < (0.4 if num > 1 else 0.6) * sum(len(x[-1]) for x in rows)

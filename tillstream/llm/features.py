@@ -88,11 +88,12 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, limit: int, hold_out
 
 
 class Sample:
-    """Sparse rows of the sampled documents on the driver: at most the sample's limit of them."""
+    """Sparse rows of the sampled documents on the driver: at most the sample's limit of them. Without counts, each n-gram counts once."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, label: str, limit: int, hold_out: int | None):
+    def __init__(self, docs: DataFrame, labels: DataFrame, label: str, limit: int, hold_out: int | None, counts: bool = True):
         rows = sampled(docs, labels, label, limit, hold_out).select("doc_id", "text", "label")
-        got = rows.mapInArrow(_sample_rows, "doc_id bigint, label int, buckets array<int>, counts array<int>").toArrow().combine_chunks()
+        rows = rows.mapInArrow(_sample_rows, "doc_id bigint, label int, buckets array<int>, counts array<int>")
+        got = (rows if counts else rows.drop("counts")).toArrow().combine_chunks()
         lists = got.column("buckets").combine_chunks() if got.num_rows else None
         ids = got.column("doc_id").to_numpy()
         self.y = got.column("label").to_numpy().astype(np.int64)
@@ -100,7 +101,8 @@ class Sample:
             self.cut, self.f, self.c = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         else:
             self.cut = lists.offsets.to_numpy().astype(np.int64)
-            self.f, self.c = lists.values.to_numpy(), got.column("counts").combine_chunks().values.to_numpy()
+            self.f = lists.values.to_numpy()
+            self.c = got.column("counts").combine_chunks().values.to_numpy() if counts else np.broadcast_to(np.int32(1), len(self.f))
         self.order = np.lexsort((np.diff(self.cut), ids))  # the same for any partitioning
         self.n = len(self.y)
 

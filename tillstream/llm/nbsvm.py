@@ -75,18 +75,19 @@ def dual_coordinate_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, hold_out: int | None = 5, rounds: int = 12, cost: float = 1.0, blend: float = 0.25) -> Model:
-    s = Sample(docs, labels, label, sample_rows, hold_out)
+    s = Sample(docs, labels, label, sample_rows, hold_out, counts=False)
     if not s.both():
         return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0, 0.0, float(s.y.mean()) if s.n else 1.0)
     train, check = s.split()
     if len(set(s.y[train])) < 2 or len(set(s.y[check])) < 2:
         train = check = s.order
     r = log_count_ratio(s, train)
+    flat = r[s.f]  # one array, so that its memory goes back whole
     x = []
     for i in train:
-        f = s.row(i)[0]
-        v = r[f]
-        x.append((f, v / max(np.sqrt(v @ v), 1e-9)))
+        v = flat[s.cut[i] : s.cut[i + 1]]
+        v /= max(np.sqrt(v @ v), 1e-9)
+        x.append((s.row(i)[0], v))
     y = np.where(s.y[train] == 1, 1.0, -1.0)
     share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
     w, b = dual_coordinate_descent(x, y, cost * 0.5 / share, rounds)

@@ -12,11 +12,13 @@ dropped, by way of sorted differences of the signatures' first bits (see `shared
 3. In larger groups each member x is described by what it adds to the pivot's set (A) and lacks of
    it (B). Similar sets of different components share an element of A - found by a join on those of A's
    elements that members of other components add too, rarer first, as many as the needed overlap allows - or lack a common element of the pivot
-   while their sizes alone allow a link. Both joins lose no link and emit near none of the pairs of a
+   while their sizes alone allow a link; then what both lack makes up most of what either lacks, so only the
+   first of these elements are joined (see `first_lacking`). Both joins lose no link and emit near none of the pairs of a
    group of loosely edited copies.
 
-Before sets are fetched, a pair must pass two bounds: sizes within the ratio, and the L1 distance of
-the sets' counts in 64 hash cells at most the difference that similar sets can have. Verification
+Before sets are fetched, a pair must pass three bounds: sizes within the ratio, and the L1 distance of
+the sets' counts in 64 hash cells, then the number of hash cells, PARITIES or more for each element, in which only one of them has
+an odd number of elements, at most the difference that similar sets can have. Verification
 intersects the whole sets. Documents are read once per step instead of keeping their sets: sets of
 all texts would be several times the input.
 
@@ -34,6 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +48,7 @@ from tillstream.llm.textbytes import Texts, chunks
 
 SMALL = 16
 CELLS = 64
+PARITIES = 8
 #: Ids that are sent to all tasks as a filter at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Added elements are told apart by how many rows have them: as many as each of these.
@@ -78,6 +82,18 @@ def _mapped(docs: DataFrame, size: int, make, fields: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id bigint, {fields}")
 
 
+def _parities(rows: np.ndarray, g: np.ndarray, n: int) -> pa.Array:
+    """Of each set a bit for each of so many hash cells, a power of two and PARITIES or more for each element: whether it has an odd number of elements there.
+    An element that only one of two sets has changes one bit; of twice the cells, the halves xored are what half as many cells give."""
+    size = np.bincount(rows, minlength=n)
+    width = 8 << np.ceil(np.log2(np.maximum(1, size * PARITIES / 64))).astype(np.int64)  # bytes, of whole words of 64 bits
+    cut = np.concatenate([[0], np.cumsum(width)])
+    at = (shingles.mix(g + U64(78)) & (width * 8 - 1).astype(U64)[rows]).astype(np.int64)
+    bits = np.zeros(cut[-1], np.uint8)
+    np.bitwise_xor.at(bits, cut[rows] + (at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+
+
 def sized(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n (shingles), key (the set's identity), cells (counts in 64 hash cells, at most 255 each)."""
 
@@ -248,6 +264,33 @@ def first_elements(rows: DataFrame, given: Broadcast, num: int, den: int) -> Dat
     return rows.mapInArrow(run, ", ".join([*_typed(rows, "more"), "both bigint", "first array<bigint>"]))
 
 
+def first_lacking(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows with `first`, in place of `less`: those elements of what they lack of their pivot, in an order that all rows of a pivot have,
+    one of which is in common with any similar row of another component that adds nothing in common; and how many of them count
+    where the row is the one outside the pivot's component (`outer`), and where it is the other one (`inner`).
+
+    Let x and y add na and na' elements and lack nb and nb' of a pivot of np, with b of these in common. They are similar if
+    (num + den) * (na + nb + na' + nb' - 2 * b) <= (den - num) * (n + n'), where n' = np + na' - nb' and nb' >= b. So, for either of them,
+    2 * num * b >= (num + den) * (na + nb) - (den - num) * (n + np). As x is outside the pivot's component, it is not similar
+    to the pivot, which makes (num + den) * b > num * na' + den * nb' for the other one. Of two sets with b elements in common, the first
+    |set| - b + 1 of each have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, e, n, np_, na, nb, out = _flat(b, "less", "n", "np", "na", "nb", "out")
+            order = np.lexsort((shingles.mix(e.view(U64)), row))
+            row, e = row[order], e[order]
+            either = np.maximum(1, -(-((num + den) * (na + nb) - (den - num) * (n + np_)) // (2 * num)))
+            outer = np.where(out == 1, np.maximum(0, nb - either + 1), 0)
+            inner = np.maximum(0, nb - np.maximum(either, (num * na + den * nb) // (num + den) + 1) + 1)
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = place < np.maximum(outer, inner)[row]
+            b = b.drop_columns(["less"]).append_column("outer", pa.array(outer)).append_column("inner", pa.array(inner))
+            yield _with_list(b, "first", row[keep], e[keep])
+
+    return rows.mapInArrow(run, ", ".join([*_typed(rows, "less"), "outer bigint", "inner bigint", "first array<bigint>"]))
+
+
 def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs with cells of both that pass the L1 bound; vectorised, as there may be many false ones."""
 
@@ -261,6 +304,28 @@ def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
 
 
+def _few_odd(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b, na, nb, p, q) those whose parities p and q differ in no more cells than similar sets do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def folded(bits: pa.Array, width: int, to: int) -> np.ndarray:
+            words = np.frombuffer(b"".join(bits.to_pylist()), U64).reshape(len(bits), width // to, to // 8)
+            return np.bitwise_xor.reduce(words, axis=1)
+
+        for b in batches:
+            p, q = b.column(4), b.column(5)
+            width = np.stack([pc.binary_length(c).to_numpy() for c in (p, q)], axis=1)
+            apart = np.zeros(b.num_rows, np.int64)
+            for w in np.unique(width, axis=0):
+                at = np.flatnonzero((width == w).all(1))
+                x, y = (folded(c.take(pa.array(at)), int(k), int(w.min())) for c, k in zip((p, q), w, strict=True))
+                apart[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            ok = (num + den) * apart <= (den - num) * (b.column(2).to_numpy() + b.column(3).to_numpy())
+            yield b.filter(pa.array(ok)).select([0, 1, 2, 3])
+
+    return pairs.select("a", "b", "na", "nb", "p", "q").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
+
+
 class Join:
     """The steps of one join; each keeps the tables that later ones read."""
 
@@ -293,17 +358,22 @@ class Join:
         company = self.members.groupBy("node").agg(F.sum("c").alias("s"))
         return self.members.join(company, "node").groupBy("sig").agg(F.max(F.struct("s", "node"))["node"].alias("pivot"))
 
-    def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """node, set: the shingles of these nodes, from one text of each."""
-        wanted = self.kept(nodes.distinct().join(self.nodes, "node").select("node", "key", "doc_id"), "wanted")
+    def made_of(self, nodes: DataFrame, make, field: str) -> DataFrame:
+        """nodes (node, other columns) with what `make` gives for the set of each, from one text."""
+        wanted = self.kept(nodes.join(self.nodes.select("node", "key", "doc_id"), "node"), "wanted")
         ids = wanted.select("doc_id").distinct()
         texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
-        def make(t: Texts, rows: np.ndarray, g: np.ndarray) -> list:
-            return [_node(rows, g, t.n)[1], _lists(rows, g, t.n)]
+        def run(t: Texts, rows: np.ndarray, g: np.ndarray) -> list:
+            return [_node(rows, g, t.n)[1], make(rows, g, t.n)]
 
-        sets = _mapped(texts, self.size, make, "key binary, set array<bigint>").join(wanted, ["key", "doc_id"])
-        return self.kept(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+        name = field.split()[0]
+        one = _mapped(texts, self.size, run, f"key binary, {field}").groupBy("key", "doc_id").agg(F.first(name).alias(name))  # dealt as the join asks
+        return self.kept(one.join(wanted, ["key", "doc_id"]).drop("key", "doc_id"), name)
+
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """nodes with `set`, their shingles."""
+        return self.made_of(nodes, _lists, "set array<bigint>")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) with their sizes that may be similar by size and cells."""
@@ -313,18 +383,24 @@ class Join:
         fits = (self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb"))
         return self.kept(_near(both.where(fits).select("a", "b", "na", "nb", "ca", "cb"), self.num, self.den), "pairs")
 
-    def sets_for(self, pairs: DataFrame) -> DataFrame:
-        return self.sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+    @staticmethod
+    def both(pairs: DataFrame) -> DataFrame:
+        """The nodes of pairs."""
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-    def with_sets(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """pairs with x and y, the sets of a and b."""
-        return pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    @staticmethod
+    def beside(pairs: DataFrame, of: DataFrame, name: str, x: str, y: str) -> DataFrame:
+        """pairs with x and y, what a and b have as `name`."""
+        return pairs.join(of.select(F.col("node").alias("a"), F.col(name).alias(x)), "a").join(of.select(F.col("node").alias("b"), F.col(name).alias(y)), "b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs whose whole sets are similar."""
         same, before = F.size(F.array_intersect("x", "y")), list(self.scratch.tables)
         pairs = self.bounded(pairs)
-        out = self.kept(self.with_sets(pairs, self.sets_for(pairs)).where((self.num + self.den) * same >= self.num * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+        odd = self.made_of(self.both(pairs), _parities, "odd binary")
+        pairs = self.kept(_few_odd(self.beside(pairs, odd, "odd", "p", "q"), self.num, self.den), "pairs")
+        with_sets = self.beside(pairs, self.sets_of(self.both(pairs)), "set", "x", "y")
+        out = self.kept(with_sets.where((self.num + self.den) * same >= self.num * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
         self.only(before, out)
         return out
 
@@ -350,11 +426,13 @@ class Join:
         star = self.kept(rows.where((F.col("c") > SMALL) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "comp").distinct(), "stars")
         pivot_comp = rows.where("node = pivot").select(F.col("node").alias("a"), F.col("comp").alias("pc")).distinct()
         before = list(self.scratch.tables)
-        sets, members = self.sets_for(star), star.select(F.col("b").alias("node"), "comp").distinct()
+        either = star.select(F.col("a").alias("node"), F.lit(True).alias("pivot")).unionByName(star.select(F.col("b").alias("node"), F.lit(False).alias("pivot")))
+        sets, members = self.sets_of(either.groupBy("node").agg(F.bool_or("pivot").alias("pivot"))), star.select(F.col("b").alias("node"), "comp").distinct()
         members = sets.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "node")
         send = self.docs.sparkSession.sparkContext.broadcast
         shared = send(levels(members, "set", FREQUENT[:1]))
-        d = self.with_sets(star.join(pivot_comp, "a"), sets)
+        d = star.join(pivot_comp, "a").join(sets.where("pivot").select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+        d = d.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         d = d.select("a", "b", "comp", (F.col("comp") != F.col("pc")).alias("out"), F.size("x").alias("np"), F.size("y").alias("n"), F.array_except("y", "x").alias("more"), "x", "y")
         d = d.withColumn("na", F.size("more")).withColumn("nb", F.col("np") - F.col("n") + F.col("na"))
         # what a member lacks is asked for where that alone can make up for what it adds
@@ -381,9 +459,12 @@ class Join:
         most = left + F.least(F.col("x.np") - F.col("x.nb"), F.col("y.np") - F.col("y.nb"))
         by_added = joined(keys, ["k"], (num + den) * most >= num * (F.col("x.n") + F.col("y.n")))
         # nothing added in common: lacking elements must make up for it, which takes a smaller set
-        lacking = d.where("less is not null").select(*side, F.explode("less").alias("e"))
-        kept_all = F.col("x.na") + F.col("x.nb") + F.col("y.na") + F.col("y.nb") - 2 * F.least("x.nb", "y.nb")
-        by_lacking = joined(lacking, ["a", "e"], (F.col("y.nb") > F.col("y.na")) & ((num + den) * kept_all <= (den - num) * (F.col("x.n") + F.col("y.n"))))
+        lacking = first_lacking(d.where("less is not null").select(*side, "np", "less"), num, den).drop("np")
+        lacking = self.kept(lacking.select("*", F.posexplode("first").alias("i", "e")).drop("first"), "lacking")
+        left = F.least(F.col("x.nb") - F.col("x.i"), F.col("y.nb") - F.col("y.i"))  # if this is the first common one
+        kept_all = F.col("x.na") + F.col("x.nb") + F.col("y.na") + F.col("y.nb") - 2 * left
+        roles = (F.col("x.i") < F.col("x.outer")) & (F.col("y.i") < F.col("y.inner"))
+        by_lacking = joined(lacking, ["a", "e"], roles & ((num + den) * kept_all <= (den - num) * (F.col("x.n") + F.col("y.n"))))
         return by_added.unionByName(by_lacking)
 
     def components(self) -> DataFrame:
@@ -418,8 +499,8 @@ def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFr
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs, all columns, without the members of groups but the one of least id (of rows with that id, all)."""
-    gone = groups(docs, size, num, den).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = kept(groups(docs, size, num, den).where("doc_id != component_id").select("doc_id").distinct(), "copies")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
