@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tillstream.llm import lm_score
+from tillstream.llm import lm_score, ppm
 from tillstream.llm.tables import table
 
 SCHEMA = "doc_id bigint, text string, score string, row string"
@@ -93,3 +93,17 @@ def test_scores_are_those_of_all_byte_contexts(spark, monkeypatch, grams):
     want = every_context([t for d, t in docs if not out(d)])
     got = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert sum(map(out, got)) >= 6 and all(math.isclose(got[d], want(t), rel_tol=1e-9) for d, t in docs)
+
+
+def test_keys_and_their_table():
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 256, n).tolist() for n in (1, 2, 5, 6, 7, 8, 40, 1, 300, 3)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    for order in (1, 2, 3, 6):
+        want = [sum((t[i - k] if i >= k else 0) << 8 * k for k in range(order + 1)) for t in texts for i in range(len(t))]
+        assert ppm.keys(np.array(sum(texts, []), np.uint8), offsets, order).tolist() == want
+    known = np.unique(r.integers(0, 2**56, 20000))
+    asked = np.concatenate([known[::-1], r.integers(0, 2**56, 5000), known[:7] + 1])
+    place = {k: i for i, k in enumerate(known.tolist())}
+    assert ppm.Level(known).find(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+    assert ppm.Level(known[:0]).find(asked[:3]).tolist() == [-1] * 3

@@ -36,9 +36,8 @@ GRAMS = 1 << 20
 SPAN = 4 << 20
 
 
-def words_of(t: Texts) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Row of each token but the end marks, the distinct words (each with a space behind), and each token's number among them."""
-    b, offsets = ppm.normalised(t)
+def words_of(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of normalised texts: row of each token but the end marks, the distinct words (each with a space behind), and each token's number among them."""
     ends = np.flatnonzero((b == 32) | (b == ppm.END)) + 1
     begin = np.concatenate([[0], ends[:-1]])
     rows = np.searchsorted(offsets, begin, "right") - 1
@@ -52,7 +51,7 @@ def words_of(t: Texts) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t in chunks(b, size=SPAN):
-            _, words, which = words_of(t)
+            _, words, which = words_of(*ppm.normalised(t))
             n = np.bincount(which, minlength=len(words))
             used = n > 0
             yield pa.RecordBatch.from_arrays([words.filter(pa.array(used)), pa.array(n[used])], names=["word", "n"])
@@ -128,21 +127,21 @@ def resolved(needed: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> Da
     return out
 
 
-def _grams(t: Texts, common: ppm.Level, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's log10 probability of its common pairs; the others as n + 1 offsets, keys and how often each."""
+def _grams(b: np.ndarray, offsets: np.ndarray, common: ppm.Level, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each normalised text's log10 probability of its common pairs; the others as n + 1 offsets, keys and how often each."""
     z, rows, own, times = [], [], [], []
-    for part in _parts(t):
-        keys, offsets = ppm.byte_keys(part)
+    for first, part, within in _parts(b, offsets):
+        keys = ppm.keys(part, within)
         at = common.find(keys)
         total = np.concatenate([[0.0], np.cumsum(logs[at])])  # the last of logs is 0, for those not found
-        z.append(total[offsets[1:]] - total[offsets[:-1]])
+        z.append(total[within[1:]] - total[within[:-1]])
         lost = np.flatnonzero(at < 0)
         distinct, which = np.unique(keys[lost], return_inverse=True)
-        pair, n = np.unique((np.searchsorted(offsets, lost, "right") - 1) << 32 | which, return_counts=True)
-        rows.append((pair >> 32) + part.first)
+        pair, n = np.unique((np.searchsorted(within, lost, "right") - 1) << 32 | which, return_counts=True)
+        rows.append((pair >> 32) + first)
         own.append(distinct[pair & (1 << 32) - 1])
         times.append(n)
-    return np.concatenate(z), np.searchsorted(np.concatenate(rows), np.arange(t.n + 1)).astype(np.int32), np.concatenate(own), np.concatenate(times)
+    return np.concatenate(z), np.searchsorted(np.concatenate(rows), np.arange(len(offsets))).astype(np.int32), np.concatenate(own), np.concatenate(times)
 
 
 def score(docs: DataFrame, hold_out: int = 10) -> DataFrame:
@@ -174,7 +173,8 @@ def score(docs: DataFrame, hold_out: int = 10) -> DataFrame:
         weight, row_id = np.log10(c + 0.1), TaskContext.get().partitionId() << 40
         for b in batches:
             for t in chunks(b):
-                rows, words, which = words_of(t)
+                text, offsets = ppm.normalised(t)
+                rows, words, which = words_of(text, offsets)
                 place = pc.fill_null(pc.index_in(words, value_set=common), -1).to_numpy()[which] if len(which) else which
                 known = place >= 0
                 n = np.bincount(rows, minlength=t.n) + 1
@@ -182,7 +182,7 @@ def score(docs: DataFrame, hold_out: int = 10) -> DataFrame:
                 n_known = np.bincount(rows[known], minlength=t.n) + (ends > 0)
                 tail, times = np.unique(rows[~known] << 32 | which[~known], return_counts=True)
                 cut = np.searchsorted(tail >> 32, np.arange(t.n + 1)).astype(np.int32)
-                z, cut2, rest, seen = _grams(t, grams, logs)
+                z, cut2, rest, seen = _grams(text, offsets, grams, logs)
                 cols = [b.column(0).slice(t.first, t.n), pa.array(row_id + np.arange(t.n)), pa.array(n), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(z)]
                 cols += [pa.ListArray.from_arrays(cut, words.take(pa.array(tail & (1 << 32) - 1))), pa.ListArray.from_arrays(cut, pa.array(times))]
                 cols += [pa.ListArray.from_arrays(cut2, pa.array(rest)), pa.ListArray.from_arrays(cut2, pa.array(seen))]
@@ -208,12 +208,12 @@ def score(docs: DataFrame, hold_out: int = 10) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), hold_out).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"))
 
 
-def _parts(t: Texts) -> Iterator[Texts]:
-    """The texts in smaller runs."""
-    i = 0
-    while i < t.n:
-        j = max(i + 1, int(np.searchsorted(t.offsets, t.offsets[i] + (1 << 19), "right")) - 1)
-        yield Texts(t.data[t.offsets[i] : t.offsets[j]], t.offsets[i : j + 1] - t.offsets[i], i)
+def _parts(b: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Normalised texts in smaller runs: the number of the first, bytes and offsets."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), "right")) - 1)
+        yield i, b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
 

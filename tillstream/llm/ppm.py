@@ -46,15 +46,22 @@ def normalised(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 def byte_keys(t: Texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Each byte below the `order` bytes before it (the latest lowest; 0 before a text's start), 8 bits each; n + 1 offsets."""
     b, offsets = normalised(t)
-    b = b.astype(np.int64)
-    place = np.arange(len(b)) - np.repeat(offsets[:-1], np.diff(offsets))
-    out = b.copy()
-    for k in range(1, order + 1):
-        prev = np.zeros(len(b), np.int64)
-        prev[k:] = b[:-k]
-        prev[place < k] = 0
-        out |= prev << np.int64(8 * k)
-    return out, offsets
+    return keys(b, offsets, order), offsets
+
+
+def keys(b: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The keys of normalised bytes: each round puts as many earlier bytes before those that are there, twice as many as the last."""
+    out, have = b.astype(np.int64), 1
+    while have <= order:
+        more = min(have, order + 1 - have)
+        before = out[:-have] if more == have else out[:-have] & ((1 << 8 * more) - 1)
+        out[have:] |= before << 8 * have
+        have += more
+    for k in range(order):  # the first bytes of a text have fewer before them
+        at = offsets[:-1] + k
+        at = at[at < offsets[1:]]
+        out[at] &= (1 << 8 * (k + 1)) - 1
+    return out
 
 
 class Level:
@@ -76,14 +83,16 @@ class Level:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where there is none."""
-        out = np.full(len(keys), -1, np.int64)
         if not len(self.keys):
-            return out
-        todo, at = np.arange(len(keys)), self._hash(keys)
+            return np.full(len(keys), -1, np.int64)
+        at = self._hash(keys)
+        out = self.slots[at].astype(np.int64)
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))  # most are found, or told absent, at their own slot
+        at = at[todo]
         while len(todo):
+            at = (at + 1) & ((1 << self.bits) - 1)
             row = self.slots[at]
-            hit = (row >= 0) & (self.keys[row] == keys[todo])
-            out[todo[hit]] = row[hit]
-            go = (row >= 0) & ~hit
-            todo, at = todo[go], (at[go] + 1) & ((1 << self.bits) - 1)
+            out[todo] = row
+            go = (row >= 0) & (self.keys[row] != keys[todo])
+            todo, at = todo[go], at[go]
         return out
